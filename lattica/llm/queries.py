@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lattica.llm import bpe, minhash, token_files, url_filters, warc
+from lattica.llm import bpe, decontaminate, language_id, minhash, token_files, url_filters, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op7_minhash": minhash.op7_minhash,
     "op8_token_files": token_files.op8_token_files,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
+    "op4_decontamination": decontaminate.oracle(),
     "op7_minhash": minhash.oracle(),
     "op9_warc": warc.oracle(),
     "op10_url_filters": url_filters.oracle(),
