@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import bpe, decontaminate, language_id, minhash, token_files, url_filters, warc
+from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, token_files, url_filters, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_language_id": language_id.op3_language_id,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_pii": pii.op5_pii,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_minhash": minhash.op7_minhash,
     "op8_token_files": token_files.op8_token_files,
     "op9_warc": warc.op9_warc,
