@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, token_files, url_filters, warc
+from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, repeats, token_files, url_filters, warc
 
 QUERIES = {
+    "op1_suffix_dedup": repeats.op1_suffix_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_language_id": language_id.op3_language_id,
     "op4_decontamination": decontaminate.op4_decontamination,
