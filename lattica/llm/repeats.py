@@ -32,7 +32,7 @@ from lattica.llm.suffix_index import RunLengthIndex
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text of a group and of an index; strings of a context; different contexts of an anchor.
-GROUP_BYTES, INDEX_BYTES, CONTEXT, VARIANTS = 12 << 20, 4 << 20, 64, 1024
+GROUP_BYTES, INDEX_BYTES, CONTEXT, VARIANTS = 8 << 20, 1 << 20, 64, 1024
 NOBODY = np.iinfo(np.int64).max
 KEPT, COPY, SHIP, DEAL = 0, 1, 2, 3
 SENT = "bucket int, g int, anchors binary, contexts binary, owners binary, several binary"
