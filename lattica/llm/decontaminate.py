@@ -154,40 +154,41 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b, starts[~borders], firsts
 
 
-def search(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int, last: bool) -> DataFrame:
-    """One pass. Adds what is found to spans (word ranges as pairs of 64-bit integers) and items, if docs has them."""
+def search(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int, names: list[str], earlier: bool, keep: list[str]) -> DataFrame:
+    """One pass over docs of columns names and, if earlier, what former passes found: n_words, spans (word ranges as
+    pairs of 64-bit integers) and items. Returns the columns keep and these three."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
-    earlier = "spans" in docs.columns
+    place = {c: i for i, c in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows(shared.value, window)
         for batch in batches:
-            texts = base.utf8(batch.column("text"))
+            texts = base.utf8(batch.column(place["text"]))
             for a, e in base.chunks(texts):
                 b, starts, firsts = joined(texts[a:e])
-                which, place = known.searcher.find(b.tobytes()) if known.searcher else (np.zeros(0, np.int64),) * 2
-                word = np.searchsorted(starts, place + 1)
+                which, where = known.searcher.find(b.tobytes()) if known.searcher else (np.zeros(0, np.int64),) * 2
+                word = np.searchsorted(starts, where + 1)
                 doc = np.searchsorted(firsts, word, "right") - 1
                 order = np.argsort(doc, kind="stable")
                 which, word, doc = which[order], word[order], doc[order]
                 at = np.searchsorted(doc, np.arange(e - a + 1))
                 old = batch.slice(a, e - a)
-                spans, names = [], []
+                spans, titles = [], []
                 for i in range(e - a):
                     some = which[at[i] : at[i + 1]]
                     s = word[at[i] : at[i + 1]] - firsts[i]
                     pairs = np.stack([s, s + known.words[some]], 1) if len(some) else np.zeros((0, 2), np.int64)
                     got = set().union(*(known.items[j] for j in set(some.tolist())))
                     if earlier:
-                        pairs = np.concatenate([np.frombuffer(old.column("spans")[i].as_py(), "<i8").reshape(-1, 2), pairs])
-                        got |= set(old.column("items")[i].as_py())
+                        pairs = np.concatenate([np.frombuffer(old.column(len(names) + 1)[i].as_py(), "<i8").reshape(-1, 2), pairs])
+                        got |= set(old.column(len(names) + 2)[i].as_py())
                     spans.append(merged(pairs).astype("<i8").tobytes())
-                    names.append(sorted(got))
-                out = [old.column("doc_id"), *([] if last else [old.column("text")]), pa.array(np.diff(firsts)), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", *([] if last else ["text"]), "n_words", "spans", "items"])
+                    titles.append(sorted(got))
+                out = [*[old.column(place[c]) for c in keep], pa.array(np.diff(firsts)), pa.array(spans, pa.binary()), pa.array(titles, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_words", "spans", "items"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, " + "text string, " * (not last) + "n_words long, spans binary, items array<string>")
+    kinds = [f"`{c}` {docs.schema[place[c]].dataType.simpleString()}" for c in keep]
+    return docs.mapInArrow(run, ", ".join([*kinds, "n_words long", "spans binary", "items array<string>"]))
 
 
 def merged(pairs: np.ndarray) -> np.ndarray:
@@ -201,17 +202,19 @@ def merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[at, 0], ends[np.concatenate([at[1:] - 1, [len(pairs) - 1]])]], 1)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, test_set_bytes: int = TEST_SET_BYTES) -> DataFrame:
-    """docs: doc_id, text; benchmark: item_id, text. Returns doc_id, n_words, spans (ranges of hit words), items (ids of
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, test_set_bytes: int = TEST_SET_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """docs: doc_id, text; benchmark: item_id, text. Returns the columns keep of docs (doc_id if not given), n_words, spans (ranges of hit words), items (ids of
     items with occurring windows, sorted as strings), a row for each row of docs. Null texts have no words; an empty
     benchmark hits nothing; repeated items count as one; a null item_id is the item 'None'."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // test_set_bytes))
-    out = docs.select("doc_id", "text")
+    keep = keep or ["doc_id"]
+    names = [*dict.fromkeys([*keep, "text"])]
+    out = docs.select(names)
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).distinct().collect()
-        out = search(out, sorted((tuple(x) for x in block), key=str), window, i == blocks - 1)
+        out = search(out, sorted((tuple(x) for x in block), key=str), window, names, i > 0, keep if i == blocks - 1 else names)
     return out
 
 
