@@ -14,11 +14,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task holds as numpy work arrays at once; a longer single text stands alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch; Spark's default of 10,000 would be tens of MB of text.
+BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the session was started from another folder."""
+    """Let Python workers import this package when the session was started from another folder, and keep Arrow batches
+    of texts small where the session doesn't say otherwise."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in os.environ.get("PYTHONPATH", "").split(":") and root not in env.get("PYTHONPATH", "").split(":"):

@@ -9,7 +9,7 @@ from lattica.llm.base import mix
 #: An odd base has an inverse modulo 2**64, so any word's hash comes from two prefix sums.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Words end at these; A-Z become lower case.
 SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
