@@ -24,8 +24,12 @@ from lattica.llm import base, bpe
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 4, 4000, 4
+ROUNDS, RULES_A_ROUND, LEAST = 3, 4000, 4
 TABLE_BITS = 20
+#: Fixed value: marks that stand behind a word and are a word of their own.
+MARKS = ".,;:!?|"
+#: Runs that the library encodes as one text.
+PART = 64
 SHARDS = "part int, seq int, vocabulary int, n_tokens long, doc_ids binary, doc_known binary, doc_tokens binary, rule_left binary, rule_right binary, rule_length binary, sequence binary, wide boolean"
 INDEX = "doc_id long, part int, seq int, begin long, n_tokens long, ids_crc32 long"
 
@@ -41,16 +45,41 @@ class LibraryRuns:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.vocabulary = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.vocabulary = 1 + max(names.values())
+        self.ends = np.zeros(self.vocabulary, bool)  # tokens that end a word
+        self.ends[[i for x, i in names.items() if x.endswith("</w>")]] = True
         self.runs = bpe.Runs(self.whole)
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def learn(self, runs: set[str]) -> None:
+        """Encodes new runs in one call: a run of letters is one word to the library, one with a mark behind is two; the
+        words are told apart by the tokens that end them."""
+        if len(self.runs) + len(runs) > bpe.KEPT_RUNS:
+            self.runs.clear()
+        plain = [x for x in runs if len(x) <= bpe.KEPT_CHARS and (x.isalpha() or x[-1] in MARKS and x[:-1].isalpha())]
+        parts = [" ".join(plain[i : i + PART]) for i in range(0, len(plain), PART)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.asarray(x.ids, "<u4") for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        words = np.cumsum([1 if x.isalpha() else 2 for x in plain])
+        if len(plain) and len(ends) == words[-1]:
+            at = [0, *ends[words - 1].tolist()]
+            raw = ids.tobytes()
+            self.runs.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(plain, at[:-1], at[1:], strict=True))
+
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.specials):
             return np.asarray(self.whole(text), "<u4").tobytes()
-        return b"".join(b"".join(map(self.runs.__getitem__, bpe.split_runs(x.lower() if x.isascii() else x))) for x in bpe.slices(text))
+        out = []
+        for part in bpe.slices(text):
+            runs = bpe.split_runs(part.lower() if part.isascii() else part)
+            new = {x for x in runs if x not in self.runs}
+            if len(new) > 8:
+                self.learn(new)
+            out.append(b"".join(map(self.runs.__getitem__, runs)))
+        return b"".join(out)
 
 
 @lru_cache(2)
