@@ -10,6 +10,7 @@ Content-Length and joins revisit records to their originals by record id; Spark
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -43,14 +44,14 @@ def record_id(page_id: Column, digest: Column) -> Column:
 
 
 def originals(pages: DataFrame) -> DataFrame:
-    """pages with payload (null: empty), payload_digest and first, the smallest page id with an equal payload. Null
+    """pages with payload (null: empty), sha1 (hexadecimal) and first, the smallest page id with an equal payload. Null
     page ids never are the smallest unless a payload has no other. Rows repeated with equal id and payload all get
     the same role."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("payload_digest", base32(F.sha1(F.col("payload").cast("binary"))))
-    headers = p.select("page_id", "payload_digest")
-    firsts = headers.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    roles = headers.distinct().join(firsts, "payload_digest").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "first")
-    return p.join(roles, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))).drop("_page", "_digest")
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
+    headers = p.select("page_id", "sha1").distinct()
+    firsts = headers.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    roles = headers.join(firsts, "sha1").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "first")
+    return p.join(roles, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1"))).drop("_page", "_sha1")
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -63,19 +64,19 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     block = F.when(original, F.concat(http, "payload")).otherwise(http)
     lines = [
         F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.when(original, "response").otherwise("revisit")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("payload_digest"))), F.concat(F.lit("WARC-Date: "), F.lit(DATE)),
-        F.concat(F.lit("WARC-Target-URI: "), url), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(~original, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("first"), F.col("payload_digest")))), F.when(~original, F.lit("WARC-Profile: " + PROFILE)),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("sha1"))), F.concat(F.lit("WARC-Date: "), F.lit(DATE)),
+        F.concat(F.lit("WARC-Target-URI: "), url), F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1"))),
+        F.when(~original, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("first"), F.col("sha1")))), F.when(~original, F.lit("WARC-Profile: " + PROFILE)),
         F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string")), F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+        F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.when(original, size).otherwise(0)).cast("string")),
     ]
     return pages.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block).alias("value"))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 10_000) -> None:
     """Deduplicated archives with fresh headers. pages: page_id, url, html. records_per_file bounds what a reader
-    holds; an archive of an empty table is empty."""
-    records(originals(pages), min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    holds; an archive of an empty table is empty. Archives are gzip files."""
+    records(originals(pages), min_bytes).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -96,7 +97,7 @@ def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for archive in frame["content"]:
             out = []
-            for headers, block in parse(bytes(archive)):
+            for headers, block in parse(gzip.decompress(archive)):
                 payload = block.partition(b"\r\n\r\n")[2]
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 response = headers["warc-type"] == "response"
