@@ -31,7 +31,7 @@ BLANK_RUN = regex.compile(f"[{BLANKS}]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SLICE = 1 << 20
 #: Runs of up to so many characters are kept, and so many of them.
-KEPT_CHARS, KEPT_RUNS = 48, 1 << 20
+KEPT_CHARS, KEPT_RUNS = 48, 1 << 19
 
 
 def default_path() -> str:
