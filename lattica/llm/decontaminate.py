@@ -28,6 +28,8 @@ WINDOW = 10
 TEST_SET_BYTES = 2 << 20
 #: Least lengths of the groups of patterns, bytes of a stretch, slots of a shift table.
 LENGTHS, STRETCH, SLOTS = (3, 8, 16, 32), 4096, 1 << 18
+#: Bytes of a pattern that the tables and the first comparison use.
+HEAD = 64
 #: 0-9, a-z and all above 0x7F make words; A-Z become a-z.
 FORM = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 #: Never in a text of that form.
@@ -47,13 +49,13 @@ class Group:
     """Patterns of similar length and their shift table."""
 
     def __init__(self, patterns: list[bytes], numbers: list[int]):
-        self.numbers, self.sizes = np.asarray(numbers), np.array([len(p) for p in patterns])
-        self.least = m = int(self.sizes.min())
+        self.patterns, self.numbers, self.sizes = patterns, np.asarray(numbers), np.array([len(p) for p in patterns])
+        self.least = m = min(HEAD, int(self.sizes.min()))
         self.block = min(8, m // 2 + 1)
         self.mask = np.uint64((1 << 8 * self.block) - 1)
-        self.bytes = np.zeros((len(patterns), int(self.sizes.max())), np.uint8)
+        self.bytes = np.zeros((len(patterns), min(HEAD, int(self.sizes.max()))), np.uint8)
         for i, p in enumerate(patterns):
-            self.bytes[i, : len(p)] = np.frombuffer(p, np.uint8)
+            self.bytes[i, : len(p)] = np.frombuffer(p[:HEAD], np.uint8)
         heads = np.concatenate([np.ascontiguousarray(self.bytes[:, :m]).reshape(-1), np.zeros(8, np.uint8)])
         far = m - self.block + 1
         self.shifts = np.full(SLOTS, far, np.int64)
@@ -67,8 +69,9 @@ class Group:
     def slot(self, block: np.ndarray) -> np.ndarray:
         return ((block & self.mask) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
 
-    def find(self, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(pattern number, position) of all occurrences in b[:n]; b is padded."""
+    def find(self, text: bytes, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pattern number, position) of all occurrences in text; b is its bytes and padding."""
+        n = len(text)
         words, m = loads(b), self.least
         at = np.arange(0, max(n, 1), STRETCH)
         end = np.minimum(at + STRETCH, n - m + 1)
@@ -95,12 +98,14 @@ class Group:
         found = []
         for i in range(0, len(place), 1 << 14):
             p, r = place[i : i + (1 << 14)], row[i : i + (1 << 14)]
-            # The rarest disagreement first: the eight bytes that end the pattern.
             fits = p + self.sizes[r] <= n
             p, r = p[fits], r[fits]
             where = p[:, None] + np.arange(self.bytes.shape[1])[None]
             same = (b[np.minimum(where, n)] == self.bytes[r]) | (np.arange(self.bytes.shape[1])[None] >= self.sizes[r][:, None])
             good = same.all(1)
+            for j in np.flatnonzero(good & (self.sizes[r] > HEAD)):
+                at = int(p[j])
+                good[j] = text.startswith(self.patterns[r[j]], at)
             found.append((self.numbers[r[good]], p[good]))
         return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
@@ -114,8 +119,8 @@ class Searcher:
                 self.groups.append(Group([p for p, _ in some], [i for _, i in some]))
 
     def find(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        b = np.frombuffer(text + b"A" * 64, np.uint8)
-        found = [g.find(b, len(text)) for g in self.groups]
+        b = np.frombuffer(text + b"A" * (HEAD + 8), np.uint8)
+        found = [g.find(text, b) for g in self.groups]
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *[x for x, _ in found]]), np.concatenate([none, *[x for _, x in found]])
 

@@ -1,0 +1,193 @@
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, queries, repeats, suffix_index, token_files, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (3, ""), (4, "?!"), (5, "long " * 30_000), (None, "no id at all here"), (6, "x" * 200_000)]
+SCHEMA = "doc_id long, text string, lang string, items string, n_words string"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, columns with clashing names."""
+    return spark.createDataFrame([(i, t, "en", "x", "y") for i, t in ODD], SCHEMA)
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_query_equals_sql(spark, same, name):
+    same(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF)
+
+
+def operators(benchmark):
+    return {
+        "repeats": repeats.remove_repeats, "bpe": lambda d: bpe.encode_documents(d, bpe.default_path()), "language": lambda d: language_id.identify(d, language_id.train(d)),
+        "decontamination": lambda d: decontaminate.contamination(d, benchmark), "pii": pii.pseudonymized, "fingerprints": fingerprints.op6, "near": lambda d: minhash.near_duplicates(d, 5, 0.8),
+    }
+
+
+@pytest.mark.parametrize("name", ["repeats", "bpe", "language", "decontamination", "pii", "fingerprints", "near"])
+def test_odd_and_empty_tables(spark, odd, name):
+    f = operators(odd.select(odd.doc_id.alias("item_id"), "text"))[name]
+    assert f(odd).count() == len(ODD)
+    assert f(odd.limit(0)).count() == 0
+
+
+def brute_repeats(rows, length):
+    seen = {}
+    for i, t in rows:
+        for p in range(len(t) - length + 1):
+            seen[t[p : p + length]] = min(seen.get(t[p : p + length], i), i)
+    for i, t in rows:
+        m = np.zeros(len(t) + 1, bool)
+        for p in range(len(t) - length + 1):
+            if seen[t[p : p + length]] < i:
+                m[p : p + length] = True
+        yield i, len(t), int(m.sum()), int((np.diff(m.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~m[:-1]].tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize("variants", [1, 1024])
+def test_repeats(spark, docs, variants):
+    want = sorted(brute_repeats([(i, (t or "").encode()) for i, t in zip(docs.doc_id, docs.text)], 50))
+    got = repeats.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), variants=variants).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_run_length_index():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        texts = [bytes(rng.integers(97, 100, rng.integers(1, 40)).astype(np.uint8)) for _ in range(6)]
+        at = np.cumsum([0, *map(len, texts)])[:-1]
+        flat, owners = np.frombuffer(b"".join(texts), np.uint8), rng.integers(0, 4, 6)
+        index = suffix_index.RunLengthIndex(flat, at, owners, 5)
+        query = bytes(rng.integers(97, 101, 30).astype(np.uint8))
+        for _, p, n, row in index.stream(np.frombuffer(query, np.uint8), np.zeros(1, np.int64)):
+            rest = query[p[0] :]
+            assert n[0] == max(m for m in range(len(rest) + 1) if any(rest[:m] in t for t in texts))
+            if n[0] >= 5:
+                assert index.smallest_owner(row)[0] == min(o for o, t in zip(owners, texts) if rest[:5] in t)
+
+
+def test_bpe_equals_the_library(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    library.no_truncation()
+    library.no_padding()
+    own, fast = bpe.WordBpe(bpe.default_path()), token_files.LibraryRuns(bpe.default_path())
+    for text in [*docs.text.fillna(""), "İΣς ß it's we'll", "a" * 3000, "<|endoftext|> x", "日本語 🙂 é", "x\x1cy z"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == fast.encode(text) == np.asarray(ids, "<u4").tobytes()
+        assert own.decode(own.encode(text)) == library.decode(ids, skip_special_tokens=False)
+    assert "".join(own.decode_text(np.frombuffer(own.encode("Grüße 🙂"), "<u4"))).strip() == "grüße 🙂"
+
+
+def test_language(spark, docs):
+    got = queries.QUERIES["op3_language_id"](spark, SF).toPandas().merge(docs, on="doc_id")
+    held = got[got.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
+
+
+def test_decontamination_in_blocks(spark):
+    d, b = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "benchmark"))
+    assert sorted(map(str, decontaminate.contamination(d, b).collect())) == sorted(map(str, decontaminate.contamination(d, b, test_set_bytes=2000).collect()))
+
+
+def test_surrogates(spark):
+    text = "Mail a.b@mail1.example.com or A.B@mail1.example.com, +1 (017) 555-7713, 10.20.30.40, card 4111111111111111, token = \"00ff00ff00ff00ff00ff\", Mrs. Ann Lee and Mr. Lee."
+    rows = spark.createDataFrame([(1, text), (2, "call +1 (017) 555-7713 now"), (3, "clean"), (4, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymized(rows).collect()}
+    new = out[1].text
+    assert not any(x in new for x in ("a.b@", "A.B@", "555-7713", "10.20.30.40", "4111111111111111", "00ff00ff", "Ann", "Lee"))
+    mails = re.findall(r"[\w.]+@[\w.]+", new)
+    assert mails[0] == mails[1].lower().rstrip(",") or mails[0].lower() == mails[1].lower().rstrip(",")
+    phone = re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", new)[0]
+    assert phone in out[2].text and pii.checksum(re.search(r"card (\d{16})", new)[1]) == 0
+    given = re.search(r"Mrs\. (\w+) (\w+) and Mr\. (\w+)", new)
+    assert given[1] in pii.GIVEN["latin", "f"] and given[2] == given[3]
+    assert out[3].text == "clean" and out[4].text is None and out[3].n_entities == 0
+    assert pii.pseudonymized(rows, "other").where("doc_id = 2").first().text != out[2].text
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = spark.createDataFrame([(i, f"Mr. N{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x") for i in range(100)], "doc_id long, text string")
+    assert pii.pseudonymized(rows).select("text").distinct().count() == 100
+
+
+def test_fingerprints(spark, docs):
+    got = queries.QUERIES["op6_fingerprints"](spark, SF).toPandas().set_index("doc_id")
+    rows = list(docs.sort_values("doc_id", ascending=False)[["doc_id", "text"]].itertuples(index=False))
+    for j, (i, text) in enumerate(rows):
+        cut, after = len(text) // 3, rows[(j + 1) % len(rows)].text
+        edited = text[: len(text) - cut] + after[:cut]
+        assert got.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest() and got.n_chars[i] == len(text)
+    a, b = (fingerprints.sketches([x.encode()])[0] for x in ("a b c d e f g", "b c d e f g h"))
+    assert fingerprints.resemblance(a, b) == 0.5 and fingerprints.distinct(a) == 3 and len(fingerprints.merge(a, b)) == 4
+
+
+def test_near_duplicates_of_a_chain(spark):
+    """Members that are near each other but not the bucket's centre stay linked."""
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        x = list(words)
+        for j in range(i * 4, i * 4 + 4):
+            x[j * 2] = f"v{i}-{j}"
+        rows.append((i, " ".join(x)))
+        words = x if i % 3 == 0 else words
+    sets = [set(zip(*(t.split()[k:] for k in range(3)))) for _, t in rows]
+    label = list(range(40))
+    for _ in range(40):
+        for a in range(40):
+            for b in range(40):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == label
+
+
+def test_token_files(spark, docs):
+    got = {r.doc_id: r for r in queries.QUERIES["op8_token_files"](spark, SF).collect()}
+    own, start = bpe.WordBpe(bpe.default_path()), 0
+    import zlib
+
+    for i, text in zip(docs.doc_id, docs.text):
+        ids = own.encode(text or "") + np.asarray([2], "<u4").tobytes()
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+
+
+def test_warc_edges(spark, tmp_path):
+    pages = spark.createDataFrame([(3, "u\n", "x"), (1, None, "x"), (2, "u", None), (1, None, "x")], "page_id long, url string, html string")
+    warc.write(pages, f"{tmp_path}/a")
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, f"{tmp_path}/a").collect())
+    assert got == [(1, "response", None, 1), (1, "response", None, 1), (2, "response", None, 0), (3, "revisit", 1, 1)]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = P.identify_language(spark, docs, SF)
+    assert first.columns == docs.columns
+    near = P.drop_near_duplicates(spark, first, SF)
+    sets = {r.doc_id: set(zip(*(re.findall(r"[^ \t\n\x0b\x0c\r]+", r.text.lower())[k:] for k in range(5)))) for r in first.collect()}
+    kept = {r.doc_id for r in near.collect()}
+    for a in sets:  # what went has a kept or removed smaller neighbour
+        if a not in kept:
+            assert any(b < a and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) for b in sets) or not sets[a]
+    clean = P.decontaminate_texts(spark, near, SF)
+    hits = decontaminate.contamination(near, spark.read.parquet(f"{SF}/benchmark.parquet")).where("size(items) > 0").count()
+    assert clean.count() == near.count() - hits
+    private = P.replace_personal_data(spark, clean, SF)
+    assert private.columns == docs.columns and private.where("text rlike '@mail[0-9].example.com'").count() == 0
+    assert P.encode(spark, private, SF).count() == clean.count()
