@@ -75,7 +75,7 @@ class LibraryRuns:
         out = []
         for part in bpe.slices(text):
             runs = bpe.split_runs(part.lower() if part.isascii() else part)
-            new = {x for x in runs if x not in self.runs}
+            new = set(runs).difference(self.runs)
             if len(new) > 8:
                 self.learn(new)
             out.append(b"".join(map(self.runs.__getitem__, runs)))
