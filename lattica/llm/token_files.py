@@ -9,6 +9,7 @@ is found by the sums of lengths and only rules that touch it are expanded. Shard
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ TABLE_BITS = 20
 #: Fixed value: marks that stand behind a word and are a word of their own.
 MARKS = ".,;:!?|"
 #: Runs that the library encodes as one text.
-PART = 64
+PART = 512
 SHARDS = "part int, seq int, vocabulary int, n_tokens long, doc_ids binary, doc_known binary, doc_tokens binary, rule_left binary, rule_right binary, rule_length binary, sequence binary, wide boolean"
 INDEX = "doc_id long, part int, seq int, begin long, n_tokens long, ids_crc32 long"
 
@@ -41,6 +42,7 @@ class LibraryRuns:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -69,17 +71,18 @@ class LibraryRuns:
             raw = ids.tobytes()
             self.runs.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(plain, at[:-1], at[1:], strict=True))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; new words of all of them are learned at once."""
+        parts = [None if any(x in t for x in self.specials) else [bpe.split_runs(p.lower() if p.isascii() else p) for p in bpe.slices(t)] for t in texts]
+        new: set[str] = set()
+        for runs in parts:
+            for part in runs or []:
+                new.update(part)
+        self.learn({x for x in new if x not in self.runs})
+        return [np.asarray(self.whole(t), "<u4").tobytes() if runs is None else b"".join([b"".join(map(self.runs.__getitem__, p)) for p in runs]) for t, runs in zip(texts, parts, strict=True)]
+
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.specials):
-            return np.asarray(self.whole(text), "<u4").tobytes()
-        out = []
-        for part in bpe.slices(text):
-            runs = bpe.split_runs(part.lower() if part.isascii() else part)
-            new = set(runs).difference(self.runs)
-            if len(new) > 8:
-                self.learn(new)
-            out.append(b"".join(map(self.runs.__getitem__, runs)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(2)
@@ -217,8 +220,8 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
             return pa.RecordBatch.from_pandas(frame.astype({"part": "int32", "seq": "int32", "vocabulary": "int32"}), schema, preserve_index=False)
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = encoder.encode(text or "") + end
+            for name, x in zip(batch.column(0).to_pylist(), encoder.encode_all([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                x += end
                 ids.append(x)
                 names.append(name)
                 held += len(x) // 4
