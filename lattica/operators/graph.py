@@ -14,20 +14,26 @@ def collapsed(triples: DataFrame) -> DataFrame:
     return triples.groupBy("sample_id", "h", "t").agg(F.max("triple_id").alias("triple_id"))
 
 
-def distances(edges: DataFrame, anchors: DataFrame, reverse: bool = False, most: int = 64) -> DataFrame:
-    """sample_id, anchor, node, d: hops from each anchor (reverse: to it). Level by level; each level is a table in the
-    shared folder, and the search ends with an empty one."""
-    folder = records.scratch(edges.sparkSession)
+def hops(step: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, d: hops from start (keys, node) along step (sample_id, node, to; keys hold sample_id). Level by level
+    until one is empty; each level is a partition d of a table in the shared folder, so plans stay small."""
+    spark, folder = step.sparkSession, records.scratch(step.sparkSession)
+    start.select(*keys, "node").distinct().write.parquet(f"{folder}/d=0")
+    level = spark.read.parquet(f"{folder}/d=0")
+    schema, d = level.withColumn("d", F.lit(0)).schema, 0
+    while not level.isEmpty():
+        d += 1
+        seen = spark.read.schema(schema).parquet(folder).select(*keys, "node")
+        new = level.join(step, ["sample_id", "node"]).select(*keys, F.col("to").alias("node")).distinct().join(seen, [*keys, "node"], "left_anti")
+        level = records.written(new, f"{folder}/d={d}")
+    return spark.read.schema(schema).parquet(folder)
+
+
+def distances(edges: DataFrame, anchors: DataFrame, reverse: bool = False) -> DataFrame:
+    """sample_id, anchor, node, d: hops from each anchor (reverse: to it)."""
     a, b = ("t", "h") if reverse else ("h", "t")
     step = edges.select("sample_id", F.col(a).alias("node"), F.col(b).alias("to")).distinct()
-    seen = level = records.written(anchors.select("sample_id", "anchor", F.col("anchor").alias("node"), F.lit(0).alias("d")).distinct(), f"{folder}/0")
-    for d in range(1, most + 1):
-        new = level.join(step, ["sample_id", "node"]).select("sample_id", "anchor", F.col("to").alias("node")).distinct().join(seen.select("sample_id", "anchor", "node"), ["sample_id", "anchor", "node"], "left_anti")
-        level = records.written(new.withColumn("d", F.lit(d)), f"{folder}/{d}")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen
+    return hops(step, anchors.select("sample_id", "anchor", F.col("anchor").alias("node")), ["sample_id", "anchor"])
 
 
 def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
