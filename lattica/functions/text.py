@@ -108,11 +108,23 @@ def year_only(question: Column, answer: Column) -> Column:
     return F.when(asked & answer.rlike(r"^\d+-"), F.substring_index(answer, "-", 1)).otherwise(answer)
 
 
+#: Kinds of answers and the questions that ask for them, the first that fits.
+ANSWER_TYPES = (
+    ("person", r"\bwho\b"),
+    ("location", r"\bwhere\b"),
+    ("temporal", r"\bwhen\b|what year|which year|\bdate\b"),
+    ("language", "what language|speak|spoken"),
+    ("country", "what country|which country"),
+    ("city", "what city|which city"),
+    ("state", "what state|which state"),
+    ("timezone", "timezone|time zone"),
+    ("role", "what did|what do|profession|job|work as"),
+)
+
+
 def answer_type(question: Column) -> Column:
-    """The kind of answer that a question asks for; the first rule that fits."""
-    q = F.lower(question)
-    rules = [("person", r"\bwho\b"), ("location", r"\bwhere\b"), ("temporal", r"\bwhen\b|what year"), ("language", "language"), ("country", r"\bcountry\b"), ("city", r"\bcity\b"), ("state", r"\bstate\b")]
-    out = F.when(q.rlike(rules[0][1]), rules[0][0])
-    for name, pattern in rules[1:]:
+    """The kind of answer that a question asks for, or open."""
+    q, out = alphanumeric(question), F
+    for name, pattern in ANSWER_TYPES:
         out = out.when(q.rlike(pattern), name)
     return out.otherwise("open")
