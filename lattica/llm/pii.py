@@ -5,7 +5,8 @@
    entities word by word, so that "Mr. A B" and "Mr. B" share B's surrogate.
 2. Assignment, a Spark table of distinct entities: each proposes a surrogate drawn by a keyed hash, of the same type
    and format (names: gender and script). A proposal is refused if it is an entity of the corpus, is taken, or another
-   entity proposes it too and comes first; refused ones propose again. So distinct entities stay distinct.
+   entity proposes it too and comes first; refused ones propose again, from a space that each attempt after PLAIN
+   makes larger. So distinct entities stay distinct, and every one gets a surrogate.
 3. Replacement: each document meets its own entities' surrogates and is rewritten, surface by surface.
 
 Entities move as distinct rows of a document; joins on them are plain equi-joins, which Spark splits where an entity
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from lattica.llm import base
 
 KEY = "lattica"
-ROUNDS = 64
+#: Attempts in the entity's own format, two for each letter or digit that can change at most. Each later one is longer by
+#: a character more, as the format may have no free value.
+PLAIN = 8
 #: Titles by script and gender, and the pools that names are drawn from.
 TITLES = {
     "latin": {"m": ["Mr.", "Mr", "Herr", "Señor", "Monsieur"], "f": ["Mrs.", "Mrs", "Ms.", "Ms", "Frau", "Señora", "Madame"]},
@@ -114,6 +118,13 @@ def like(text: str, draw: Iterator[int], hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def drawn(n: int, draw: Iterator[int], of: str) -> str:
+    return "".join(of[next(draw) % len(of)] for _ in range(n))
+
+
 def checksum(digits: str) -> int:
     """Luhn's: 0 for a valid number."""
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
@@ -122,27 +133,31 @@ def checksum(digits: str) -> int:
 def propose(key: str, kind: str, entity: str, attempt: int) -> str:
     """The attempt's surrogate, in canonical form."""
     draw = stream(key, kind, entity, attempt)
+    local, _, domain = entity.rpartition("@") if kind == "email" else (entity, "", "")
+    more = max(attempt + 1 - min(PLAIN, 2 * sum(map(str.isalnum, local))), 0)
     if kind == "email":
-        local, _, domain = entity.rpartition("@")
         *labels, top = domain.split(".")
         at = stream(key, "domain", domain)  # a domain's surrogate is the same in all addresses
-        return f"{like(local, draw)}@{'.'.join([like(x, at) for x in labels] + [top])}"
+        return f"{like(local, draw)}{drawn(more, draw, LOWER)}@{'.'.join([like(x, at) for x in labels] + [top])}"
     if kind == "ip":
-        return ".".join(str(1 + next(draw) % 254) for _ in range(4))
+        return ".".join(str(1 + next(draw) % 254) for _ in range(4 + more))
     if kind == "phone":
         keep = 2 if entity.startswith("+") else 0
-        return entity[:keep] + like(entity[keep:], draw)
+        return entity[:keep] + like(entity[keep:], draw) + drawn(more, draw, DIGITS)
     if kind == "card":
-        out = like(entity, draw)
+        out = like(entity, draw) + drawn(more, draw, DIGITS)
         if checksum(entity) == 0:
-            out = out[:-1] + next(d for d in "0123456789" if checksum(out[:-1] + d) == 0)
+            out = out[:-1] + next(d for d in DIGITS if checksum(out[:-1] + d) == 0)
         return out
     if kind == "iban":
-        return entity[:2] + like(entity[2:], draw)
+        return entity[:2] + like(entity[2:], draw) + drawn(more, draw, DIGITS)
     if kind == "secret":
         prefix = next((p for p in ("AKIA", "ASIA", "sk_", "sk-", "pk_", "pk-", "ghp_", "gho_", "xox") if entity.startswith(p)), "")
         rest = entity[len(prefix) :]
-        return prefix + like(rest, draw, all(c in "0123456789abcdef" for c in rest))
+        hexadecimal = all(c in "0123456789abcdef" for c in rest)
+        if more and not hexadecimal:  # marks are drawn too
+            return prefix + drawn(len(rest) + more, draw, LOWER + LOWER.upper() + DIGITS)
+        return prefix + like(rest, draw, hexadecimal) + drawn(more, draw, DIGITS + "abcdef")
     if kind.startswith(("given", "family")):
         _, script, *gender = kind.split("|")
         pool = GIVEN[script, gender[0]] if gender else FAMILY[script]
@@ -150,14 +165,14 @@ def propose(key: str, kind: str, entity: str, attempt: int) -> str:
             return pool[next(draw) % len(pool)].casefold()
         # Pools are small: later attempts lengthen a name by rule.
         return (pool[next(draw) % len(pool)] + "".join(SYLLABLES[script][next(draw) % len(SYLLABLES[script])] for _ in range(1 + attempt // 2))).casefold()
-    return like(entity, draw)
+    return like(entity, draw) + drawn(more, draw, DIGITS)
 
 
 def rendered(kind: str, surface: str, surrogate: str) -> str:
     """The surrogate in the surface's format: grouping of digits, case."""
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(surrogate.removeprefix("+"))
-        return "".join(next(chars) if c.isalnum() else c for c in surface)
+        return "".join([*(next(chars) if c.isalnum() else c for c in surface), *chars])
     if kind == "email":
         return "".join(x.upper() if c.isupper() else x for c, x in zip(surface, surrogate, strict=True)) if len(surface) == len(surrogate) else surrogate
     if kind.startswith(("given", "family")):
@@ -185,7 +200,7 @@ def assigned(found: DataFrame, key: str, folder: str) -> DataFrame:
     """found: kind, entity. Returns kind, entity, surrogate: injective for each kind, never an entity of the corpus."""
     every = base.written(found.select("kind", "entity").distinct(), f"{folder}/entities")
     taken, open_ = None, every
-    for attempt in range(ROUNDS):
+    for attempt in count():
 
         def run(frames: Iterator[pd.DataFrame], attempt: int = attempt) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -200,7 +215,6 @@ def assigned(found: DataFrame, key: str, folder: str) -> DataFrame:
         open_ = base.written(open_.join(good.select("kind", "entity"), ["kind", "entity"], "left_anti"), f"{folder}/open{attempt}")
         if open_.isEmpty():
             return taken
-    raise RuntimeError(f"after {ROUNDS} rounds some entities have no surrogate")
 
 
 def rewrite(text: str, surrogates: dict[tuple[str, str], str]) -> tuple[str, list[str]]:

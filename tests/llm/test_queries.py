@@ -123,6 +123,25 @@ def test_surrogates_stay_distinct(spark):
     assert pii.pseudonymized(rows).select("text").distinct().count() == 100
 
 
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["Password: __________", "Password: ......", "token: ------", "Secret\n==========", "mail -@-.- now", "secret: sk_______", "Password: hunter2"],
+        [f"mail {c}@x.org now" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"mail {c}@x.org now" for c in "0123456789"],
+        [f"call +1 {i // 100:02} {i % 100:02}" for i in range(10_000)],
+    ],
+    ids=["marks", "locals", "phones"],
+)
+def test_every_entity_gets_a_surrogate(spark, texts):
+    """Formats without another value, and full ones."""
+    found = [{(k, e) for _, _, k, e in pii.entities(t)} for t in texts]
+    assert all(len(x) == 1 for x in found)
+    out = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    given = [{(k, e) for _, _, k, e in pii.entities(t)} for t in out]
+    assert all(len(x) == 1 for x in given)
+    assert len(set.union(*given)) == len(set.union(*found)) and not set.union(*given) & set.union(*found)
+
+
 def test_fingerprints(spark, docs):
     got = queries.QUERIES["op6_fingerprints"](spark, SF).toPandas().set_index("doc_id")
     rows = list(docs.sort_values("doc_id", ascending=False)[["doc_id", "text"]].itertuples(index=False))
