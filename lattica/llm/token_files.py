@@ -1,9 +1,9 @@
 """Token-id files compressed by Re-Pair, with random access.
 
 Documents are range-partitioned by id (only text moves, once) and sorted; each task encodes its documents and cuts
-them into shards of bounded size. In a shard, frequent pairs of ids are replaced by nonterminals, round after round:
-each round takes the most frequent pairs at once, replaces their occurrences from left to right and adds one rule
-each. A shard stores the rules, the lengths of their expansions and the remaining sequence, so that any stretch of ids
+them into shards of bounded size. In a shard, frequent pairs of ids are replaced by nonterminals, round after round
+until no pair is frequent: each round takes the most frequent pairs at once, replaces their occurrences from left to
+right and adds one rule each. A shard stores the rules, the lengths of their expansions and the remaining sequence, so that any stretch of ids
 is found by the sums of lengths and only rules that touch it are expanded. Shards are rows of a Parquet table.
 """
 
@@ -25,13 +25,14 @@ from lattica.llm import base, bpe
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 3, 4000, 4
+#: Rules that a round adds at most, and occurrences of a pair that make it frequent.
+RULES_A_ROUND, LEAST = 4000, 4
 TABLE_BITS = 20
 #: Fixed value: marks that stand behind a word and are a word of their own.
 MARKS = ".,;:!?|"
 #: Runs that the library encodes as one text.
 PART = 512
-SHARDS = "part int, seq int, vocabulary int, n_tokens long, doc_ids binary, doc_known binary, doc_tokens binary, rule_left binary, rule_right binary, rule_length binary, sequence binary, wide boolean"
+SHARDS = "part int, seq int, vocabulary int, n_tokens long, doc_ids binary, doc_known binary, doc_tokens binary, rule_left binary, rule_right binary, rule_length binary, n_symbols int, sequence binary"
 INDEX = "doc_id long, part int, seq int, begin long, n_tokens long, ids_crc32 long"
 
 
@@ -90,49 +91,75 @@ def library(path: str) -> LibraryRuns:
     return LibraryRuns(path)
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, left, right): rule i, the nonterminal vocabulary + i, stands for left[i] right[i]."""
+def apart(at: np.ndarray, pair: np.ndarray | None = None) -> np.ndarray:
+    """Which of the ascending places stay so that no two touch (with pair: no two of equal pairs): every second of a
+    run, from its left."""
+    first = np.diff(at, prepend=-2) != 1
+    if pair is not None:
+        first[1:] |= pair[1:] != pair[:-1]
+    i = np.arange(len(at))
+    return (i - np.maximum.accumulate(np.where(first, i, 0))) % 2 == 0
+
+
+def compress(ids: np.ndarray, vocabulary: int, rules_a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, left, right): rule i, the nonterminal vocabulary + i, stands for left[i] right[i]. No pair occurs
+    least times in the sequence without overlaps."""
     s = ids.astype(np.uint32)
     lefts, rights, n = [], [], 0
-    slots = 1 << TABLE_BITS
-    for _ in range(rounds):
-        if len(s) < 2 * least:
-            break
-        pair = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        counts = np.bincount(slot, minlength=slots)
-        top = np.argpartition(counts, slots - rules_a_round)[slots - rules_a_round :]
-        top = top[counts[top] >= least]
-        if not len(top):
+    live = np.ones(len(s), bool)  # pairs that may be frequent: those that were, and those with a new symbol
+    while True:
+        at = np.flatnonzero(live[:-1])
+        pair = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+        if len(at) > 1 << TABLE_BITS - 3:  # a pair of a slot with fewer is not frequent
+            slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+            some = np.bincount(slot, minlength=1 << TABLE_BITS)[slot] >= least
+            at, pair = at[some], pair[some]
+        code, pairs = pd.factorize(pair)
+        own = apart(at, pair)
+        counts = np.bincount(code[own], minlength=len(pairs))
+        frequent = counts >= least
+        many = min(rules_a_round, int(frequent.sum()))
+        if not many:
             break
-        holder = np.zeros(slots, np.uint64)  # pairs that share a slot: one of them stands for it this round
-        holder[slot] = pair
-        chosen = np.zeros(slots, bool)
-        chosen[top] = True
-        at = np.flatnonzero(chosen[slot])
-        at = at[holder[slot[at]] == pair[at]]
-        first = np.diff(at, prepend=-2) != 1  # overlapping pairs: every second of a run, from its left
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        used = np.bincount(slot[at], minlength=slots)
-        good = top[used[top] >= least]
-        if not len(good):
-            break
-        name = np.zeros(slots, np.uint32)
+        while True:
+            chosen = np.zeros(len(pairs), bool)
+            chosen[np.argpartition(counts, len(pairs) - many)[len(pairs) - many :]] = True
+            use = np.flatnonzero(own & chosen[code])
+            use = use[apart(at[use])]
+            chosen &= np.bincount(code[use], minlength=len(pairs)) >= least
+            if chosen.any():
+                break
+            many = max(many // 8, 1)  # pairs that overlap took each other's places; one alone keeps its own
+        use, good = use[chosen[code[use]]], np.flatnonzero(chosen)
+        name = np.zeros(len(pairs), np.uint32)
         name[good] = vocabulary + n + np.arange(len(good), dtype=np.uint32)
-        at = at[name[slot[at]] > 0]
-        lefts.append((holder[good] >> np.uint64(32)).astype(np.uint32))
-        rights.append((holder[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        lefts.append((pairs[good] >> np.uint64(32)).astype(np.uint32))
+        rights.append((pairs[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         n += len(good)
-        s = s.copy()
-        s[at] = name[slot[at]]
+        live[:] = False
+        live[at[frequent[code]]] = True
+        at = at[use]
+        live[at] = live[np.maximum(at - 1, 0)] = True
+        s[at] = name[code[use]]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s = s[stay]
+        s, live = s[stay], live[stay]
     none = np.zeros(0, np.uint32)
     return s, np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
 
+def packed(x: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of all numbers, then each higher bit of all."""
+    return b"".join([x.astype("<u2").tobytes(), *(np.packbits((x >> np.uint32(k) & np.uint32(1)).astype(bool)).tobytes() for k in range(16, bits))])
+
+
+def unpacked(raw: bytes, n: int, bits: int) -> np.ndarray:
+    out, size = np.frombuffer(raw, "<u2", n).astype(np.uint32), (n + 7) // 8
+    for k in range(16, bits):
+        out |= np.unpackbits(np.frombuffer(raw, np.uint8, size, 2 * n + (k - 16) * size), count=n).astype(np.uint32) << np.uint32(k)
+    return out
+
+
 def lengths(left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
     out = np.ones(len(left), np.int64)
     for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
@@ -162,8 +189,10 @@ class Shard:
 
     def __init__(self, row):
         self.vocabulary = int(row.vocabulary)
-        self.left, self.right, self.size = (np.frombuffer(x, "<u4") for x in (row.rule_left, row.rule_right, row.rule_length))
-        self.sequence = np.frombuffer(row.sequence, "<u4" if row.wide else "<u2").astype(np.int64)
+        self.size = np.frombuffer(row.rule_length, "<u4")
+        bits = (self.vocabulary + len(self.size)).bit_length()
+        self.left, self.right = (unpacked(x, len(self.size), bits) for x in (row.rule_left, row.rule_right))
+        self.sequence = unpacked(row.sequence, row.n_symbols, bits).astype(np.int64)
         self.doc_ids, self.known = np.frombuffer(row.doc_ids, "<i8"), np.frombuffer(row.doc_known, bool)
         self.tokens = np.frombuffer(row.doc_tokens, "<u4").astype(np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.tokens)])
@@ -198,11 +227,11 @@ def shard_row(part: int, seq: int, docs: list, ids: list[bytes], vocabulary: int
     every = np.frombuffer(b"".join(ids), "<u4")
     s, left, right = compress(every, vocabulary)
     size = lengths(left, right, vocabulary)
-    wide = vocabulary + len(left) > 1 << 16
+    bits = (vocabulary + len(left)).bit_length()
     return {
         "part": part, "seq": seq, "vocabulary": vocabulary, "n_tokens": len(every), "doc_ids": np.asarray([x or 0 for x in docs], "<i8").tobytes(), "doc_known": np.asarray([x is not None for x in docs], bool).tobytes(),
-        "doc_tokens": np.asarray([len(x) // 4 for x in ids], "<u4").tobytes(), "rule_left": left.astype("<u4").tobytes(), "rule_right": right.astype("<u4").tobytes(), "rule_length": size.astype("<u4").tobytes(),
-        "sequence": s.astype("<u4" if wide else "<u2").tobytes(), "wide": wide,
+        "doc_tokens": np.asarray([len(x) // 4 for x in ids], "<u4").tobytes(), "rule_left": packed(left, bits), "rule_right": packed(right, bits), "rule_length": size.astype("<u4").tobytes(),
+        "n_symbols": len(s), "sequence": packed(s, bits),
     }
 
 
@@ -217,7 +246,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
 
         def out():
             frame = pd.DataFrame([shard_row(part, seq, names, ids, max(encoder.vocabulary, end_id + 1))])
-            return pa.RecordBatch.from_pandas(frame.astype({"part": "int32", "seq": "int32", "vocabulary": "int32"}), schema, preserve_index=False)
+            return pa.RecordBatch.from_pandas(frame.astype({"part": "int32", "seq": "int32", "vocabulary": "int32", "n_symbols": "int32"}), schema, preserve_index=False)
 
         for batch in batches:
             for name, x in zip(batch.column(0).to_pylist(), encoder.encode_all([x or "" for x in batch.column(1).to_pylist()]), strict=True):

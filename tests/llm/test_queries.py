@@ -185,6 +185,32 @@ def test_token_files(spark, docs):
         start += len(ids) // 4
 
 
+def runs_of(kind):
+    draw = np.random.default_rng(1)
+    words = draw.integers(0, 40, 3000)
+    return {"copies": np.tile(draw.integers(0, 40_000, 700), 64), "one": np.full(5001, 7), "text": words, "shifted": np.concatenate([words[i % 7 : 900 + i % 5] for i in range(40)]), "none": words[:0], "single": words[:1]}[kind]
+
+
+@pytest.mark.parametrize("kind", ["copies", "one", "text", "shifted", "none", "single"])
+def test_no_frequent_pair_remains(kind):
+    from collections import Counter
+    from types import SimpleNamespace
+
+    ids = runs_of(kind)
+    vocabulary = 65_500
+    row = SimpleNamespace(**token_files.shard_row(0, 0, [1], [ids.astype("<u4").tobytes()], vocabulary))
+    shard = token_files.Shard(row)
+    assert (shard.document(0) == ids).all() and (shard.ids(len(ids) // 3, len(ids) // 2) == ids[len(ids) // 3 : len(ids) // 2]).all()
+    counts, last = Counter(), {}
+    for i, pair in enumerate(zip(shard.sequence[:-1].tolist(), shard.sequence[1:].tolist(), strict=True)):
+        if last.get(pair) != i - 1:
+            counts[pair] += 1
+            last[pair] = i
+    assert max(counts.values(), default=0) < token_files.LEAST
+    if kind in ("copies", "one"):
+        assert len(shard.sequence) < 16
+
+
 def test_warc_edges(spark, tmp_path):
     pages = spark.createDataFrame([(3, "u\n", "x"), (1, None, "x"), (2, "u", None), (1, None, "x")], "page_id long, url string, html string")
     warc.write(pages, f"{tmp_path}/a")
