@@ -185,6 +185,23 @@ def test_token_files(spark, docs):
         start += len(ids) // 4
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_signature_bound_gives_up_few_pairs(threshold):
+    """The exact binomial tail of pairs at the threshold that the bound refuses."""
+    from math import comb
+
+    bins = minhash.BINS
+    refused = [k for k in range(bins + 1) if not minhash.reachable(np.array([k / bins]), np.array([bins]), np.array([10**7]), np.array([10**7]), threshold)[0]]
+    assert sum(comb(bins, k) * threshold**k * (1 - threshold) ** (bins - k) for k in refused) < 3e-7
+
+
+def test_bands_are_compared_whole(spark):
+    """Keys of an earlier band that agree in 31 bits only don't take the pair away from the bucket it shares."""
+    nodes = spark.createDataFrame([(i, bytes([7] * minhash.BINS), 1000, [5 + (i << 40), 9]) for i in (1, 2)], "node long, signature binary, n long, bands array<long>")
+    members = spark.createDataFrame([(9, 1, 1), (9, 2, 2)], "key long, node long, label long")
+    assert [tuple(x) for x in minhash.crossing(members, nodes, None, 0.85).collect()] == [(1, 2)]
+
+
 def runs_of(kind):
     draw = np.random.default_rng(1)
     words = draw.integers(0, 40, 3000)
