@@ -77,13 +77,17 @@ def test_run_length_index():
                 assert index.smallest_owner(row)[0] == min(o for o, t in zip(owners, texts) if rest[:5] in t)
 
 
+#: Combining marks behind letters and marks, apostrophes, digits beside other numbers, blanks beyond ASCII, controls, long words.
+UNITS = ["J\u030c j\u030c A\u030a =\u0338 (\u0338", "don't 'Re5's,'s x''s it\u2019s (the_end) a1b22²½3", "a\u00a0b\u3000c\u2028D\x85e", "a\x00b\x00 \x1f7\x7f", "É" * 40 + "x, " + "Word" * 9 + "...", "<|ENDOFTEXT|> <|startoftext|>Ab,c", "  \n", "ſß K Å Ⅷ٣४"]
+
+
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.default_path())
     library.no_truncation()
     library.no_padding()
-    own, fast = bpe.WordBpe(bpe.default_path()), token_files.LibraryRuns(bpe.default_path())
+    own, fast = bpe.WordBpe(bpe.default_path()), token_files.LibraryUnits(bpe.default_path())
     for text in [*docs.text.fillna(""), "İΣς ß it's we'll", "a" * 3000, "<|endoftext|> x", "日本語 🙂 é", "x\x1cy z"]:
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == fast.encode(text) == np.asarray(ids, "<u4").tobytes()
