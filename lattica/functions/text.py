@@ -24,9 +24,21 @@ def squeeze(s: Column) -> Column:
 
 
 def alphanumeric(s: Column) -> Column:
+    """As plain, but of ASCII only: the form in which a question's kind is looked up."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"[^a-z0-9]+", " "))
 
 
+def plain(s: Column) -> Column:
+    """Lower case; whatever isn't a letter or digit of any script becomes a blank, and blanks become one."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def matches_either(a: Column, b: Column) -> Column:
+    """One plain form is part of the other; empty ones match nothing."""
+    x, y = plain(a), plain(b)
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
 def matches(longer: Column, shorter: Column) -> Column:
     """The normal form of shorter is part of that of longer; an empty one always is."""
     return F.contains(normalize(longer), normalize(shorter))

@@ -134,8 +134,8 @@ def stage_metrics(rows: DataFrame) -> DataFrame:
     """rows: id, prompt, prediction, injected (array of h, r, t), targets. Of rows with targets: how many prompts hold an
     injected triple; of these, how many predictions a target; of rows with such a prediction, the share of them."""
     flat = lambda x: F.regexp_replace(x, r"\s+", "")
-    want = F.filter(F.transform("targets", text.alphanumeric), lambda x: x != "")
-    made = F.transform(text.loose_answers(F.col("prediction")), text.alphanumeric)
+    want = F.filter(F.transform("targets", text.plain), lambda x: x != "")
+    made = F.transform(text.loose_answers(F.col("prediction")), text.plain)
     each = rows.where(F.size("targets") > 0).select(
         F.exists("injected", lambda t: F.contains(flat(F.col("prompt")), flat(text.triple_text(t["h"], t["r"], t["t"])))).alias("retrieved"),
         F.size(made).alias("n"),

@@ -16,8 +16,11 @@ def collapsed(triples: DataFrame) -> DataFrame:
 
 def hops(step: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
     """keys, node, d: hops from start (keys, node) along step (sample_id, node, to; keys hold sample_id). Level by level
-    until one is empty; each level is a partition d of a table in the shared folder, so plans stay small."""
+    until one is empty; each level is a partition d of a table in the shared folder, so plans stay small, and steps are
+    written once."""
     spark, folder = step.sparkSession, records.scratch(step.sparkSession)
+    step = records.written(step, f"{folder}/step")
+    folder += "/levels"
     start.select(*keys, "node").distinct().write.parquet(f"{folder}/d=0")
     level = spark.read.parquet(f"{folder}/d=0")
     schema, d = level.withColumn("d", F.lit(0)).schema, 0
@@ -29,43 +32,68 @@ def hops(step: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
-def distances(edges: DataFrame, anchors: DataFrame, reverse: bool = False) -> DataFrame:
-    """sample_id, anchor, node, d: hops from each anchor (reverse: to it)."""
-    a, b = ("t", "h") if reverse else ("h", "t")
-    step = edges.select("sample_id", F.col(a).alias("node"), F.col(b).alias("to")).distinct()
-    return hops(step, anchors.select("sample_id", "anchor", F.col("anchor").alias("node")), ["sample_id", "anchor"])
-
-
 def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pairs: sample_id, q, a. Returns (sample_id, triple_id, label) and (sample_id, max_path_length).
 
-    An edge (u, v) is on a shortest path from s to t iff d(s,u) + 1 + d(v,t) = d(s,t), so no path is listed. Of the two
-    directions between q and a the shorter counts, both if equally long; q = a has length 0 and labels nothing."""
-    edges = collapsed(triples)
-    anchors = pairs.select("sample_id", F.col("q").alias("anchor")).unionByName(pairs.select("sample_id", F.col("a").alias("anchor"))).distinct()
-    out, back = distances(edges, anchors), distances(edges, anchors, reverse=True)
-    d = lambda s, t, name: out.select("sample_id", F.col("anchor").alias(s), F.col("node").alias(t), F.col("d").alias(name))
-    both = pairs.select("sample_id", "q", "a").distinct().join(d("q", "a", "df"), ["sample_id", "q", "a"], "left").join(d("a", "q", "db"), ["sample_id", "a", "q"], "left").withColumn("l", F.least("df", "db"))
-    length = both.groupBy("sample_id").agg(F.max("l").alias("max_path_length"))
-    ways = both.where("df = l").select("sample_id", F.col("q").alias("s"), F.col("a").alias("e"), "l").unionByName(both.where("db = l").select("sample_id", F.col("a").alias("s"), F.col("q").alias("e"), "l"))
-    first = out.select("sample_id", F.col("anchor").alias("s"), F.col("node").alias("h"), F.col("d").alias("du"))
-    last = back.select("sample_id", F.col("anchor").alias("e"), F.col("node").alias("t"), F.col("d").alias("dv"))
-    on = ways.join(first, ["sample_id", "s"]).join(edges, ["sample_id", "h"]).join(last, ["sample_id", "e", "t"]).where("du + 1 + dv = l").select("sample_id", "triple_id").distinct()
-    labels = triples.select("sample_id", "triple_id").join(on.withColumn("_on", F.lit(1.0)), ["sample_id", "triple_id"], "left").select("sample_id", "triple_id", F.coalesce("_on", F.lit(0.0)).alias("label"))
+    Of the two directions between q and a the shorter counts, both if equally long; q = a has length 0 and labels
+    nothing. All directed ways are searched level by level from their starts; a pair's ways end at the level that
+    reaches the first of them, and a start without open ways stops. Then the levels are walked back from the ends that
+    were reached, over edges that lead one level on, so only edges of shortest paths are met and no path is listed."""
+    spark, folder = triples.sparkSession, records.scratch(triples.sparkSession)
+    own = records.written(triples.select("sample_id", "triple_id", "h", "r", "t"), f"{folder}/triples")
+    edges = records.written(collapsed(own), f"{folder}/edges")
+    both = pairs.select("sample_id", "q", "a").distinct().withColumn("pair", F.array_sort(F.array("q", "a")))
+    ways = both.select("sample_id", "pair", F.explode(F.array(F.struct(F.col("q").alias("s"), F.col("a").alias("e")), F.struct(F.col("a").alias("s"), F.col("q").alias("e")))).alias("x")).select("sample_id", "pair", "x.*").distinct()
+    open_ = records.written(ways, f"{folder}/open/0")
+    level = records.written(open_.select("sample_id", "s", F.col("s").alias("node")).distinct(), f"{folder}/levels/d=0")
+    schema, d = level.withColumn("d", F.lit(0)).schema, 0
+    while True:
+        found = records.written(open_.join(level.withColumnRenamed("node", "e"), ["sample_id", "s", "e"]).withColumn("l", F.lit(d)), f"{folder}/reached/l={d}")
+        open_ = records.written(open_.join(found.select("sample_id", "pair").distinct(), ["sample_id", "pair"], "left_anti"), f"{folder}/open/{d + 1}")
+        live = level.join(open_.select("sample_id", "s").distinct(), ["sample_id", "s"], "left_semi")
+        seen = spark.read.schema(schema).parquet(f"{folder}/levels").select("sample_id", "s", "node")
+        d += 1
+        new = live.join(edges.select("sample_id", F.col("h").alias("node"), F.col("t").alias("to")), ["sample_id", "node"]).select("sample_id", "s", F.col("to").alias("node")).distinct().join(seen, ["sample_id", "s", "node"], "left_anti")
+        level = records.written(new, f"{folder}/levels/d={d}")
+        if level.isEmpty():
+            break
+    reached = spark.read.schema(found.schema).parquet(f"{folder}/reached")
+    levels = spark.read.schema(schema).parquet(f"{folder}/levels")
+    length = reached.groupBy("sample_id").agg(F.max("l").alias("max_path_length"))
+    length = pairs.select("sample_id").distinct().join(length, "sample_id", "left")
+    back = reached.select("sample_id", "s", F.col("e").alias("t"), "l").distinct()
+    on = None
+    for at in range(d - 1, 0, -1):  # ends at level at, and what the walk has come to
+        ends = back.where(F.col("l") == at).select("sample_id", "s", "t")
+        ends = ends if on is None else ends.unionByName(walked.select("sample_id", "s", F.col("h").alias("t"))).distinct()
+        before = levels.where(F.col("d") == at - 1).select("sample_id", "s", F.col("node").alias("h"))
+        walked = records.written(ends.join(edges, ["sample_id", "t"]).join(before, ["sample_id", "s", "h"]).select("sample_id", "s", "h", "triple_id"), f"{folder}/walked/{at}")
+        part = walked.select("sample_id", "triple_id")
+        on = part if on is None else on.unionByName(part)
+    if on is None:
+        return own.select("sample_id", "triple_id", F.lit(0.0).alias("label")), length
+    labels = own.select("sample_id", "triple_id").join(on.distinct().withColumn("_on", F.lit(1.0)), ["sample_id", "triple_id"], "left").select("sample_id", "triple_id", F.coalesce("_on", F.lit(0.0)).alias("label"))
     return labels, length
 
 
 def directional_distances(triples: DataFrame, nodes: DataFrame, rounds: int = 2, reverse_rounds: int = 2) -> DataFrame:
     """nodes: sample_id, node, x0, x1 (topic one-hot). Adds f1.. and b1.. (pairs): means over in-edges (out-edges) of
-    the last round's features; 0 where there are none. Repeated triples count as often as they occur."""
-    out = nodes
+    the last round's features; 0 where there are none. Repeated triples count as often as they occur. Each round is
+    written, and all meet in one aggregation."""
+    folder = records.scratch(triples.sparkSession)
+    edges = records.written(triples.select("sample_id", "h", "t"), f"{folder}/edges")
+    own = records.written(nodes.select("sample_id", "node", F.col("x0").alias("y0"), F.col("x1").alias("y1")), f"{folder}/nodes")
+    every, names = own.withColumn("k", F.lit("x")), []
     for prefix, n, a, b in (("f", rounds, "h", "t"), ("b", reverse_rounds, "t", "h")):
-        last = nodes.select("sample_id", "node", F.col("x0").alias("y0"), F.col("x1").alias("y1"))
+        last = own
         for i in range(1, n + 1):
-            mean = triples.select("sample_id", F.col(a).alias("node"), F.col(b).alias("to")).join(last, ["sample_id", "node"]).groupBy("sample_id", F.col("to").alias("node")).agg(F.avg("y0").alias("y0"), F.avg("y1").alias("y1"))
-            last = nodes.select("sample_id", "node").join(mean, ["sample_id", "node"], "left").fillna(0.0, ["y0", "y1"])
-            out = out.join(last.withColumnsRenamed({"y0": f"{prefix}{i}_0", "y1": f"{prefix}{i}_1"}), ["sample_id", "node"])
-    return out
+            message = edges.select("sample_id", F.col(a).alias("node"), F.col(b).alias("to")).join(last, ["sample_id", "node"], "left")
+            mean = message.groupBy("sample_id", F.col("to").alias("node")).agg(*(F.avg(F.coalesce(y, F.lit(0.0))).alias(y) for y in ("y0", "y1")))
+            last = records.written(mean, f"{folder}/{prefix}{i}")
+            every, names = every.unionByName(last.withColumn("k", F.lit(f"{prefix}{i}"))), [*names, f"{prefix}{i}"]
+    of = lambda k, y: F.max(F.when(F.col("k") == k, F.col(y)))
+    wide = every.groupBy("sample_id", "node").agg(of("x", "y0").alias("x0"), of("x", "y1").alias("x1"), *(F.coalesce(of(k, f"y{i}"), F.lit(0.0)).alias(f"{k}_{i}") for k in names for i in (0, 1)))
+    return wide.where("x0 is not null")
 
 
 def paths(triples: DataFrame, starts: DataFrame) -> DataFrame:

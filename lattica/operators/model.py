@@ -124,10 +124,11 @@ def train(rows: DataFrame, labels: DataFrame, triples: DataFrame, hidden: int =
     first = own.select(F.size("x").alias("n")).first()
     if first is None:
         raise ValueError("no triples to learn from")
+    relevant = labels.where("label > 0").join(triples.select("sample_id", "triple_id", "h", "r", "t"), ["sample_id", "triple_id"])
     net = Network(first.n, hidden, seed=seed)
     m, v, best, kept, history, stale = np.zeros(len(net.weights)), np.zeros(len(net.weights)), -1.0, net.weights.copy(), [], 0
     for n in range(1, epochs + 1):
-        recall = retrieval.triple_recall(triples.drop("score").join(scored(own, net), ["sample_id", "triple_id"]), labels, [k]).first().recall or 0.0
+        recall = retrieval.triple_recall(retrieval.ranked(triples.drop("score").join(scored(own, net), ["sample_id", "triple_id"])), relevant, [k]).first().recall or 0.0
         if recall > best:
             best, kept, stale = recall, net.weights.copy(), 0
         else:

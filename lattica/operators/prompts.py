@@ -91,7 +91,7 @@ def paths_first(paths: DataFrame, scored: DataFrame) -> DataFrame:
 
 def shuffled(triples: DataFrame, seed: int = 0) -> DataFrame:
     """sample_id, rank, h, r, t: distinct triples in an order that the seed fixes."""
-    w = Window.partitionBy("sample_id").orderBy(F.xxhash64(F.lit(seed), "sample_id", *TRIPLE), *TRIPLE)
+    w = Window.partitionBy("sample_id").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), *TRIPLE)), *TRIPLE)
     return triples.select("sample_id", *TRIPLE).distinct().withColumn("rank", F.row_number().over(w))
 
 

@@ -20,20 +20,29 @@ def score_map(scored: DataFrame) -> DataFrame:
     return scored.groupBy("sample_id", "h", "r", "t").agg(F.max("score").alias("score"))
 
 
-def triple_recall(scored: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
-    """k, recall (mean over samples with relevant triples), n_samples."""
-    rows = ranked(scored).join(labels, ["sample_id", "triple_id"]).where("label > 0")
-    each = rows.groupBy("sample_id").agg(*(F.avg((F.col("rank") <= k).cast("double")).alias(f"k{k}") for k in ks))
+def _recall(wanted: DataFrame, found: DataFrame, keys: list[str], ks: list[int]) -> DataFrame:
+    """wanted: sample_id, keys, distinct. found: the same with rank, a row for each of them. k, recall, n_samples: the
+    mean share of wanted rows among the first k, over samples of which something was found at all. What is wanted and not
+    found counts as missed."""
+    some = found.select("sample_id").distinct()
+    rows = wanted.join(some, "sample_id", "left_semi").join(found, ["sample_id", *keys], "left")
+    each = rows.groupBy("sample_id").agg(*(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"k{k}") for k in ks))
     wide = each.agg(*(F.avg(f"k{k}").alias(f"k{k}") for k in ks), F.count("*").alias("n"))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.round(f"k{k}", 6).alias("recall"), F.col("n").alias("n_samples")) for k in ks))).alias("x")).select("x.*")
 
 
-def answer_recall(scored: DataFrame, answers: DataFrame, ks: list[int]) -> DataFrame:
-    """answers: sample_id, entity (distinct, in the graph). Share of them among endpoints of the first k, mean."""
-    ends = ranked(scored).select("sample_id", "rank", F.explode(F.array("h", "t")).alias("entity")).groupBy("sample_id", "entity").agg(F.min("rank").alias("rank"))
-    each = answers.select("sample_id", "entity").distinct().join(ends, ["sample_id", "entity"], "left").groupBy("sample_id").agg(*(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"k{k}") for k in ks))
-    wide = each.agg(*(F.avg(f"k{k}").alias(f"k{k}") for k in ks), F.count("*").alias("n"))
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.round(f"k{k}", 6).alias("recall"), F.col("n").alias("n_samples")) for k in ks))).alias("x")).select("x.*")
+def triple_recall(ranks: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
+    """ranks: scored triples with rank, of which a top-K is enough. relevant: sample_id, h, r, t, from shortest paths or
+    from another source. k, recall, n_samples; equal triples are one."""
+    triple = ["h", "r", "t"]
+    found = ranks.groupBy("sample_id", *triple).agg(F.min("rank").alias("rank"))
+    return _recall(relevant.select("sample_id", *triple).distinct(), found, triple, ks)
+
+
+def answer_recall(ranks: DataFrame, answers: DataFrame, ks: list[int]) -> DataFrame:
+    """answers: sample_id, entity (in the graph). Share of them among the ends of the first k: k, recall, n_samples."""
+    found = ranks.select("sample_id", "rank", F.explode(F.array("h", "t")).alias("entity")).groupBy("sample_id", "entity").agg(F.min("rank").alias("rank"))
+    return _recall(answers.select("sample_id", "entity").distinct(), found, ["entity"], ks)
 
 
 def one_per_pair(ranks: DataFrame) -> DataFrame:
@@ -56,14 +65,24 @@ def with_gold(scored: DataFrame, gold: DataFrame) -> DataFrame:
     return first.unionByName(ranked(scored).select("sample_id", "h", "r", "t", F.col("rank").cast("long").alias("pos")))
 
 
-def corrupted(scored: DataFrame, questions: DataFrame, pool: DataFrame, budget: int, seed: int = 0) -> DataFrame:
-    """At most budget corrupted triples a sample: of a triple that touches a question entity, the other end becomes an
-    entity of the pool. questions: sample_id, entity. pool: sample_id, entity. Hash-ordered by seed, so runs agree."""
-    q = questions.select("sample_id", F.col("entity").alias("_q")).distinct()
-    source = scored.join(q, "sample_id").where((F.col("h") == F.col("_q")) | (F.col("t") == F.col("_q")))
-    source = source.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.xxhash64(F.lit(seed), "h", "r", "t"), "triple_id"))).where(F.col("_n") <= budget)
-    options = pool.select("sample_id", "entity").distinct().withColumn("_m", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.xxhash64(F.lit(seed), "entity"), "entity")))
-    sizes = options.groupBy("sample_id").agg(F.count("*").alias("_size"))
-    pick = source.join(sizes, "sample_id").withColumn("_m", F.pmod(F.xxhash64(F.lit(seed), "h", "r", "t"), F.col("_size")).cast("int") + 1).join(options, ["sample_id", "_m"])
-    new = pick.select("sample_id", F.when(F.col("h") == F.col("_q"), F.col("h")).otherwise(F.col("entity")).alias("h"), "r", F.when(F.col("h") == F.col("_q"), F.col("entity")).otherwise(F.col("t")).alias("t"), "score").where("h <> t")
-    return new.dropDuplicates(["sample_id", "h", "r", "t"]).join(scored.select("sample_id", "h", "r", "t"), ["sample_id", "h", "r", "t"], "left_anti")
+def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget: int, seed: int = 0) -> DataFrame:
+    """budget random triples for each sample, or all there are: of a triple of the graph that touches a question entity the
+    other end (the tail, where both are such) becomes another entity of the graph. New triples are none of the graph's.
+    Samples of which no triple touches one get none.
+
+    graph: sample_id, h, r, t; questions: sample_id, entity. Triples with an equal kept end and relation have the same
+    outcomes, so each such pair meets the sample's entities once; the order is that of a hash of seed and triple. The
+    score is that of the first source in this order, or the sample's least where it isn't among scored."""
+    triple = ["sample_id", "h", "r", "t"]
+    own, q = graph.select(triple).distinct(), questions.select("sample_id", "entity").distinct()
+    head, tail = (q.withColumnRenamed("entity", c).withColumn(f"_{c}", F.lit(True)) for c in ("h", "t"))
+    source = own.join(head, ["sample_id", "h"], "left").join(tail, ["sample_id", "t"], "left").where("_h or _t").withColumn("_h", F.coalesce("_h", F.lit(False)))
+    least = scored.groupBy("sample_id").agg(F.min("score").alias("_least"))
+    priced = source.join(score_map(scored), triple, "left").join(least, "sample_id", "left")
+    order = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(x).cast("string") for x in c)))
+    kept = priced.groupBy("sample_id", "r", "_h", F.when(F.col("_h"), F.col("h")).otherwise(F.col("t")).alias("_kept")).agg(F.min_by(F.coalesce("score", "_least", F.lit(0.0)), F.struct(order(*triple), *triple)).alias("score"))
+    pool = own.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct()
+    made = kept.join(pool, "sample_id").where("entity <> _kept")
+    made = made.select("sample_id", F.when(F.col("_h"), F.col("_kept")).otherwise(F.col("entity")).alias("h"), "r", F.when(F.col("_h"), F.col("entity")).otherwise(F.col("_kept")).alias("t"), "score")
+    new = made.groupBy(triple).agg(F.max("score").alias("score")).join(own, triple, "left_anti")
+    return new.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id").orderBy(order(*triple), "h", "r", "t"))).where(F.col("_n") <= budget).drop("_n")

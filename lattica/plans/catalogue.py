@@ -11,8 +11,11 @@ from pyspark.sql import Window
 
 from lattica.functions import text
 from lattica.operators import encoding, graph, metrics, retrieval
+from lattica.sources import records
 
 KS = [1, 5, 10, 50, 100]
+#: Triples that retrieval keeps in the recall queries.
+MOST = 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample_id", (F.row_number().over(w) - 1).alias("triple_id"), "h", "r", "t", "score")
 
 
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored triples as a table, for queries that use them more than once."""
+    return records.written(scored(spark, sf_dir), records.scratch(spark))
+
+
 def non_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("O#"), F.col("o_orderkey").cast("string")).alias("entity"))
 
@@ -64,35 +72,69 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("parent_id"), F.col("event_id").alias("sub_id"), F.col("event_type").alias("question"), (F.col("value") > 20).alias("hit"))
+    """Questions in two spellings, some without any letter; steps that need an earlier answer, and changed ones."""
+    i = F.col("event_id")
+    q = F.when(i % 11 == 0, "?!").when(i % 2 == 0, F.concat(F.upper("event_type"), F.lit(" été?"))).otherwise(F.concat(F.lit(" -"), "event_type", F.lit(" Été.")))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("parent_id"), i.alias("sub_id"), q.alias("question"), (F.col("value") > 20).alias("hit"), (i % 3 > 0).alias("needs_prev_answer"), (i % 4 == 0).alias("changed"))
 
 
-def _gold(s, d):
-    return scored(s, d).where("r in ('location.nation', 'place.region')").select("sample_id", "triple_id", "h", "r", "t")
+def _gold(t):
+    return t.where("r in ('location.nation', 'place.region')").select("sample_id", "triple_id", "h", "r", "t")
 
 
 def _entities(s, d):
     return encoding.entities(scored(s, d), non_text(s, d))
 
 
+def _with_gold(s, d):
+    t = saved(s, d)
+    return retrieval.with_gold(retrieval.top_k(t, 3).drop("rank"), _gold(t))
+
+
+def _recall(s, d):
+    """Recall of shortest-path triples among the first MOST, the others being lost to retrieval."""
+    t = saved(s, d)
+    labels = graph.shortest_path_labels(t, pairs(s, d))[0].where("label > 0")
+    return retrieval.triple_recall(retrieval.top_k(t, MOST), t.join(labels, ["sample_id", "triple_id"]), KS)
+
+
+def _labelled_recall(s, d):
+    """Recall of triples that another source calls relevant, of which the graph doesn't have all, and a question nothing."""
+    h = homes(s, d)
+    own = h.select("sample_id", F.col("c_name").alias("h"), F.lit("location.nation").alias("r"), F.col("n_name").alias("t"))
+    other = h.select("sample_id", F.col("n_name").alias("h"), F.lit("place.capital").alias("r"), F.col("c_name").alias("t"))
+    nobody = own.select((-F.col("sample_id")).alias("sample_id"), "h", "r", "t")
+    items = scored(s, d).where("r = 'order.item' and triple_id % 5 = 0").select("sample_id", "h", "r", "t")
+    return retrieval.triple_recall(retrieval.top_k(scored(s, d), MOST), own.unionByName(other).unionByName(nobody).unionByName(items), KS)
+
+
+def _corrupted(s, d):
+    t = saved(s, d)
+    return retrieval.corrupted(t, retrieval.top_k(t, 3).drop("rank"), homes(s, d).select("sample_id", F.col("c_name").alias("entity")), 20)
+
+
 def _encoded(s, d):
-    t = scored(s, d)
+    t = saved(s, d)
     return encoding.encoded(t, encoding.entities(t, non_text(s, d)), encoding.relations(t))
 
 
 def _dde(s, d):
-    t = scored(s, d)
-    nodes = _entities(s, d).join(homes(s, d).select("sample_id", F.col("c_name").alias("entity"), F.lit(1.0).alias("x1")), ["sample_id", "entity"], "left").select("sample_id", F.col("entity").alias("node"), F.coalesce("x1", F.lit(0.0)).alias("x1")).withColumn("x0", 1 - F.col("x1"))
+    t = saved(s, d)
+    nodes = encoding.entities(t, non_text(s, d)).join(homes(s, d).select("sample_id", F.col("c_name").alias("entity"), F.lit(1.0).alias("x1")), ["sample_id", "entity"], "left").select("sample_id", F.col("entity").alias("node"), F.coalesce("x1", F.lit(0.0)).alias("x1")).withColumn("x0", 1 - F.col("x1"))
     out = graph.directional_distances(t, nodes)
     return out.select("sample_id", "node", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("sample_id", "node")))
 
 
 def _attack(s, d):
-    return metrics.attack_metrics(predictions(s, d).select("id", "predictions", F.transform("answers", F.lower).alias("targets")))
+    """Targets in other spellings; rows without any don't count."""
+    own = predictions(s, d)
+    targets = F.when(F.col("id") % 7 == 0, F.array(F.lit(" "))).otherwise(F.transform("answers", lambda x: F.concat(F.lit("L’Été-"), F.lower(x))))
+    made = F.concat(F.transform("predictions", lambda x: F.concat(F.lit("l été: "), x, F.lit("!"))), F.array(F.lit("  ")))
+    return metrics.attack_metrics(own.select("id", made.alias("predictions"), targets.alias("targets")))
 
 
 def _normal(s, d):
-    return table(s, d, "part").select("p_partkey", text.normalize(F.concat(F.lit("The "), "p_name", F.lit(", a "), "p_type")).alias("normal"), text.alphanumeric(F.col("p_brand")).alias("plain"), text.answer_type(F.concat(F.lit("where is the "), "p_name")).alias("kind"))
+    return table(s, d, "part").select("p_partkey", text.normalize(F.concat(F.lit("The "), "p_name", F.lit(", a "), "p_type")).alias("normal"), text.plain(F.concat("p_brand", F.lit("-Ünï’42…Москва"))).alias("plain"), text.answer_type(F.concat(F.lit("where is the "), "p_name")).alias("kind"))
 
 
 QUERIES = {
@@ -106,17 +148,19 @@ QUERIES = {
     "kg_dde": _dde,
     "kg_paths": lambda s, d: graph.paths(scored(s, d), homes(s, d).select("sample_id", F.col("c_name").alias("node"))).groupBy("sample_id", "r1", "r2").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets")),
     "kg_top_k": lambda s, d: retrieval.top_k(scored(s, d), 20).select("sample_id", "triple_id", "rank"),
-    "kg_recall_at_k": lambda s, d: retrieval.triple_recall(scored(s, d), graph.shortest_path_labels(scored(s, d), pairs(s, d))[0], KS),
-    "kg_answer_recall": lambda s, d: retrieval.answer_recall(scored(s, d), answers(s, d), KS),
+    "kg_recall_at_k": _recall,
+    "kg_labelled_recall": _labelled_recall,
+    "kg_answer_recall": lambda s, d: retrieval.answer_recall(retrieval.top_k(scored(s, d), MOST), answers(s, d), KS),
     "kg_score_map": lambda s, d: retrieval.score_map(scored(s, d)),
     "kg_one_per_pair": lambda s, d: retrieval.one_per_pair(retrieval.ranked(scored(s, d))).select("sample_id", "triple_id", "rank"),
     "kg_without_answers": lambda s, d: retrieval.without_answers(scored(s, d), answers(s, d)).groupBy("sample_id").agg(F.count("*").alias("n")),
-    "kg_with_gold": lambda s, d: retrieval.with_gold(retrieval.top_k(scored(s, d), 3).drop("rank"), _gold(s, d)),
-    "kg_corrupted": lambda s, d: retrieval.corrupted(scored(s, d), homes(s, d).select("sample_id", F.col("c_name").alias("entity")), _entities(s, d), 20),
+    "kg_with_gold": _with_gold,
+    "kg_corrupted": _corrupted,
     "kg_answer_scores": lambda s, d: metrics.answer_scores(predictions(s, d)).select("id", "hit", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1"))),
     "kg_answer_summary": lambda s, d: metrics.summary(metrics.answer_scores(predictions(s, d))),
     "kg_attack_metrics": _attack,
     "kg_spread": lambda s, d: metrics.spread(steps(s, d)),
+    "kg_dependency_rate": lambda s, d: metrics.dependency_rate(steps(s, d)),
     "kg_chain": lambda s, d: metrics.chain(steps(s, d)),
     "kg_breakpoints": lambda s, d: metrics.breakpoints(steps(s, d)),
     "kg_normalize": _normal,
@@ -128,15 +172,17 @@ raw as (select sample_id, 0 kind, 0 k1, 0 k2, c_name h, 'location.nation' r, n_n
   union all select sample_id, 1, 0, 0, n_name, 'place.region', r_name, 0.1::double from home
   union all select sample_id, 2, o_orderkey, 0, c_name, 'order.placed', 'O#' || o_orderkey, o_totalprice / 1e6 from home join orders on o_custkey = sample_id
   union all select sample_id, 3, o_orderkey, l_linenumber, 'O#' || o_orderkey, 'order.item', p_name, l_extendedprice / 1e6 from home join orders on o_custkey = sample_id join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey),
-triples as (select sample_id, (row_number() over (partition by sample_id order by kind, k1, k2, t, score) - 1)::int triple_id, h, r, t, score from raw),
+triples as materialized (select sample_id, (row_number() over (partition by sample_id order by kind, k1, k2, t, score) - 1)::int triple_id, h, r, t, score from raw),
 ranked as (select *, row_number() over (partition by sample_id order by score desc, triple_id)::int rank from triples),
 ends as (select distinct sample_id, entity from (select sample_id, h entity from triples union all select sample_id, t from triples)),
-ids as (select sample_id, entity, (row_number() over (partition by sample_id order by entity like 'O#%', entity) - 1)::int entity_id, entity not like 'O#%' is_text from ends),
+ids as materialized (select sample_id, entity, (row_number() over (partition by sample_id order by entity like 'O#%', entity) - 1)::int entity_id, entity not like 'O#%' is_text from ends),
 rels as (select sample_id, relation, (row_number() over (partition by sample_id order by relation) - 1)::int relation_id from (select distinct sample_id, r relation from triples)),
 answers as (select sample_id, unnest([n_name, r_name]) entity from home),
 pairs as (select sample_id, c_name q, unnest([n_name, r_name]) a from home),
 preds as (select sample_id id, case sample_id % 3 when 0 then [n_name, 'The ' || r_name || '!'] when 1 then [c_name, n_name] else []::varchar[] end predictions, [r_name, n_name] answers from home),
-steps as (select user_id parent_id, event_id sub_id, event_type question, value > 20 hit from events)"""
+steps as (select user_id parent_id, event_id sub_id, case when event_id % 11 = 0 then '?!' when event_id % 2 = 0 then upper(event_type) || ' été?' else ' -' || event_type || ' Été.' end question, value > 20 hit, event_id % 3 > 0 needs, event_id % 4 = 0 changed from events),
+dep as (select parent_id, hit, row_number() over (partition by parent_id order by sub_id)::int k from steps where needs)"""
+PLAIN = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 #: No edge leads back, so the only shortest paths are the one to the nation and its continuation to the region.
 LABELS = "labels as (select sample_id, triple_id, case when r in ('location.nation', 'place.region') then 1.0::double else 0.0::double end as label from triples)"
 NORMAL = lambda x: f"trim(regexp_replace(regexp_replace(translate(lower({x}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -152,6 +198,12 @@ def _mean(name: str, of: str, a: str, b: str) -> str:
 
 DDE = "n0 as (select e.sample_id, e.entity node, case when e.entity = c_name then 0.0 else 1.0 end::double y0, case when e.entity = c_name then 1.0 else 0.0 end::double y1 from ids e join home using (sample_id)), " + ", ".join([_mean("f1", "n0", "h", "t"), _mean("f2", "f1", "h", "t"), _mean("b1", "n0", "t", "h"), _mean("b2", "b1", "t", "h")])
 _recall = lambda each: " union all ".join(f"select {k} as k, round(avg(k{k}), 6) as recall, count(*) as n_samples from ({each})" for k in KS)
+_recalled = lambda wanted: _recall("select sample_id, " + ", ".join(f"avg(coalesce((rank <= {k})::int, 0)) k{k}" for k in KS) + f" from (select distinct sample_id, h, r, t from ({wanted})) left join (select sample_id, h, r, t, min(rank) rank from ranked where rank <= {MOST} group by all) using (sample_id, h, r, t) where sample_id in (select sample_id from triples) group by 1")
+#: Only triples of the customer touch it, always as head.
+CORRUPTED = """least3 as (select sample_id, min(score) least from ranked where rank <= 3 group by 1),
+prices as (select t.sample_id, t.h, t.r, t.t, coalesce(max(x.score), any_value(least)) score from (select distinct sample_id, h, r, t from triples join home using (sample_id) where h = c_name) t join least3 using (sample_id) left join ranked x on x.rank <= 3 and x.sample_id = t.sample_id and x.h = t.h and x.r = t.r and x.t = t.t group by 1, 2, 3, 4),
+sources as (select sample_id, h, r, arg_min(score, md5(concat_ws('|', '0', sample_id, h, r, t))) score from prices group by 1, 2, 3),
+made as (select s.sample_id, h, r, entity t, score from sources s join ends using (sample_id) where entity <> h)"""
 _scores = f"""sc as (select id, answers, predictions, len(list_filter(predictions, lambda x: len(list_filter(answers, lambda y: contains({NORMAL('x')}, {NORMAL('y')}))) > 0)) good, len(list_filter(answers, lambda y: len(list_filter(predictions, lambda x: contains({NORMAL('x')}, {NORMAL('y')}))) > 0)) found from preds),
 sp as (select id, (found > 0)::int hit, case when len(predictions) > 0 then good / len(predictions) else 0.0 end::double p, (found / len(answers))::double r from sc),
 sf as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end::double f from sp)"""
@@ -166,17 +218,20 @@ ORACLES = {
     "kg_dde": _sql("select n0.sample_id, n0.node, n0.y1 as x1, n0.y0 as x0, " + ", ".join(f"round({x}.y{i}, 6) as {x}_{i}" for x in ("f1", "f2", "b1", "b2") for i in (0, 1)) + " from n0 " + " ".join(f"join {x} on {x}.sample_id = n0.sample_id and {x}.node = n0.node" for x in ("f1", "f2", "b1", "b2")), DDE),
     "kg_paths": _sql("select sample_id, r1, r2, count(*) as n, count(distinct target) as targets from (select t.sample_id, t.r r1, null::varchar r2, t.t target from triples t join home on home.sample_id = t.sample_id and h = c_name union all select t.sample_id, t.r, u.r, u.t from triples t join home on home.sample_id = t.sample_id and t.h = c_name join triples u on u.sample_id = t.sample_id and u.h = t.t) group by all"),
     "kg_top_k": _sql("select sample_id, triple_id, rank from ranked where rank <= 20"),
-    "kg_recall_at_k": _sql(_recall("select sample_id, " + ", ".join(f"avg((rank <= {k})::int) k{k}" for k in KS) + " from ranked join labels using (sample_id, triple_id) where label > 0 group by 1"), LABELS),
-    "kg_answer_recall": _sql(_recall("select sample_id, " + ", ".join(f"avg(coalesce((rank <= {k})::int, 0)) k{k}" for k in KS) + " from answers left join (select sample_id, entity, min(rank) rank from (select sample_id, h entity, rank from ranked union all select sample_id, t, rank from ranked) group by 1, 2) using (sample_id, entity) group by 1")),
+    "kg_recall_at_k": _sql(_recalled("select sample_id, h, r, t from labels join triples using (sample_id, triple_id) where label > 0"), LABELS),
+    "kg_labelled_recall": _sql(_recalled("select sample_id, c_name h, 'location.nation' r, n_name t from home union all select sample_id, n_name, 'place.capital', c_name from home union all select -sample_id, c_name, 'location.nation', n_name from home union all select sample_id, h, r, t from triples where r = 'order.item' and triple_id % 5 = 0")),
+    "kg_answer_recall": _sql(_recall("select sample_id, " + ", ".join(f"avg(coalesce((rank <= {k})::int, 0)) k{k}" for k in KS) + f" from answers left join (select sample_id, entity, min(rank) rank from (select sample_id, h entity, rank from ranked where rank <= {MOST} union all select sample_id, t, rank from ranked where rank <= {MOST}) group by 1, 2) using (sample_id, entity) where sample_id in (select sample_id from triples) group by 1")),
     "kg_score_map": _sql("select sample_id, h, r, t, max(score) as score from triples group by all"),
     "kg_one_per_pair": _sql("select sample_id, triple_id, rank from ranked qualify row_number() over (partition by sample_id, least(h, t), greatest(h, t) order by rank) = 1"),
     "kg_without_answers": _sql("select t.sample_id, count(*) as n from triples t join home using (sample_id) where not (contains(h, n_name) or contains(t.t, n_name) or contains(h, r_name) or contains(t.t, r_name)) group by 1"),
-    "kg_with_gold": _sql("select sample_id, h, r, t, -triple_id::bigint - 1 as pos from triples where r in ('location.nation', 'place.region') and (sample_id, h, r, t) not in (select (sample_id, h, r, t) from ranked where rank <= 3) union all select sample_id, h, r, t, rank::bigint from ranked where rank <= 3"),
+    "kg_with_gold": _sql("select sample_id, h, r, t, -triple_id::bigint - 1 as pos from triples g where r in ('location.nation', 'place.region') and not exists (select 1 from ranked x where rank <= 3 and x.sample_id = g.sample_id and x.h = g.h and x.r = g.r and x.t = g.t) union all select sample_id, h, r, t, rank::bigint from ranked where rank <= 3"),
+    "kg_corrupted": _sql("select sample_id, h, r, t, score from (select *, row_number() over (partition by sample_id order by md5(concat_ws('|', '0', sample_id, h, r, t)), h, r, t) n from (select sample_id, h, r, t, max(score) score from made group by all) m where not exists (select 1 from triples x where x.sample_id = m.sample_id and x.h = m.h and x.r = m.r and x.t = m.t)) where n <= 20", CORRUPTED),
     "kg_answer_scores": _sql("select id, hit, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1 from sf", _scores),
     "kg_answer_summary": _sql("select count(*) as n, round(100 * avg(hit), 6) as hit, round(100 * avg(p), 6) as precision, round(100 * avg(r), 6) as recall, round(100 * avg(f), 6) as f1, round(100 * avg((f = 1)::int), 6) as exact, round(100 * avg((r = 0)::int), 6) as wrong from sf", _scores),
-    "kg_attack_metrics": _sql("select count(*) as n, round(100 * avg(coalesce(len(list_filter(h, lambda x: x)) / nullif(len(h), 0), 0)), 6) as a_precision, round(100 * avg(coalesce(h[1], false)::int), 6) as a_hit1, round(100 * avg(coalesce(1 / nullif(list_position(h, true), 0), 0)), 6) as a_mrr from (select list_transform(predictions, lambda x: list_contains(list_transform(answers, lambda y: lower(y)), lower(x))) h from preds)"),
-    "kg_spread": _sql("select count(*) as groups, sum(parents)::bigint as parents, sum(hit_parents)::bigint as hit_parents from (select lower(question) question, count(distinct parent_id) parents, count(distinct case when hit then parent_id end) hit_parents from steps group by 1) where parents > 1"),
-    "kg_chain": _sql("select k, count(*) as chains, sum(a)::bigint as successes from (select row_number() over w::int k, min(hit::int) over (w rows unbounded preceding) a from steps window w as (partition by parent_id order by sub_id)) group by 1"),
-    "kg_breakpoints": _sql("select breakpoint, count(*) as chains from (select parent_id, coalesce(min(case when not hit then k end), 0)::int breakpoint from (select *, row_number() over (partition by parent_id order by sub_id) k from steps) group by 1) group by 1"),
-    "kg_normalize": f"select p_partkey, {NORMAL(chr(39) + 'The ' + chr(39) + ' || p_name || ' + chr(39) + ', a ' + chr(39) + ' || p_type')} as normal, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) as plain, 'location' as kind from part",
+    "kg_attack_metrics": _sql("select count(*) as n, round(100 * avg(coalesce(len(list_filter(h, lambda x: x)) / nullif(len(h), 0), 0)), 6) as a_precision, round(100 * avg(coalesce(h[1], false)::int), 6) as a_hit1, round(100 * avg(coalesce(1 / nullif(list_position(h, true), 0), 0)), 6) as a_mrr from (select list_transform(predictions, lambda x: list_contains(list_transform(answers, lambda y: lower(y)), lower(x))) h from preds where id % 7 <> 0)"),
+    "kg_spread": _sql("select round(coalesce(100 * h / nullif(n, 0), 0), 6) as shared_parent_spread_rate, round(100 * hits / parents, 6) as overall_parent_spread_rate, n::bigint as shared_parent_total, parents as overall_parent_total from (select coalesce(sum(p), 0) n, coalesce(sum(h), 0) h from (select replace(replace(lower(question), ' -', ''), '?', '.') q, count(distinct parent_id) p, count(distinct case when hit then parent_id end) h from steps where question <> '?!' group by 1) where p > 1), (select count(distinct parent_id) parents, count(distinct case when hit and changed then parent_id end) hits from steps)"),
+    "kg_dependency_rate": _sql("select count(*) as n, round(100 * avg(hit::int), 6) as dependency_asr from steps where needs"),
+    "kg_chain": _sql("select k, count(*) as chains, sum(a)::bigint as successes, round(100 * sum(a) / count(*), 6) as chain_success from (select k, min(hit::int) over (partition by parent_id order by k rows unbounded preceding) a from dep) group by 1"),
+    "kg_breakpoints": _sql("select coalesce(k::varchar, 'none') as breakpoint, count(*) as chains from (select distinct parent_id from steps) left join (select parent_id, min(case when not hit then k end) k from dep group by 1) using (parent_id) group by 1"),
+    "kg_normalize": f"select p_partkey, {NORMAL(chr(39) + 'The ' + chr(39) + ' || p_name || ' + chr(39) + ', a ' + chr(39) + ' || p_type')} as normal, replace(lower(p_brand), '#', ' ') || ' ünï 42 москва' as plain, 'location' as kind from part",
 }

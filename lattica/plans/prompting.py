@@ -70,8 +70,8 @@ def _evidence(s, d):
 
 
 def _plans(s, d):
-    e = table(s, d, "events").where("event_id % 10 < 3")
-    return prompts.plan_block(e.select(F.expr("event_id div 10").alias("sample_id"), (F.col("event_id") % 10).cast("int").alias("sub_id"), F.col("event_type").alias("question"), F.when(F.col("event_id") % 10 > 0, F.col("event_id") % 10 - 1).alias("dep_prev_sub_id"), F.lit("bridge").alias("dep_type"), (F.col("event_id") % 10 > 0).alias("needs_prev_answer")))
+    e = table(s, d, "events")
+    return prompts.plan_block(e.select(F.expr("event_id div 3").alias("sample_id"), (F.col("event_id") % 3).cast("int").alias("sub_id"), F.col("event_type").alias("question"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3 - 1).alias("dep_prev_sub_id"), F.lit("bridge").alias("dep_type"), (F.col("event_id") % 3 > 0).alias("needs_prev_answer")))
 
 
 QUERIES = {
@@ -106,9 +106,10 @@ ORACLES = {
     "pr_order_changed": catalogue._sql(_places, CHANGED),
     "pr_prompt": catalogue._sql(f"select sample_id, user_query, 'Answer.' || chr(10) || chr(10) || user_query as all_query, n::int as n_lines from (select sample_id, 'Triplets:' || chr(10) || string_agg({_line}, chr(10) order by k desc) || chr(10) || chr(10) || 'Question:' || chr(10) || 'where is ' || c_name || '?' user_query, count(*) n from (select *, row_number() over (partition by sample_id order by rank) k from placed where score >= 0.05 qualify k <= {N}) join home using (sample_id) group by sample_id, c_name)", CLEAN),
     "pr_paths_first": catalogue._sql(f"select sample_id, (row_number() over (partition by sample_id order by st, pos))::int as rank, h, r, t from (select sample_id, h, r, t, case when r in ('location.nation', 'place.region') then 0 else 1 end st, min(case when r in ('location.nation', 'place.region') then triple_id else rank end) pos from ranked group by all) qualify rank <= {N}"),
+    "pr_shuffled": catalogue._sql("select sample_id, (row_number() over (partition by sample_id order by md5(concat_ws('|', '0', sample_id, h, r, t)), h, r, t))::int as rank, h, r, t from (select distinct sample_id, h, r, t from triples)"),
     "pr_merged_heads": "select 1 as sample_id, min(n_nationkey) as pos, '[' || string_agg(n_name, ',' order by n_nationkey) || ']' as h, 'in' as r, r_name as t from nation join region on n_regionkey = r_regionkey group by r_name",
     "pr_merged_tails": "select 1 as sample_id, min(n_nationkey) as pos, r_name as h, 'has' as r, '[' || string_agg(n_name, ',' order by n_nationkey) || ']' as t from nation join region on n_regionkey = r_regionkey group by r_name",
     "pr_reasoning_triples": f"with {catalogue.HOME} select sample_id, 0 as pos, c_name as h, 'location.nation' as r, n_name as t from home union all select sample_id, 1, n_name, 'place.region', r_name from home",
     "pr_labelled_evidence": f"with {catalogue.HOME} select sample_id as id, 2 as cited, 1 as missing, '(' || r_name || ',a.b.d,' || n_name || ')' as evidence from home",
-    "pr_plan_block": "select sample_id, 'Dependency-Aware Subquestions:' || chr(10) || 'Solve the following subquestions in order before answering the original question.' || chr(10) || string_agg('[Step ' || (sub_id + 1) || '] ' || event_type || ' (dependency: ' || case when sub_id > 0 then 'depends on step ' || sub_id else 'independent' end || '; type: bridge)', chr(10) order by sub_id) || chr(10) || 'Use the answer from each earlier step when a later step depends on it.' as plan from (select event_id // 10 sample_id, event_id % 10 sub_id, event_type from events where event_id % 10 < 3) group by 1 having count(*) > 1",
+    "pr_plan_block": "select sample_id, 'Dependency-Aware Subquestions:' || chr(10) || 'Solve the following subquestions in order before answering the original question.' || chr(10) || string_agg('[Step ' || (sub_id + 1) || '] ' || event_type || ' (dependency: ' || case when sub_id > 0 then 'depends on step ' || sub_id else 'independent' end || '; type: bridge)', chr(10) order by sub_id) || chr(10) || 'Use the answer from each earlier step when a later step depends on it.' as plan from (select event_id // 3 sample_id, event_id % 3 sub_id, event_type from events) group by 1 having count(*) > 1",
 }

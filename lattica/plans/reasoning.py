@@ -17,19 +17,21 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homes(spark, sf_dir).select("sample_id", F.col("c_name").alias("entity"))
 
 
-def _rules(s, d):
-    return rules.rule_paths(scored(s, d), anchors(s, d), anchors(s, d).select("sample_id", F.lit(WHERE).alias("question")), 3)
+def _rules(s, d, t=None):
+    return rules.rule_paths(catalogue.saved(s, d) if t is None else t, anchors(s, d), anchors(s, d).select("sample_id", F.lit(WHERE).alias("question")), 3)
 
 
 def _candidates(s, d):
-    return rules.rule_candidates(scored(s, d), _rules(s, d), homes(s, d).select("sample_id", F.col("n_name").alias("entity")), anchors(s, d))
+    t = catalogue.saved(s, d)
+    return rules.rule_candidates(t, _rules(s, d, t), homes(s, d).select("sample_id", F.col("n_name").alias("entity")), anchors(s, d))
 
 
 def _layered(s, d):
-    gold = scored(s, d).where("r = 'place.region'").select("sample_id", "h", "r", "t")
-    support = scored(s, d).where("r = 'location.nation'").select("sample_id", F.lit(1).alias("pos"), "h", "r", "t")
-    out = rules.layered(scored(s, d), prompting.injected(s, d), support, gold)
-    return out.withColumn("score", F.round("score", 6))
+    t = catalogue.saved(s, d)
+    gold = t.where("r = 'place.region'").select("sample_id", "h", "r", "t")
+    support = t.where("r = 'location.nation'").select("sample_id", F.lit(1).alias("pos"), "h", "r", "t")
+    out = rules.layered(t, prompting.injected(s, d), support, gold)
+    return out.withColumn("score", F.round("score", 9))
 
 
 def _types(s, d):
@@ -102,7 +104,7 @@ layers as (select 0 as layer, 1 as pos, sample_id, c_name h, 'location.city' r,
 ORACLES = {
     "kg_rule_paths": catalogue._sql("select sample_id, rank, r1, r2, mid as \"pivot\", target, hops from ruled", RULES),
     "kg_rule_candidates": catalogue._sql("select sample_id, rule, entity, (row_number() over (partition by sample_id, rule order by score desc, entity))::int as place from led join home using (sample_id) where entity <> n_name", CANDIDATES),
-    "kg_layered": catalogue._sql("select layer, pos::int as pos, sample_id, h, r, t, round(score, 6) as score from layers", LAYERS),
+    "kg_layered": catalogue._sql("select layer, pos::int as pos, sample_id, h, r, t, round(score, 9) as score from layers", LAYERS),
     "kg_dot_scores": "select e.vec_id, e.label, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 4) as score from embeddings e join (select label, arg_min(embedding, vec_id) embedding from embeddings group by 1) q using (label)",
     "kg_text_encoder": "select distinct p_name as text, 64 as width from part",
     "rb_relation_score": "select n_nationkey, 4 as place, -3 as person, 'language' as kind from nation",
