@@ -32,6 +32,8 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 SLICE = 1 << 20
 #: Runs of up to so many characters are kept, and so many of them.
 KEPT_CHARS, KEPT_RUNS = 48, 1 << 19
+#: Ids that a decoder takes at once.
+STEP = 1 << 16
 
 
 def default_path() -> str:
@@ -84,6 +86,8 @@ class WordBpe:
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        # What each token adds to the text: its bytes, and a blank at the end of a word.
+        self.pieces = [bytes(self.bytes_of[c] for c in x.removesuffix(suffix)) + b" " * x.endswith(suffix) if x not in self.added else x.encode() for x in self.names]
         self.lookahead = self.sufficient_lookahead()
         self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.runs = Runs(lambda run: [i for word in self.words(run) for i in self.stream(word)])
@@ -185,26 +189,49 @@ class WordBpe:
         return b"".join(b"".join(map(self.runs.__getitem__, split_runs(self.normal(part)))) for part in slices(text))
 
     def decode(self, ids: bytes) -> str:
-        """As the library does for a file without decoder: the tokens' names, joined by blanks."""
-        names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-    def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text, piece by piece: bytes enter a UTF-8 state machine, which holds an unfinished character only; the
-        end of a word gives a blank. Malformed bytes give U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            name = self.names[i]
-            if i in self.added.values():
-                yield machine.decode(b"", True) + name
-                machine.reset()
-                continue
-            end = name.endswith(self.suffix)
-            text = machine.decode(bytes(self.bytes_of[c] for c in name.removesuffix(self.suffix)))
-            if text or end:
-                yield text + " " * end
-        if rest := machine.decode(b"", True):
-            yield rest
+        return "".join(self.decoded(ids, NamesDecoder(self)))
+
+    def decode_text(self, ids: bytes) -> str:
+        return "".join(self.decoded(ids, TextDecoder(self)))
+
+    @staticmethod
+    def decoded(ids: bytes, decoder: NamesDecoder | TextDecoder) -> Iterator[str]:
+        """What the decoder gives for the ids, STEP of them at a time."""
+        every = np.frombuffer(ids, "<u4")
+        for i in range(0, len(every), STEP):
+            yield decoder.feed(every[i : i + STEP].tolist())
+        yield decoder.end()
+
+
+class TextDecoder:
+    """Incremental byte-to-text machine: tokens' bytes enter a UTF-8 machine, which holds no more than an unfinished
+    character; the end of a word gives a blank, a special token its name. Malformed bytes give U+FFFD."""
+
+    def __init__(self, bpe: WordBpe):
+        self.pieces, self.machine = bpe.pieces, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        return self.machine.decode(b"".join([self.pieces[i] for i in ids]))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True)
+
+
+class NamesDecoder:
+    """The same with the library's form of a file without decoder: names of tokens, parted by blanks. Its state is
+    whether a token has been seen."""
+
+    def __init__(self, bpe: WordBpe):
+        self.names, self.seen = bpe.names, False
+
+    def feed(self, ids: list[int]) -> str:
+        text = " ".join([self.names[i] for i in ids])
+        out = " " + text if self.seen and ids else text
+        self.seen = self.seen or bool(ids)
+        return out
+
+    def end(self) -> str:
+        return ""
 
 
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
@@ -231,23 +258,33 @@ def loaded(path: str) -> WordBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary). A null
-    text is empty and has no tokens; repeated rows and null ids each give a row."""
+    """docs: doc_id, text. Returns doc_id, n_tokens, ids_sha256, decoded_sha256 (of the library's form of decoded text),
+    text_sha256 (of the text that the ids stand for: normal form, words parted by blanks) and, if asked for, ids
+    (binary). Both decoders feed their digest piece by piece. A null text is empty and has no tokens; repeated rows and
+    null ids each give a row."""
+
+    def digest(pieces: Iterator[str]) -> str:
+        h = hashlib.sha256()
+        for x in pieces:
+            h.update(x.encode())
+        return h.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            n, a, b, kept = [], [], [], []
+            n, a, b, c, kept = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text or "")
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                b.append(digest(bpe.decoded(ids, NamesDecoder(bpe))))
+                c.append(digest(bpe.decoded(ids, TextDecoder(bpe))))
                 if with_ids:
                     kept.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(kept, pa.binary())] if with_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            strings = [pa.array(x, pa.string()) for x in (a, b, c)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *strings, *([pa.array(kept, pa.binary())] if with_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256", *["ids"] * with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string" + ", ids binary" * with_ids)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

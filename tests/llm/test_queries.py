@@ -92,7 +92,15 @@ def test_bpe_equals_the_library(docs):
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == fast.encode(text) == np.asarray(ids, "<u4").tobytes()
         assert own.decode(own.encode(text)) == library.decode(ids, skip_special_tokens=False)
-    assert "".join(own.decode_text(np.frombuffer(own.encode("Grüße 🙂"), "<u4"))).strip() == "grüße 🙂"
+        pieces = own.decode_text(own.encode(text))
+        for step in (1, 3):  # any cut of the ids gives the same text
+            machine, every = bpe.TextDecoder(own), np.frombuffer(own.encode(text), "<u4").tolist()
+            assert "".join(machine.feed(every[i : i + step]) for i in range(0, len(every), step)) + machine.end() == pieces
+        if not own.special.search(text):
+            words = [w for run in bpe.split_runs(own.normal(text)) for w in own.pattern.findall(run)]
+            assert pieces == "".join(w + " " for w in words)
+    machine = bpe.TextDecoder(own)
+    assert machine.feed([own.inner[0xF0], own.inner[0x9F]]) == "" and machine.feed([own.last[0x99]]) == "\ufffd "
 
 
 def test_language(spark, docs):
