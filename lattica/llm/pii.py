@@ -2,7 +2,8 @@
 
 1. Detection: one pattern finds emails, addresses, phone and card numbers, account and identity numbers, secrets and
    titled names. An entity is its type and canonical form, so all spellings of one are one (coreference); names are
-   entities word by word, so that "Mr. A B" and "Mr. B" share B's surrogate.
+   entities word by word, so that "Mr. A B" and "Mr. B" share B's surrogate. A word that a title made a name is one
+   in the rest of its document too, with or without title.
 2. Assignment, a Spark table of distinct entities: each proposes a surrogate drawn by a keyed hash, of the same type
    and format (names: gender and script). A proposal is refused if it is an entity of the corpus, is taken, or another
    entity proposes it too and comes first; refused ones propose again, from a space that each attempt after PLAIN
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from lattica.llm import base
 
-KEY = "lattica"
+#: The session's setting with the secret key. DEMO_KEY stands in where it is unset, as in tests and benchmarks; who
+#: knows a key can repeat its surrogates, so published text needs a key of its own.
+KEY_SETTING, DEMO_KEY = "spark.lattica.pii.key", "demonstration"
 #: Attempts in the entity's own format, two for each letter or digit that can change at most. Each later one is longer by
 #: a character more, as the format may have no free value.
 PLAIN = 8
@@ -43,12 +46,14 @@ GIVEN = {
     ("cyrillic", "m"): ["Алексей", "Борис", "Виктор", "Григорий", "Дмитрий", "Иван", "Михаил", "Николай"],
     ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Елена", "Ирина", "Мария", "Наталья", "Ольга"],
 }
-FAMILY = {"latin": ["Becker", "Carter", "Duval", "Fischer", "Garcia", "Hansen", "Keller", "Lambert", "Martens", "Navarro", "Olsen", "Parker"], "cyrillic": ["Белов", "Волков", "Громов", "Зайцев", "Котов", "Лебедев", "Орлов", "Соколов"]}
+#: By script and gender, as Slavic family names show it; the others have no gender.
+FAMILY = {("latin", ""): ["Becker", "Carter", "Duval", "Fischer", "Garcia", "Hansen", "Keller", "Lambert", "Martens", "Navarro", "Olsen", "Parker"], ("cyrillic", "m"): ["Белов", "Волков", "Громов", "Зайцев", "Котов", "Лебедев", "Орлов", "Соколов"], ("cyrillic", "f"): ["Белова", "Волкова", "Громова", "Зайцева", "Котова", "Лебедева", "Орлова", "Соколова"]}
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "ze"], "cyrillic": ["ба", "ве", "го", "да", "ки", "ле", "ми", "но", "ра", "со", "та"]}
 #: Every form starts at a place where it can; the earlier alternative wins there.
 FORMS = {
     "email": r"[\p{L}0-9._%+\-]+@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)+",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9_\-+/=.]{6,})|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|pk|ghp|gho|xox[bap])[_\-][A-Za-z0-9_\-]{16,}|\b[0-9a-f]{32,}\b",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -59,14 +64,37 @@ _name = "|".join(f"(?P<{s}_{g}>(?<!\\p{{L}})(?:{'|'.join(map(regex.escape, sorte
 PATTERN = regex.compile("|".join([*(f"(?P<{k}>{v})" for k, v in FORMS.items()), _name]))
 #: A text with none of these has no entity.
 HINT = regex.compile(r"[@+0-9]|" + "|".join(regex.escape(t) for by in TITLES.values() for many in by.values() for t in many) + r"|(?i:token|secret|passw|api|access)")
-FOUND = "email, secret, ip, iban, ssn, phone, card, name".split(", ")
+#: Country codes of one and of two digits; all others have three.
+CODES = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+#: Letters that a letter of the same script becomes; letters of other scripts become Latin ones.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+FOUND = "email, secret, ipv6, ip, iban, ssn, phone, card, name".split(", ")
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(begin, end, type, canonical form) in order, without overlaps. A name's type is given|script|gender or
-    family|script."""
+    family|script|gender, the gender of Latin family names being empty."""
     if not HINT.search(text):
         return
+    found = list(marked(text))
+    names: dict[str, tuple[str, str]] = {}
+    for a, b, kind, entity in found:
+        if "|" in kind:
+            names.setdefault(text[a:b], (kind, entity))
+    if not names:
+        yield from found
+        return
+    at, other = 0, regex.compile(r"(?<![\p{L}\p{N}_])\L<names>(?![\p{L}\p{N}_])", names=list(names))
+    for a, b, kind, entity in [*found, (len(text), len(text), "", "")]:
+        for m in other.finditer(text, at, a):
+            yield m.start(), m.end(), *names[m[0]]
+        if kind:
+            yield a, b, kind, entity
+        at = b
+
+
+def marked(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The entities that show by themselves or by a title."""
     for m in PATTERN.finditer(text):
         kind = next(k for k in m.groupdict() if m[k] is not None and not k.endswith(("_value", "_words")))
         a, b = m.span()
@@ -76,14 +104,14 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             script, gender = kind.split("_")
             at, words = m.start(kind + "_words"), m[kind + "_words"].split(" ")
             for i, w in enumerate(words):
-                yield at, at + len(w), f"given|{script}|{gender}" if len(words) == 2 and i == 0 else f"family|{script}", w.casefold()
+                yield at, at + len(w), f"given|{script}|{gender}" if len(words) == 2 and i == 0 else f"family|{script}|{gender if (script, gender) in FAMILY else ''}", w.casefold()
                 at += len(w) + 1
             continue
         yield a, b, kind, canonical(kind, text[a:b])
 
 
 def canonical(kind: str, surface: str) -> str:
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return surface.lower()
     if kind in ("phone", "card", "ssn"):
         digits = "".join(c for c in surface if c.isdigit())
@@ -111,7 +139,8 @@ def like(text: str, draw: Iterator[int], hexadecimal: bool = False) -> str:
         elif c.isdigit():
             out.append(str(next(draw) % 10))
         elif c.isalpha():
-            x = "abcdefghijklmnopqrstuvwxyz"[next(draw) % 26]
+            script = LETTERS["latin" if c.isascii() else "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"]
+            x = script[next(draw) % len(script)]
             out.append(x.upper() if c.isupper() else x)
         else:
             out.append(c)
@@ -130,6 +159,21 @@ def checksum(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
+def with_check(country: str, rest: str) -> str:
+    """An IBAN with its check digits (ISO 7064, mod 97)."""
+    number = "".join(str(int(c, 36)) for c in f"{rest}{country}00")
+    return f"{country}{98 - int(number) % 97:02}{rest}"
+
+
+def valid_iban(entity: str) -> bool:
+    return with_check(entity[:2], entity[4:]) == entity
+
+
+def country_code(digits: str) -> int:
+    """Digits of the country code that an international number begins with."""
+    return next((n for n, codes in CODES.items() if digits[:n] in codes), min(3, max(len(digits) - 4, 1)))
+
+
 def propose(key: str, kind: str, entity: str, attempt: int) -> str:
     """The attempt's surrogate, in canonical form."""
     draw = stream(key, kind, entity, attempt)
@@ -141,8 +185,10 @@ def propose(key: str, kind: str, entity: str, attempt: int) -> str:
         return f"{like(local, draw)}{drawn(more, draw, LOWER)}@{'.'.join([like(x, at) for x in labels] + [top])}"
     if kind == "ip":
         return ".".join(str(1 + next(draw) % 254) for _ in range(4 + more))
+    if kind == "ipv6":
+        return like(entity, draw, True) + drawn(more, draw, DIGITS + "abcdef")
     if kind == "phone":
-        keep = 2 if entity.startswith("+") else 0
+        keep = 1 + country_code(entity[1:]) if entity.startswith("+") else 0
         return entity[:keep] + like(entity[keep:], draw) + drawn(more, draw, DIGITS)
     if kind == "card":
         out = like(entity, draw) + drawn(more, draw, DIGITS)
@@ -150,7 +196,8 @@ def propose(key: str, kind: str, entity: str, attempt: int) -> str:
             out = out[:-1] + next(d for d in DIGITS if checksum(out[:-1] + d) == 0)
         return out
     if kind == "iban":
-        return entity[:2] + like(entity[2:], draw) + drawn(more, draw, DIGITS)
+        rest = like(entity[4:], draw) + drawn(more, draw, DIGITS)
+        return with_check(entity[:2], rest) if valid_iban(entity) else entity[:2] + like(entity[2:4], draw) + rest
     if kind == "secret":
         prefix = next((p for p in ("AKIA", "ASIA", "sk_", "sk-", "pk_", "pk-", "ghp_", "gho_", "xox") if entity.startswith(p)), "")
         rest = entity[len(prefix) :]
@@ -159,8 +206,8 @@ def propose(key: str, kind: str, entity: str, attempt: int) -> str:
             return prefix + drawn(len(rest) + more, draw, LOWER + LOWER.upper() + DIGITS)
         return prefix + like(rest, draw, hexadecimal) + drawn(more, draw, DIGITS + "abcdef")
     if kind.startswith(("given", "family")):
-        _, script, *gender = kind.split("|")
-        pool = GIVEN[script, gender[0]] if gender else FAMILY[script]
+        part, script, gender = kind.split("|")
+        pool = (GIVEN if part == "given" else FAMILY)[script, gender]
         if attempt < 2:
             return pool[next(draw) % len(pool)].casefold()
         # Pools are small: later attempts lengthen a name by rule.
@@ -180,8 +227,8 @@ def rendered(kind: str, surface: str, surrogate: str) -> str:
     return surrogate
 
 
-def detected(docs: DataFrame) -> DataFrame:
-    """docs: text. Returns row (hash of the text), kind, entity: the distinct entities of each text."""
+def detected(rows: DataFrame) -> DataFrame:
+    """rows: row, text. Returns row, kind, entity: the distinct entities of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +240,7 @@ def detected(docs: DataFrame) -> DataFrame:
                     names.append(entity)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(kinds, pa.string()), pa.array(names, pa.string())], names=["row", "kind", "entity"])
 
-    return docs.select(F.xxhash64("text").alias("row"), "text").mapInArrow(run, "row long, kind string, entity string")
+    return rows.select("row", "text").mapInArrow(run, "row long, kind string, entity string")
 
 
 def assigned(found: DataFrame, key: str, folder: str) -> DataFrame:
@@ -229,32 +276,43 @@ def rewrite(text: str, surrogates: dict[tuple[str, str], str]) -> tuple[str, lis
     return "".join([*out, text[at:]]) if out else text, kinds
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+
+
+def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """docs with its own columns, text rewritten, and n_entities (replaced surfaces) and kinds (their types, in order).
-    Columns of these names in docs are replaced. Null texts stay null with 0 entities; texts without entities stay as
-    they are; repeated rows are rewritten alike."""
+    Columns of these names in docs are replaced; other columns may have any name. Null texts stay null with 0
+    entities; texts without entities stay as they are; repeated rows are rewritten alike. Copies of a text are dealt
+    by doc_id, where docs has it, so they don't gather in one task."""
     folder = base.scratch(docs.sparkSession) + "/pii"
     docs = docs.drop("n_entities", "kinds")
-    found = base.written(detected(docs), f"{folder}/found")
-    pairs = assigned(found, key, folder)
-    by_row = found.join(pairs, ["kind", "entity"]).distinct().groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("_surrogates"))
-    joined = docs.withColumn("_row", F.xxhash64("text")).join(by_row.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
     names = docs.columns
+    place = {c: f"c{i}" for i, c in enumerate(names)}
+    own = docs.toDF(*place.values())
+    text = place["text"]
+    spread = [F.pmod(F.xxhash64(place["doc_id"]), F.lit(64))] if "doc_id" in place else []
+    own = own.withColumn("row", F.xxhash64(text, *spread))
+    found = base.written(detected(own.select("row", F.col(text).alias("text"))), f"{folder}/found")
+    pairs = assigned(found, key, folder)
+    by_row = found.join(pairs, ["kind", "entity"]).distinct().groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("surrogates"))
+    joined = own.join(by_row, "row", "left").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kinds = [], []
-            for text, some in zip(batch.column("text").to_pylist(), batch.column("_surrogates").to_pylist(), strict=True):
-                new, of = rewrite(text, {(x["kind"], x["entity"]): x["surrogate"] for x in some}) if text and some else (text, [])
+            for old, some in zip(batch.column(text).to_pylist(), batch.column("surrogates").to_pylist(), strict=True):
+                new, of = rewrite(old, {(x["kind"], x["entity"]): x["surrogate"] for x in some}) if old and some else (old, [])
                 texts.append(new)
                 kinds.append(of)
-            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names), pa.array([len(x) for x in kinds], pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=[*names, "n_entities", "kinds"])
+            every = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in place.values()]
+            yield pa.RecordBatch.from_arrays([*every, pa.array([len(x) for x in kinds], pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=[*place.values(), "n_entities", "kinds"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*names, "_surrogates").mapInArrow(run, schema + ", n_entities long, kinds array<string>")
+    schema = ", ".join(f"{place[f.name]} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.select(*place.values(), "surrogates").mapInArrow(run, schema + ", n_entities long, kinds array<string>").toDF(*names, "n_entities", "kinds")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (rewritten), n_entities, kinds (comma-joined), changed, text_sha256 of the new text."""
-    out = pseudonymized(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymized(base.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     return out.select("doc_id", "text", "n_entities", F.concat_ws(",", "kinds").alias("kinds"), (F.col("n_entities") > 0).alias("changed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

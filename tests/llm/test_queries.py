@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, same, name):
 def operators(benchmark):
     return {
         "repeats": repeats.remove_repeats, "bpe": lambda d: bpe.encode_documents(d, bpe.default_path()), "language": lambda d: language_id.identify(d, language_id.train(d)),
-        "decontamination": lambda d: decontaminate.contamination(d, benchmark), "pii": pii.pseudonymized, "fingerprints": fingerprints.op6, "near": lambda d: minhash.near_duplicates(d, 5, 0.8),
+        "decontamination": lambda d: decontaminate.contamination(d, benchmark), "pii": lambda d: pii.pseudonymized(d, "k"), "fingerprints": fingerprints.op6, "near": lambda d: minhash.near_duplicates(d, 5, 0.8),
     }
 
 
@@ -117,7 +117,7 @@ def test_decontamination_in_blocks(spark):
 def test_surrogates(spark):
     text = "Mail a.b@mail1.example.com or A.B@mail1.example.com, +1 (017) 555-7713, 10.20.30.40, card 4111111111111111, token = \"00ff00ff00ff00ff00ff\", Mrs. Ann Lee and Mr. Lee."
     rows = spark.createDataFrame([(1, text), (2, "call +1 (017) 555-7713 now"), (3, "clean"), (4, None)], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymized(rows).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymized(rows, "k").collect()}
     new = out[1].text
     assert not any(x in new for x in ("a.b@", "A.B@", "555-7713", "10.20.30.40", "4111111111111111", "00ff00ff", "Ann", "Lee"))
     mails = re.findall(r"[\w.]+@[\w.]+", new)
@@ -132,7 +132,7 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark):
     rows = spark.createDataFrame([(i, f"Mr. N{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x") for i in range(100)], "doc_id long, text string")
-    assert pii.pseudonymized(rows).select("text").distinct().count() == 100
+    assert pii.pseudonymized(rows, "k").select("text").distinct().count() == 100
 
 
 @pytest.mark.parametrize(
@@ -148,12 +148,57 @@ def test_every_entity_gets_a_surrogate(spark, texts):
     """Formats without another value, and full ones."""
     found = [{(k, e) for _, _, k, e in pii.entities(t)} for t in texts]
     assert all(len(x) == 1 for x in found)
-    out = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
     given = [{(k, e) for _, _, k, e in pii.entities(t)} for t in out]
     assert all(len(x) == 1 for x in given)
     assert len(set.union(*given)) == len(set.union(*found)) and not set.union(*given) & set.union(*found)
 
 
+def surrogates_of(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.pseudonymized(rows, "k").orderBy("doc_id").collect()]
+
+
+def test_surrogates_keep_type_gender_and_form(spark):
+    a, b, c, d, e, f = surrogates_of(spark, "госпожа Иванова и господин Иванов", "Mr. Ann Lee left. Later Ann Lee met Leeward and LEE.", "+49 30 1234567, +1 212 555 0199, +351 21 123 4567", "DE89 3704 0044 0532 0130 00 and GB00 AAAA 1111 2222 3333", "host 2001:db8::8a2e:370:7334 or std::vector, ::1", "пётр@mail.example.org")
+    assert a.split()[1] in pii.FAMILY["cyrillic", "f"] and a.split()[4] in pii.FAMILY["cyrillic", "m"]
+    given, family = re.match(r"Mr\. (\w+) (\w+) left", b).groups()
+    assert b == f"Mr. {given} {family} left. Later {given} {family} met Leeward and LEE." and (given, family) != ("Ann", "Lee")
+    assert re.fullmatch(r"\+49 \d\d \d{7}, \+1 \d{3} \d{3} \d{4}, \+351 \d\d \d{3} \d{4}", c) and "1234567" not in c
+    first, second = d.split(" and ")
+    assert pii.valid_iban(first.replace(" ", "")) and first.startswith("DE") and first != "DE89 3704 0044 0532 0130 00"
+    assert second.startswith("GB") and "AAAA" not in second
+    assert re.fullmatch(r"host [0-9a-f:]+ or std::vector, ::1", e) and "2001:db8" not in e
+    assert re.fullmatch(r"[а-я]{4}@[a-z]+\.[a-z]+\.org", f) and "пётр" not in f
+
+
+def test_surrogates_of_all_documents_are_distinct(spark, docs):
+    """Brute force over the whole table: each entity has one surrogate, no two share one, none is an entity, nothing else
+    changes."""
+    got = {r.doc_id: r.text for r in queries.QUERIES["op5_pii"](spark, SF).select("doc_id", "text").collect()}
+    given, every = {}, set()
+    for i, text in zip(docs.doc_id, docs.text):
+        new, at, to = got[i], 0, 0
+        found = list(pii.entities(text or ""))
+        every |= {(k, e) for _, _, k, e in found}
+        parts = [text[x:y] for x, y in zip([0, *[b for _, b, _, _ in found]], [*[a for a, _, _, _ in found], len(text or "")])] if text else []
+        pattern = "(.+?)".join(map(re.escape, parts))
+        match = re.fullmatch(pattern, new or "", re.S)
+        assert match or not parts
+        for (_, _, kind, entity), surface in zip(found, match.groups() if match else ()):
+            given.setdefault((kind, entity), set()).add(pii.canonical(kind, surface).casefold() if "|" in kind else pii.canonical(kind, surface))
+    assert given and all(len(x) == 1 for x in given.values())
+    pairs = [(k, next(iter(v))) for (k, _), v in given.items()]
+    assert len(set(pairs)) == len(pairs) and not set(pairs) & every
+
+
+def test_helper_columns_do_not_clash(spark):
+    names = "doc_id long, text string, row string, _row string, surrogates string, c0 string, `a b` string, n_entities string"
+    out = pii.pseudonymized(spark.createDataFrame([(1, "mail a@b.org", *"uvwxyz")], names), "k")
+    assert out.columns == ["doc_id", "text", "row", "_row", "surrogates", "c0", "a b", "n_entities", "kinds"]
+    assert tuple(out.first())[2:8] == (*"uvwxy", 1)
+
+
 def test_fingerprints(spark, docs):
     got = queries.QUERIES["op6_fingerprints"](spark, SF).toPandas().set_index("doc_id")
     rows = list(docs.sort_values("doc_id", ascending=False)[["doc_id", "text"]].itertuples(index=False))
