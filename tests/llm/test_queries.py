@@ -227,8 +227,9 @@ def test_near_duplicates_of_a_chain(spark):
             for b in range(40):
                 if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85).orderBy("doc_id").collect()
-    assert [r.component_id for r in got] == label
+    for block in (minhash.BLOCK, 2):  # 2: all buckets are hot
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.85, block).orderBy("doc_id").collect()
+        assert [r.component_id for r in got] == label
 
 
 def test_token_files(spark, docs):
@@ -252,6 +253,28 @@ def test_signature_bound_gives_up_few_pairs(threshold):
     assert sum(comb(bins, k) * threshold**k * (1 - threshold) ** (bins - k) for k in refused) < 3e-7
 
 
+def test_all_links_of_a_query_set_are_found(spark):
+    """Documents with ids divisible by 100 against all, by brute force on full sets, at another table's size."""
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").toPandas()
+    sets = {i: frozenset(zip(*(re.findall(r"[^ \t\n\x0b\x0c\r]+", t.lower())[k:] for k in range(3)))) for i, t in zip(rows.doc_id, rows.text.fillna(""))}
+    where: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"), 3, 0.85).collect()}
+    found = links = 0
+    for i in (i for i in sets if i % 100 == 0 and sets[i]):
+        common: dict = {}
+        for x in sets[i]:
+            for j in where[x]:
+                common[j] = common.get(j, 0) + 1
+        near = [j for j, n in common.items() if j != i and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+        links += len(near)
+        found += sum(got[i] == got[j] for j in near)
+    assert links > 0 and found == links
+
+
 def test_bands_are_compared_whole(spark):
     """Keys of an earlier band that agree in 31 bits only don't take the pair away from the bucket it shares."""
     nodes = spark.createDataFrame([(i, bytes([7] * minhash.BINS), 1000, [5 + (i << 40), 9]) for i in (1, 2)], "node long, signature binary, n long, bands array<long>")
