@@ -31,27 +31,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
+    """The document with the smallest id of each group stays, as do rows without id. Rows that repeat an id are one
+    document here: all of them stay if one does, also where another one's text has a copy under a smaller id."""
     base.prepare(spark)
     kept = minhash.near_duplicates(docs.select("doc_id", "text"), WORDS, SIMILARITY).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go; null texts have none."""
     own = aside(docs)
     found = decontaminate.contamination(own, base.table(spark, sf_dir, "benchmark"), keep=own.columns)
     return found.where(F.size("items") == 0).select(own.columns).toDF(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities become surrogates under the session's key (pii.KEY_SETTING); n_chars, where docs has it, follows. Null and
+    clean texts stay as they are, and every row stays."""
     base.prepare(spark)
     own = aside(docs)
-    out = pii.pseudonymized(own).select(own.columns).toDF(*docs.columns)
+    out = pii.pseudonymized(own, pii.session_key(spark)).select(own.columns).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of token digests for each row of docs; a null text has no tokens."""
     base.prepare(spark)
     return bpe.encode_documents(docs, bpe.default_path())
 
