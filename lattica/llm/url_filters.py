@@ -94,6 +94,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float =
     known = outcomes.where("key is not null and bad is not null").groupBy("key").agg(F.max("bad").cast("long").alias("bad"))
     counts = p.where("key is not null").join(known, "key").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     hosts = p.groupBy("host").agg(F.lit(0).alias("_")).join(counts, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"))
+    hosts = base.written(hosts, base.scratch(pages.sparkSession) + "/hosts")  # used for each level
     best = fitting_rule(F.col("host"), F.col("path"), rules)
     out = p.join(reputation(hosts), "host").withColumn("best", best)
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("bound") > threshold, "block").otherwise("allow"))

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, queries, repeats, suffix_index, token_files, warc
+from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, queries, repeats, suffix_index, token_files, url_filters, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (3, ""), (4, "?!"), (5, "long " * 30_000), (None, "no id at all here"), (6, "x" * 200_000)]
@@ -315,6 +315,34 @@ def test_warc_edges(spark, tmp_path):
     assert got == [(1, "response", None, 1), (1, "response", None, 1), (2, "response", None, 0), (3, "revisit", 1, 1)]
 
 
+def test_warc_payloads_with_blank_lines(spark, tmp_path):
+    """Payloads that hold, begin or end with record separators, and archives of several files in one task."""
+    texts = ["", "\r\n", "a\r\n\r\nb", "\r\n\r\n", "a\r\n", "a\r\n\r\n\r\n", "WARC/1.1\r\n\r\n", "é" * 5000, "\n\n", "x\r\n\r\n"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts + texts[:5])], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), f"{tmp_path}/b", records_per_file=4)
+    got = {r.page_id: r for r in warc.read(spark, f"{tmp_path}/b").collect()}
+    assert len(got) == 15 and all(r.whole for r in got.values())
+    assert [got[i].payload_bytes for i in range(15)] == [len(t.encode()) for t in texts + texts[:5]]
+    assert [got[i].refers_to for i in range(10, 15)] == [0, 1, 2, 3, 4]
+    text = "".join(r.value for r in spark.read.text(f"{tmp_path}/b", wholetext=True).collect())
+    assert text.count("WARC-Refers-To-Target-URI: http://h/") == 5
+
+
+def test_odd_and_empty_pages_and_token_files(spark, odd, tmp_path):
+    token_files.write(odd, f"{tmp_path}/t", bpe.default_path())
+    got = token_files.read(spark, f"{tmp_path}/t").collect()
+    assert len(got) == len(ODD) and sorted(r.start for r in got)[0] == 0
+    token_files.write(odd.limit(0), f"{tmp_path}/t0", bpe.default_path())
+    assert token_files.read(spark, f"{tmp_path}/t0").count() == 0
+    pages = odd.selectExpr("doc_id page_id", "items url", "text html", "lang key", "n_words host")
+    for some, n in ((pages, len(ODD)), (pages.limit(0), 0)):
+        warc.write(some, f"{tmp_path}/w{n}")
+        assert warc.read(spark, f"{tmp_path}/w{n}").count() == n
+        outcomes = spark.createDataFrame([("en", 1), (None, 0), ("fr", None)], "key string, bad int")
+        assert url_filters.judge(some, outcomes).count() == n
+        assert url_filters.judge(some, outcomes.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
