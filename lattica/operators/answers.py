@@ -64,6 +64,21 @@ def overview(scores: DataFrame) -> DataFrame:
     )
 
 
+def evaluated(rows: DataFrame, samples: DataFrame, hops: int = -1, part: str = "all") -> DataFrame:
+    """The rows (id) that an evaluation counts. samples: id, max_path_length, a_entity_in_graph. hops: 1 or 2 exactly, 3
+    for three or more, 0 and less for any; part: all, good (the graph has an answer) or bad (it has none)."""
+    length, size = F.coalesce("max_path_length", F.lit(-1)), F.greatest(F.size("a_entity_in_graph"), F.lit(0))
+    own = samples if hops <= 0 else samples.where(length >= 3 if hops == 3 else length == hops)
+    own = own if part == "all" else own.where(size > 0 if part == "good" else size == 0)
+    return rows.join(own.select("id"), "id", "left_semi")
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """One row: both evaluations of the same predictions (rows as in hallucination), in per cent."""
+    pct = lambda c: F.round(100 * F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"original_{c}")
+    return overview(one_to_one(rows)).crossJoin(original(rows).agg(*map(pct, ("hit", "accuracy", "precision", "recall", "f1")))).crossJoin(hallucination_overview(hallucination(rows)).select(F.col("score").alias("hallucination_score")))
+
+
 COUNTERS = ("correct_in_graph", "correct_out_graph", "wrong_in_graph", "wrong_out_graph")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import retrieval
@@ -115,6 +115,16 @@ def gradient(rows: DataFrame, network: Network) -> np.ndarray:
     return out
 
 
+def save(spark: SparkSession, network: Network, path: str) -> None:
+    """One row: width, hidden, weights."""
+    spark.createDataFrame([(int(network.width), int(network.hidden), [float(x) for x in network.weights])], "width int, hidden int, weights array<double>").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Network:
+    row = spark.read.parquet(path).first()
+    return Network(row.width, row.hidden, np.array(row.weights))
+
+
 def train(rows: DataFrame, labels: DataFrame, triples: DataFrame, hidden: int = 64, rate: float = 1e-3, epochs: int = 10000, patience: int = 10, k: int = 100, seed: int = 42) -> tuple[Network, list[tuple[float, float]]]:
     """The network with the best recall of labelled triples among the first k, and (recall, loss) of each epoch.
 

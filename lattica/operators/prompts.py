@@ -95,6 +95,36 @@ def shuffled(triples: DataFrame, seed: int = 0) -> DataFrame:
     return triples.select("sample_id", *TRIPLE).distinct().withColumn("rank", F.row_number().over(w))
 
 
+def prompt_kind(mode: str, model: str = "", calls: str = "") -> str:
+    """Which pair of texts a run uses, by what the names of its mode, model and way of calling say."""
+    if "gpt" in model or "gpt" in mode:
+        return "label" if "gptLabel" in mode else "examples"
+    return "no_evidence" if "noevi" in mode else "examples" if "icl" in calls else "plain"
+
+
+def with_evidence(rows: DataFrame, evidence: DataFrame, missing: str = "error") -> DataFrame:
+    """rows and evidence: id; evidence also triples (an array of h, r, t, score) and others. Rows without evidence go
+    (missing="drop"), get one empty triple ("placeholder", for runs of other systems) or are an error."""
+    if missing == "drop":
+        return rows.join(evidence, "id")
+    out = rows.join(evidence.withColumn("_found", F.lit(True)), "id", "left")
+    if missing == "placeholder":
+        empty = F.array(F.struct(F.lit("").alias("h"), F.lit("").alias("r"), F.lit("").alias("t"), F.lit(0.0).alias("score")))
+        return out.withColumn("triples", F.when(F.col("_found").isNull(), empty).otherwise(F.col("triples"))).drop("_found")
+    lost = rows.join(evidence.select("id"), "id", "left_anti").select("id").first()
+    if lost is not None:
+        raise ValueError(f"no evidence for {lost.id}")
+    return out.drop("_found")
+
+
+def question_entities(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows: id, q_entity, paths (`node -> relation -> node` texts). known: id, q_entity. q_entity is that of known, else
+    the row's, else the first node of the first path that has one; else empty."""
+    nodes = F.filter(F.transform("paths", lambda p: F.substring_index(p, " -> ", 1)), lambda x: x != "")
+    inferred = F.when(F.size("q_entity") > 0, F.col("q_entity")).otherwise(F.coalesce(F.slice(nodes, 1, 1), F.array().cast("array<string>")))
+    return rows.join(known.select("id", F.col("q_entity").alias("_known")), "id", "left").withColumn("q_entity", F.coalesce("_known", inferred)).drop("_known")
+
+
 def merged(triples: DataFrame, heads: bool = True) -> DataFrame:
     """Triples: sample_id, pos, h, r, t. Heads of the same relation and tail (or tails of the same head and relation)
     as one bracketed list, in order of first sight. The list is as long as the group within its sample."""

@@ -65,6 +65,14 @@ def with_gold(scored: DataFrame, gold: DataFrame) -> DataFrame:
     return first.unionByName(ranked(scored).select("sample_id", "h", "r", "t", F.col("rank").cast("long").alias("pos")))
 
 
+def with_new(scored: DataFrame, new: DataFrame) -> DataFrame:
+    """scored (sample_id, triple_id, h, r, t, score) and new triples (without triple_id), ranked together by falling
+    score; of equal scores the old ones come first. sample_id, h, r, t, score, is_new, rank."""
+    both = scored.select("sample_id", "h", "r", "t", "score", F.lit(False).alias("is_new"), "triple_id").unionByName(new.select("sample_id", "h", "r", "t", "score", F.lit(True).alias("is_new"), F.lit(0).alias("triple_id")))
+    w = Window.partitionBy("sample_id").orderBy(F.desc("score"), "is_new", "triple_id", "h", "r", "t")
+    return both.withColumn("rank", F.row_number().over(w)).drop("triple_id")
+
+
 def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     """budget random triples for each sample, or all there are: of a triple of the graph that touches a question entity the
     other end (the tail, where both are such) becomes another entity of the graph. New triples are none of the graph's.

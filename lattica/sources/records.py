@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,5 +44,27 @@ def not_done(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
-def append_summary(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("header", True).csv(path)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest or summary: CSV with a header, all texts."""
+    return spark.read.option("header", True).csv(path)
+
+
+def write_details(rows: DataFrame, path: str) -> None:
+    """A JSON line for each row; nulls are written, so that all lines have the same fields."""
+    rows.write.option("ignoreNullFields", False).json(path)
+
+
+def computed_or_read(spark: SparkSession, path: str, compute) -> DataFrame:
+    """The table at path; where there is none, compute() is written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # no such path, or one that a run left before its commit
+        compute().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+def append_summary(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Appends rows to a CSV table with a header. columns: what the table has, in order; what rows lack is empty, and what
+    is not among them is left out."""
+    own = rows if columns is None else rows.select(*(F.col(c).cast("string").alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns))
+    own.write.mode("append").option("header", True).csv(path)
