@@ -79,16 +79,19 @@ def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
     """prints: key, fingerprint. One fingerprint for each key, that of its texts together. Each task merges its own
     part first, so a hot key sends a row from each task."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = prints.select(key, "fingerprint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        for frame in frames:
-            for name, x in zip(frame[key], frame["fingerprint"], strict=True):
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held[name] = merge(held[name], read(x), k) if name in held else read(x)
-        yield pd.DataFrame({key: list(held), "fingerprint": [shown(x) for x in held.values()]})
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([shown(x) for x in held.values()], pa.string())], names=[key, "fingerprint"])
 
-    schema = prints.select(key, "fingerprint").schema
-    part = prints.select(key, "fingerprint").mapInPandas(run, schema)
-    return part.repartition(base.partitions(prints.sparkSession), key).mapInPandas(run, schema)
+    return rows.mapInArrow(run, rows.schema).repartition(base.partitions(prints.sparkSession), key).mapInArrow(run, rows.schema)
 
 
 def cut_points(docs: DataFrame, n: int) -> np.ndarray:

@@ -210,6 +210,46 @@ def test_fingerprints(spark, docs):
     assert fingerprints.resemblance(a, b) == 0.5 and fingerprints.distinct(a) == 3 and len(fingerprints.merge(a, b)) == 4
 
 
+def words_of(text):
+    return re.findall(r"[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+
+
+def shingles_of(text, k):
+    w = words_of(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_fingerprints_by_brute_force(spark, docs):
+    """Sketches alone equal those of the query; estimates are near the true resemblance, and exact where sketches are
+    whole; merged sketches are those of the union."""
+    got = queries.QUERIES["op6_fingerprints"](spark, SF).toPandas().set_index("doc_id")
+    rows = list(docs.sort_values("doc_id", ascending=False)[["doc_id", "text"]].itertuples(index=False))
+    off = []
+    for j, (i, text) in enumerate(rows):
+        text, after = text or "", rows[(j + 1) % len(rows)].text or ""
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        a, b, c = (fingerprints.sketches([x.encode()])[0] for x in (text, edited, after))
+        assert (got.fingerprint[i], got.edited_fingerprint[i]) == (fingerprints.shown(a), fingerprints.shown(b))
+        for estimate, x, other in ((got.near_edited[i], edited, b), (got.near_next[i], after, c)):
+            s, t = shingles_of(text, fingerprints.WORDS), shingles_of(x, fingerprints.WORDS)
+            true = len(s & t) / len(s | t) if s | t else 1.0
+            if max(len(s), len(t)) <= fingerprints.K // 2:
+                assert abs(estimate - true) < 1e-9
+            assert abs(estimate - true) < 0.01 + 5 * (true * (1 - true) / fingerprints.K) ** 0.5 + 5 / fingerprints.K
+            off.append(estimate - true)
+    assert abs(np.mean(off)) < 0.02
+    prints = fingerprints.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).selectExpr("doc_id % 3 part", "fingerprint")
+    merged = {r.part: r.fingerprint for r in fingerprints.merged(prints, "part").collect()}
+    for part in range(3):
+        every = [fingerprints.shingles.shingle_sets([(t or "").encode()], fingerprints.WORDS) for i, t in zip(docs.doc_id, docs.text) if i % 3 == part]
+        union = np.unique(np.concatenate([s for sets in every for s in sets]))
+        assert merged[part] == fingerprints.shown(union[: fingerprints.K])
+        assert abs(fingerprints.distinct(union[: fingerprints.K]) / len(union) - 1) < 0.5
+    words = [f"w{i}" for i in range(4000)]
+    whole, part = (fingerprints.sketches([" ".join(w).encode()])[0] for w in (words, words[1000:3000]))
+    assert fingerprints.containment(part, whole) > 0.7 and 0.3 < fingerprints.containment(whole, part) < 0.7
+
+
 def test_near_duplicates_of_a_chain(spark):
     """Members that are near each other but not the bucket's centre stay linked."""
     words = [f"w{i}" for i in range(400)]
@@ -355,9 +395,38 @@ def test_pipeline(spark):
     for a in sets:  # what went has a kept or removed smaller neighbour
         if a not in kept:
             assert any(b < a and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) for b in sets) or not sets[a]
+    where = {}
+    for a in sorted(kept):  # and nothing near stayed
+        common = {}
+        for x in sets[a]:
+            for b in where.setdefault(x, []):
+                common[b] = common.get(b, 0) + 1
+            where[x].append(a)
+        assert not any(100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n) for b, n in common.items())
     clean = P.decontaminate_texts(spark, near, SF)
-    hits = decontaminate.contamination(near, spark.read.parquet(f"{SF}/benchmark.parquet")).where("size(items) > 0").count()
-    assert clean.count() == near.count() - hits
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := split(r.text)) for i in range(max(1, len(w) - 9))}
+    lengths = {len(x) for x in windows}
+    hit = {r.doc_id for r in near.collect() if (w := split(r.text)) and any(tuple(w[i : i + n]) in windows for n in lengths for i in range(len(w) - n + 1))}
+    assert hit and {r.doc_id for r in clean.collect()} == kept - hit
     private = P.replace_personal_data(spark, clean, SF)
     assert private.columns == docs.columns and private.where("text rlike '@mail[0-9].example.com'").count() == 0
     assert P.encode(spark, private, SF).count() == clean.count()
+
+
+def test_stages_of_odd_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeated rows and ids, other columns with clashing names."""
+    import corpus_pipeline as P
+
+    rows = [(*r, None, "s", 1, "x") for r in ODD] + [(7, "one two three four five six", "en", "s", 1, "x"), (8, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, items string")
+    for some in (docs, docs.limit(0)):
+        n = some.count()
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, some, SF)
+            assert out.columns == docs.columns, name
+            assert out.count() <= n, name
+        assert P.encode(spark, some, SF).count() == n
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    assert kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 1").count() == 2 and kept.where("doc_id is null").count() == 1
+    assert P.replace_personal_data(spark, docs, SF).count() == len(rows)
