@@ -128,7 +128,7 @@ QUERIES = {
     "tg_spread": lambda s, d: metrics.spread(targets.traced_steps(staged(s, d))),
     "tg_breakdown": lambda s, d: answers.stage_breakdown(targets.cascades(staged(s, d))),
     "qa_evaluated": _evaluated,
-    "qa_report": lambda s, d: answers.report(answering.rows(s, d)).select("n", "hit", "f1", "original_hit", "original_accuracy", "original_f1", "hallucination_score"),
+    "qa_report": lambda s, d: answers.report(answering.rows(s, d)).select("n", "hit", "f1", "original_hit", "original_accuracy", "hallucination_score"),
     "pr_with_evidence": _evidence,
     "pr_question_entities": _question_entities,
 }
@@ -152,6 +152,8 @@ ORACLES = {
     "tg_cascades": CASCADES + " select id, 2 as steps, first_changed, first_hit, second_depends, second_hit, second_hit and first_hit as second_mentions_first, final_rr > 0 as final_hit, round(final_rr, 6)::double as final_rr from c",
     "tg_steps": f"with {catalogue.HOME} select sample_id as parent_id, 0::bigint as sub_id, 'where?' as question, sample_id % 3 > 0 as changed, false as needs_prev_answer, sample_id % 5 > 0 as hit from home union all select sample_id, 1, 'then?', sample_id % 4 = 0, sample_id % 2 = 0, sample_id % 7 = 0 from home",
     "tg_spread": f"with {catalogue.HOME} select round(100 * (count(*) filter (sample_id % 5 > 0) + count(*) filter (sample_id % 7 = 0)) / (2 * count(*)), 6) as shared_parent_spread_rate, round(100 * count(*) filter ((sample_id % 3 > 0 and sample_id % 5 > 0) or (sample_id % 4 = 0 and sample_id % 7 = 0)) / count(*), 6) as overall_parent_spread_rate, (2 * count(*))::bigint as shared_parent_total, count(*) as overall_parent_total from home",
+    "tg_breakdown": CASCADES + ", d as (select 2 steps, *, final_rr > 0 final_hit from c) select count(*) as n" + answering.ORACLES["rb_stage_breakdown"].split(" select count(*) as n", 1)[1],
+    "qa_report": f"select o.n, o.hit, o.f1, r.original_hit, r.original_accuracy, h.score as hallucination_score from ({answering.ORACLES['qa_overview']}) o, (select round(100 * avg(hit), 6) original_hit, round(100 * avg(accuracy), 6) original_accuracy from ({answering.ORACLES['qa_original']})) r, ({answering.ORACLES['qa_hallucination_overview']}) h",
     "qa_evaluated": "with h as (select unnest([-1, 1, 2, 3]) hops), p as (select unnest(['all', 'good', 'bad']) part) select h.hops::int as hops, p.part, (select count(*) from customer where (h.hops < 0 or (h.hops = 3 and c_custkey % 5 >= 3) or (h.hops < 3 and c_custkey % 5 = h.hops)) and (p.part = 'all' or (p.part = 'good') = (c_custkey % 2 = 1))) as n from h, p",
     "pr_with_evidence": f"with {catalogue.HOME} select sample_id as id, 'drop' as way, n_name as t from home where sample_id % 3 > 0 union all select sample_id, 'placeholder', case when sample_id % 3 > 0 then n_name else '' end from home",
     "pr_question_entities": f"with {catalogue.HOME} select sample_id as id, case when sample_id % 4 = 0 then r_name when sample_id % 3 = 0 then n_name when sample_id % 5 = 0 then '' else c_name end as q_entity from home",
