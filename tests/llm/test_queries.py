@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, queries, repeats, suffix_index, token_files, url_filters, warc
 
@@ -430,3 +431,20 @@ def test_stages_of_odd_and_empty_tables(spark):
     kept = P.drop_near_duplicates(spark, docs, SF)
     assert kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 1").count() == 2 and kept.where("doc_id is null").count() == 1
     assert P.replace_personal_data(spark, docs, SF).count() == len(rows)
+
+
+def test_url_rules_and_suffixes_as_tables(spark):
+    urls = ["http://a.b.org/x", "http://example.org/es/1", "http://www.example.org/en/12", "http://example.org", "http://x.com/fr/", "http://x.com/de/a?b", "http://org/", "nothing", None, "http://orgx/", "http://1.2.3.4:80/", "http://u.co.uk:8080/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.col("page_id"))
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(12)], "key long, bad int")
+    rows = lambda rules: sorted(map(tuple, url_filters.judge(pages, outcomes, rules).collect()))
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(url_filters.RULES)], "verdict string, host string, path string, pos long")
+    many = [("block", f"h{i}.net", "/") for i in range(url_filters.MOST_RULES)]
+    assert rows(url_filters.RULES) == rows(table) == rows([*many, *url_filters.RULES])
+    tied = [("block", "x.com", "/"), ("allow", "com", "/fr")]
+    assert len({len(h + p) for _, h, p in tied}) == 1 and rows(tied) == rows([*tied, *many])
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.github.io", "github.io", "x.io", "u.co.uk:8080", "1.2.3.4:80", "", "org")], "host string")
+    found = lambda t: {r.host: (r.suffix, r.domain) for r in url_filters.with_domain(hosts, t).collect()}
+    assert found(None) == {"a.b.github.io": ("io", "github.io"), "github.io": ("io", "github.io"), "x.io": ("io", "x.io"), "u.co.uk:8080": ("co.uk", "u.co.uk"), "1.2.3.4:80": ("ip", "1.2.3.4"), "": ("", ""), "org": ("org", "org")}
+    listed = found(spark.createDataFrame([("github.io",), ("io",), ("io",), ("co.uk",)], "suffix string"))
+    assert listed == found(None) | {"a.b.github.io": ("github.io", "b.github.io"), "github.io": ("github.io", "github.io")}
