@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import candidates, text
 from lattica.operators import conversation, decompose, model, prompts, rules
-from lattica.plans import catalogue, prompting
+from lattica.plans import catalogue, prompting, selecting
 from lattica.plans.catalogue import homes, scored, table
 
 WHERE = "where is the customer"
@@ -34,10 +34,13 @@ def _layered(s, d):
     return out.withColumn("score", F.round("score", 9))
 
 
+#: Kinds of answers that names of parts are judged for.
+SOME_KINDS = ("person", "city", "temporal", "language", "role", "open")
+
+
 def _types(s, d):
-    kinds = ("person", "city", "temporal", "language", "role", "open")
     name = F.concat(F.initcap("p_name"), F.lit(" "), "p_type")
-    return table(s, d, "part").select("p_partkey", *(candidates.type_score(name, F.lit(k)).alias(k) for k in kinds), candidates.surface_ok(F.col("p_name")).alias("readable"), candidates.person_like(name).alias("person_like"))
+    return table(s, d, "part").select("p_partkey", *(candidates.type_score(name, F.lit(k)).alias(k) for k in SOME_KINDS), candidates.surface_ok(F.col("p_name")).alias("readable"), candidates.person_like(name).alias("person_like"))
 
 
 def _dot_scores(s, d):
@@ -107,6 +110,7 @@ ORACLES = {
     "kg_layered": catalogue._sql("select layer, pos::int as pos, sample_id, h, r, t, round(score, 9) as score from layers", LAYERS),
     "kg_dot_scores": "select e.vec_id, e.label, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 4) as score from embeddings e join (select label, arg_min(embedding, vec_id) embedding from embeddings group by 1) q using (label)",
     "kg_text_encoder": "select distinct p_name as text, 64 as width from part",
+    "rb_type_score": f"select p_partkey, {', '.join(selecting.type_sql(repr(k)) + ' as ' + k for k in SOME_KINDS)}, length(p_name) > 2 as readable, person as person_like from (select *, {selecting.described('c')} from (select *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_type c from part))",
     "rb_relation_score": "select n_nationkey, 4 as place, -3 as person, 'language' as kind from nation",
     "rb_steps": f"with {catalogue.HOME} select sample_id::varchar as parent_id, sample_id::varchar as id, 0 as sub_id, 'what nation is home of ' || c_name || '?' as question, -1 as dep_prev_sub_id, 'none' as dep_type, false as needs_prev_answer from home union all select sample_id::varchar, sample_id || '_1', 1, 'Which is home of ' || c_name || ' of [B] contains a lake?', 0, 'coref', true from home",
     "conv_evidence_turn": "select conv_id, max(case when role = 'user' then i end)::int as at from (select *, row_number() over (partition by conv_id order by turn) - 1 i from conversations) group by 1",
