@@ -25,6 +25,9 @@ UNSURE = ("ans: not available", "ans: no information available")
 FOCUSED_LEAST, TAIL_SHARE, TAIL_LEAST, TAIL_MOST = 6, 8, 4, 12
 #: Tokens that a dropped triple is taken to save, when several are dropped at once.
 TRIPLE_TOKENS = 24
+#: What a service says of conversations that are too long; triples that then go at once; characters, or
+#: lines with answers, that stay of an earlier reply.
+TOO_LONG, AT_ONCE, REPLY_CHARACTERS, REPLY_LINES = ("maximum context length", "input tokens"), 8, 1200, 10
 
 Client = Callable[[list[dict]], str]
 Counter = Callable[[str], int]
@@ -59,21 +62,55 @@ def least_first(lines: list[str], known: dict[str, tuple[int, str]]) -> list[int
     return sorted(range(len(lines)), key=rank)
 
 
-def fitted(messages: list[dict], known: dict[str, tuple[int, str]], budget: int, count: Counter = words) -> tuple[list[dict], int]:
-    """Drops the least important triples until the messages have at most budget tokens; also how many were dropped."""
-    used = sum(count(m["content"]) for m in messages)
+def evidence(messages: list[dict]) -> tuple[int, list[str], str] | None:
+    """(place, lines of triples, what follows `Question:`) of the last user message with a block; None without one."""
     at = next((i for i in reversed(range(len(messages))) if messages[i]["role"] == "user" and messages[i]["content"].startswith(BLOCK)), None)
-    if used <= budget or at is None or QUESTION not in messages[at]["content"]:
-        return messages, 0
+    if at is None or QUESTION not in messages[at]["content"]:
+        return None
     block, rest = messages[at]["content"].split(QUESTION, 1)
-    lines = [x for x in block.splitlines()[1:] if x.strip()]
-    order, gone, before = least_first(lines, known), 0, used - count(messages[at]["content"])
+    return at, [x for x in block.splitlines()[1:] if x.strip()], rest
+
+
+def with_lines(messages: list[dict], at: int, lines: list[str], rest: str) -> list[dict]:
+    content = (BLOCK + "\n".join(lines) + "\n\n" if lines else "") + "Question:\n" + rest
+    return [*messages[:at], messages[at] | {"content": content}, *messages[at + 1 :]]
+
+
+def fitted(messages: list[dict], known: dict[str, tuple[int, str]], budget: int, count: Counter = words) -> tuple[list[dict], int]:
+    """Drops the least important triples until the messages have at most budget tokens or no triple is left; also how many
+    were dropped."""
+    used, found = sum(count(m["content"]) for m in messages), evidence(messages)
+    if used <= budget or found is None:
+        return messages, 0
+    at, lines, rest = found
+    order, gone, before, short = least_first(lines, known), 0, used - count(messages[at]["content"]), messages
     while used > budget and gone < len(lines):
         gone += max(1, min(len(lines) - gone, (used - budget) // TRIPLE_TOKENS + 1))
-        left = [lines[i] for i in sorted(order[gone:])]
-        content = (BLOCK + "\n".join(left) + "\n\n" if left else "") + "Question:\n" + rest
-        used = before + count(content)
-    return [*messages[:at], messages[at] | {"content": content}, *messages[at + 1 :]], gone
+        short = with_lines(messages, at, [lines[i] for i in sorted(order[gone:])], rest)
+        used = before + count(short[at]["content"])
+    return short, gone
+
+
+def shorter_reply(text: str) -> str:
+    """An earlier reply's lines with answers, else its end."""
+    if len(text) <= REPLY_CHARACTERS:
+        return text
+    lines = [x for x in (line.strip() for line in text.splitlines()) if x.lower().startswith("ans:")]
+    return "\n".join(lines[:REPLY_LINES]) if lines else text[-REPLY_CHARACTERS:]
+
+
+def shorter(messages: list[dict], known: dict[str, tuple[int, str]]) -> list[dict] | None:
+    """What to ask where a service finds messages too long: with fewer triples, then with the last long reply shortened,
+    then with the one before; None if nothing is left to go."""
+    found = evidence(messages)
+    if found is not None and found[1]:
+        at, lines, rest = found
+        return with_lines(messages, at, [lines[i] for i in sorted(least_first(lines, known)[AT_ONCE:])], rest)
+    for i in reversed(range(len(messages))):
+        text = messages[i]["content"]
+        if messages[i]["role"] == "assistant" and shorter_reply(text) != text:
+            return [*messages[:i], messages[i] | {"content": shorter_reply(text)}, *messages[i + 1 :]]
+    return None
 
 
 def _known(lines) -> dict[str, tuple[int, str]]:
@@ -85,27 +122,35 @@ def _dicts(messages) -> list[dict]:
 
 
 def truncated(rows: DataFrame, tokens: int, reserve: int = 32, count: Counter = words) -> DataFrame:
-    """id, messages, removed: conversations of at most tokens - reserve tokens, as far as triples can be dropped."""
+    """id, messages, removed, fits: conversations of at most tokens - reserve tokens; fits is false where they are longer
+    without any triple."""
+    budget = max(1, tokens - reserve)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [fitted(_dicts(m), _known(x), max(1, tokens - reserve), count) for m, x in zip(frame["messages"], frame["lines"], strict=True)]
-            yield pd.DataFrame({"id": frame["id"], "messages": [m for m, _ in made], "removed": pd.Series([n for _, n in made], dtype="int32")})
+            made = [fitted(_dicts(m), _known(x), budget, count) for m, x in zip(frame["messages"], frame["lines"], strict=True)]
+            yield pd.DataFrame({"id": frame["id"], "messages": [m for m, _ in made], "removed": pd.Series([n for _, n in made], dtype="int32"), "fits": pd.Series([sum(count(x["content"]) for x in m) <= budget for m, _ in made], dtype="bool")})
 
-    return rows.select("id", "messages", "lines").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, messages {MESSAGES}, removed int")
+    return rows.select("id", "messages", "lines").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, messages {MESSAGES}, removed int, fits boolean")
 
 
 def ask(client: Client, messages: list[dict], known: dict, tokens: int, retries: int = 5, wait: float = 5.0) -> str:
-    """Fits the messages and asks; a busy client (ConnectionError) is asked again, after twice the time each."""
-    short, _ = fitted(messages, known, tokens)
-    for n in range(retries + 1):
+    """Fits the messages and asks. A busy client (ConnectionError) is asked again, after twice the time each; one that says
+    that the messages are too long gets shorter ones, as long as there are any."""
+    short, busy = fitted(messages, known, tokens)[0], 0
+    while True:
         try:
             return client(short)
         except ConnectionError:
-            if n == retries:
+            if busy == retries:
+                raise
+            time.sleep(wait * 2**busy)
+            busy += 1
+        except Exception as error:
+            less = shorter(short, known) if any(x in str(error).lower() for x in TOO_LONG) else None
+            if less is None:
                 raise
-            time.sleep(wait * 2**n)
-    raise AssertionError
+            short = less
 
 
 def plain(s: str) -> str:
