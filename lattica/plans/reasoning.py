@@ -104,6 +104,12 @@ LAYERS = """tops as (select sample_id, max(score) top from triples group by 1),
 layers as (select 0 as layer, 1 as pos, sample_id, c_name h, 'location.city' r, 'Atlantis' t, top - 0.001 score from home join tops using (sample_id)
   union all select 1, 1, sample_id, c_name, 'location.nation', n_name, top - 0.001 from home join tops using (sample_id)
   union all select 2, rank, sample_id, h, r, t, score - case when r = 'place.region' then 0.35 else 0 end from ranked where r <> 'location.nation')"""
+#: The last lines of the evidence order go first: one, and one more for each 24 words beyond the 12 that may be left.
+TRUNCATED = f"""{prompting.CLEAN},
+lined as materialized (select sample_id, rank k, {prompting._line} line, len(string_split({prompting._line}, ' ')) w from placed where rank <= {prompting.N}),
+sums as materialized (select sample_id, k l, (4 + sum(w) over (partition by sample_id order by k))::int used, string_agg(line, chr(10)) over (partition by sample_id order by k) lines from lined union all select sample_id, 0, 3, null from home),
+walk as (select sample_id, max(k) l, max(k) m from lined group by 1 union all select x.sample_id, x.l - least(x.l, (used - 12) // 24 + 1), m from walk x join sums s on s.sample_id = x.sample_id and s.l = x.l where used > 12 and x.l > 0),
+last as (select sample_id, min(l) l, max(m) m from walk group by 1)"""
 ORACLES = {
     "kg_rule_paths": catalogue._sql("select sample_id, rank, r1, r2, mid as \"pivot\", target, hops from ruled", RULES),
     "kg_rule_candidates": catalogue._sql("select sample_id, rule, entity, (row_number() over (partition by sample_id, rule order by score desc, entity))::int as place from led join home using (sample_id) where entity <> n_name", CANDIDATES),
@@ -113,5 +119,6 @@ ORACLES = {
     "rb_type_score": f"select p_partkey, {', '.join(selecting.type_sql(repr(k)) + ' as ' + k for k in SOME_KINDS)}, length(p_name) > 2 as readable, person as person_like from (select *, {selecting.described('c')} from (select *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_type c from part))",
     "rb_relation_score": "select n_nationkey, 4 as place, -3 as person, 'language' as kind from nation",
     "rb_steps": f"with {catalogue.HOME} select sample_id::varchar as parent_id, sample_id::varchar as id, 0 as sub_id, 'what nation is home of ' || c_name || '?' as question, -1 as dep_prev_sub_id, 'none' as dep_type, false as needs_prev_answer from home union all select sample_id::varchar, sample_id || '_1', 1, 'Which is home of ' || c_name || ' of [B] contains a lake?', 0, 'coref', true from home",
+    "conv_truncated": catalogue._sql("select x.sample_id as id, (m - x.l)::int as removed, case when x.l > 0 then 'Triplets:' || chr(10) || lines || chr(10) || chr(10) else '' end || 'Question:' || chr(10) || 'where?' as content from last x join sums s on s.sample_id = x.sample_id and s.l = x.l", TRUNCATED).replace("with ", "with recursive ", 1),
     "conv_evidence_turn": "select conv_id, max(case when role = 'user' then i end)::int as at from (select *, row_number() over (partition by conv_id order by turn) - 1 i from conversations) group by 1",
 }
