@@ -93,7 +93,36 @@ def _primary(s, d):
     return selection.primary_and_other(homes(s, d).select("sample_id", F.posexplode(details).alias("pos", "x")).select("sample_id", "pos", "x.*"), 2)
 
 
+def _best(s, d):
+    """Eight names a sample, of which the second is inherited; two paths, or for every fifth sample none."""
+    p, i = parts(s, d), F.floor(F.col("p_partkey") / 8)
+    rows = p.select(i.alias("sample_id"), (F.col("p_partkey") % 8).alias("pos"), F.col("name").alias("entity"), "question", "answers", (F.col("p_partkey") % 8 == 1).alias("inherited"))
+    path = lambda r, natural: F.struct(F.lit(r).alias("r1"), F.lit(None).cast("string").alias("r2"), F.lit(natural).cast("string").alias("natural"))
+    paths = rows.select("sample_id").distinct().where("sample_id % 5 > 0").select("sample_id", F.explode(F.array(path(RELATIONS[0], "english"), path(RELATIONS[1], None))).alias("x")).select("sample_id", "x.*")
+    return selection.best_targets(rows, paths, 3).select("sample_id", "place", "entity", F.col("score").cast("int").alias("score"))
+
+
+def _repeated(s, d):
+    i, h = F.col("sample_id"), homes(s, d)
+    triples = F.array(F.struct(F.col("c_name").alias("h"), F.lit("in").alias("r"), F.col("n_name").alias("t")), F.struct(F.col("n_name").alias("h"), F.lit("in").alias("r"), F.col("r_name").alias("t")))
+    details = h.select("sample_id", F.lit(0).alias("pos"), (i % 2 == 0).alias("is_primary"), (i % 3 == 0).alias("depends"), (i % 5 == 0).alias("cascading"), triples.alias("triples"))
+    return selection.repeated(details, 3, 0, 2)
+
+
+def _listed(s, d):
+    """Replies as objects, arrays, in fences, in sentences, and none."""
+    i, n = F.col("n_nationkey"), F.concat(F.lit('["'), "n_name", F.lit('", "x"]'))
+    reply = (
+        F.when(i % 7 == 0, F.concat(F.lit('{"targets": '), n, F.lit("}"))).when(i % 7 == 1, n).when(i % 7 == 2, F.concat(F.lit("```JSON\n"), n, F.lit("\n```")))
+        .when(i % 7 == 3, F.concat(F.lit('I say:\n{"answers": '), n, F.lit(', "targets": "no list"} so.'))).when(i % 7 == 4, F.concat(F.lit("these: "), n, F.lit(" all"))).when(i % 7 == 5, "nothing")
+    )
+    return table(s, d, "nation").select("n_nationkey", F.concat_ws("|", F.coalesce(suitability.listed(reply), F.array(F.lit("-")))).alias("targets"))
+
+
 QUERIES = {
+    "se_best_targets": _best,
+    "se_repeated": _repeated,
+    "se_listed": _listed,
     "se_suitability": _suitability,
     "se_chosen": _chosen,
     "se_shaped": _shaped,
@@ -138,8 +167,11 @@ def described(c: str) -> str:
     return f"lower({c}) n, string_split(lower({c}), ' ') low, len(string_split({c}, ' ')) nw, {_capitals(c)} person, {_any(f'lower({c})', candidates.WORKS)} work"
 
 
-SUITABILITY = f"""with own as (select *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') own from part),
-a as (select p_partkey, own, {_SQL_NAME} c, {_of('p_partkey % 7', ASKED)} q, {_of('p_partkey % 7', KINDS)} kind, {_of('p_size % 4', RELATIONS)} rel, p_size % 2 = 1 known, p_size % 5 > 0 as natural_known, p_size % 8 < 4 as two, p_size % 10 as place from own),
+def suitability_sql(rel: str, natural: str, place: str) -> str:
+    """Scores of parts' names; rel, natural and place are SQL for the relation, whether there is the natural answer
+    `english`, and the place among candidates."""
+    return f"""with own as (select *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') own from part),
+a as (select p_partkey, own, {_SQL_NAME} c, {_of('p_partkey % 7', ASKED)} q, {_of('p_partkey % 7', KINDS)} kind, {rel} rel, p_size % 2 = 1 known, {natural} as natural_known, p_size % 8 < 4 as two, {place} as place from own),
 b as (select *, kind in {candidates.PLACES} placed, {described('c')} from a),
 t as (select *, {type_sql('kind')} ty from b),
 m as (select *, ty + case when list_contains({_texts(candidates.GENERAL_WORDS)}, n) then -2 else 0 end
@@ -160,7 +192,15 @@ select p_partkey, kind, ty as type_score, ty >= case when kind = 'open' then 0 e
   'm.piv_' || left(regexp_replace(replace(n, ' ', '_') || '_' || rel || '_' || case when two then 'person.author' else 'bridge' end, '[^a-z0-9_]+', '_', 'g') || '__t__1', 64) as bridge,
   round(least(1.2, greatest(0, place - 2) * 0.18), 6)::double as boost, case when p_partkey % 8 = 6 then ' ' else '' end || c || case when known and (c <> own or p_partkey % 8 = 6) then '|' || own else '' end as known from m"""
 _WAYS = " union all ".join(f"select {i} pos, {'null' if x[0] is None else repr(x[0])}::varchar name, '{way}' way, {k} k" for i, x in enumerate(OFFERED) for k in (0, 1) for way in x[1 + k].split())
+SUITABILITY = suitability_sql(_of("p_size % 4", RELATIONS), "p_size % 5 > 0", "p_size % 10")
+BEST = f"""with j as ({suitability_sql("'type.object.type'", "false", "0")}),
+k as (select p_partkey // 8 sample_id, p_partkey % 8 pos, ltrim(split_part(spellings, '|', 1)) entity, choice + greatest(case when kind in ('location', 'country') then 2 else 0 end + case when lower(split_part(spellings, '|', 1)) <> 'english' then 5 else 0 end, case when kind = 'person' then 2 else 0 end) best, kind <> 'open' and type_fits sure from j),
+z as (select *, case when sample_id % 5 > 0 then best else 0 end + case when sure then 4 else 0 end + case when pos = 1 then 12 else 0 end as score from k)
+select sample_id, (row_number() over (partition by sample_id order by score desc, pos = 1 desc, pos))::int as place, entity, score::int as score from z qualify place <= 3"""
 ORACLES = {
+    "se_best_targets": BEST,
+    "se_repeated": f"with {catalogue.HOME}, n as (select *, unnest(range(1, greatest(1, case when sample_id % 2 = 0 then 3 else 0 end + case when sample_id % 3 = 0 then 2 else 0 end + (sample_id % 5 = 0)::int) + 1)) k from home) select sample_id, sample_id % 2 = 0 as is_primary, 0 as pos, k::int as round, 0 as i, c_name as h, 'in' as r, n_name as t from n union all select sample_id, sample_id % 2 = 0, 0, k::int, 1, n_name, 'in', r_name from n",
+    "se_listed": "select n_nationkey, case when n_nationkey % 7 < 5 then n_name || '|x' else '-' end as targets from nation",
     "se_suitability": SUITABILITY,
     "se_chosen": f"with {catalogue.HOME}, ways as ({_WAYS}) select sample_id, way, pos::int as pos, coalesce(name, case pos when 0 then c_name else n_name end) as entity from home join ways on sample_id % 2 = k",
     "se_shaped": f"with {catalogue.HOME} select sample_id, unnest(case when sample_id % 2 = 1 then ['a b c d e'] when contains(r_name, ' ') then ['one two three', 'x y'] else ['x y'] end) as entity from home",
