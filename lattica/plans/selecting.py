@@ -44,16 +44,16 @@ def _suitability(s, d):
 
 #: Names, and the ways that choose them where a place is asked for, and where anything is.
 OFFERED = (
-    (None, "pivot soft final", "pivot soft final rule global"),
-    (None, "pivot soft final", "pivot soft final rule global"),
+    (None, "pivot between soft final", "pivot between soft final rule global"),
+    (None, "pivot between soft final", "pivot between soft final rule global"),
     (None, "", ""),
     (None, "", ""),
     ("ab", "", ""),
     ("Country", "pivot final", "pivot final"),
     ("ISBN 1", "pivot soft", "pivot soft"),
     ("m.0abc", "", ""),
-    ("Atlantis", "pivot soft final rule global", "pivot soft final rule global"),
-    ("xyz", "soft final", "soft final rule global"),
+    ("Atlantis", "pivot between soft final rule global", "pivot between soft final rule global"),
+    ("xyz", "between soft final", "between soft final rule global"),
     ("Film City", "pivot soft final", "pivot soft final rule global"),
     ("lake songs", "pivot soft final", "pivot soft final rule global"),
     ("writer", "pivot soft final", "pivot soft final global"),
@@ -61,12 +61,12 @@ OFFERED = (
 
 
 def _chosen(s, d):
-    """Five ways; the third name is blocked, the fourth repeats the second."""
+    """Six ways; the third name is blocked, the fourth repeats the second."""
     own = [F.col("c_name"), F.concat(F.lit(" "), "n_name", F.lit("\t")), F.col("r_name"), F.col("n_name"), *(F.lit(x[0]) for x in OFFERED[4:])]
     h = homes(s, d)
     rows = h.select("sample_id", F.posexplode(F.array(*own)).alias("pos", "entity"), F.when(F.col("sample_id") % 2 == 0, "where is it").otherwise("which one").alias("question"), F.lit("place.in").alias("r1"), F.lit(None).cast("string").alias("r2"))
     blocked, out = h.select("sample_id", F.concat(F.lit(" "), F.lower("r_name")).alias("entity")), None
-    for way in ("pivot", "soft", "final", "rule", "global"):
+    for way in ("pivot", "between", "soft", "final", "rule", "global"):
         one = selection.chosen(rows, blocked, way).select("sample_id", F.lit(way).alias("way"), "pos", "entity")
         out = one if out is None else out.unionByName(one)
     return out

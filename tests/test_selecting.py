@@ -16,7 +16,7 @@ def test_query_equals_sql(spark, same, name):
 def test_nulls_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, 0, None, "where", "a", None), (1, 1, "Paris", None, None, None)], "sample_id int, pos int, entity string, question string, r1 string, r2 string")
     blocked = spark.createDataFrame([(1, None), (1, " ")], "sample_id int, entity string")
-    for way in ("pivot", "soft", "final", "rule", "global"):
+    for way in ("pivot", "between", "soft", "final", "rule", "global"):
         assert [r.entity for r in selection.chosen(rows, blocked, way).collect()] == ["Paris"]
         assert selection.chosen(rows.limit(0), blocked.limit(0), way).count() == 0
     with pytest.raises(ValueError):
