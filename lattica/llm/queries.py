@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import bpe, decontaminate, fingerprints, language_id, minhash, pii, repeats, token_files, url_filters, warc
+from lattica.llm import bpe, decontaminate, fingerprints, hard_negatives, importance, language_id, line_dedup, minhash, pii, repeats, token_files, url_filters, warc
 
 QUERIES = {
     "op1_suffix_dedup": repeats.op1_suffix_dedup,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_importance": importance.op13_importance,
 }
 ORACLES = {
     "op4_decontamination": decontaminate.oracle(),
     "op7_minhash": minhash.oracle(),
     "op9_warc": warc.oracle(),
     "op10_url_filters": url_filters.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
+    "op12_line_dedup": line_dedup.oracle(),
+    "op13_importance": importance.oracle(),
 }
