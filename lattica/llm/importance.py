@@ -1,20 +1,21 @@
 """Importance resampling towards a target distribution, over an integer word dictionary.
 
 Texts are coded chunk by chunk with local word numbers. A dictionary maps the distinct words of all chunks to ids, and
-n-grams become tuples of ids. Each distinct tuple's bytes are put together again and hashed once, to its bucket; counts
-of tuples add up to those of buckets, and the buckets' gains are joined back to the tuples of each chunk. A document's
-weight is the sum of its features' gains; Gumbel noise by document makes the highest scores a weighted draw without
-replacement.
+n-grams become tuples of ids; a single word's tuple is its dictionary entry. Each distinct tuple's bytes are put together
+again and hashed once, to its bucket; counts of tuples add up to those of buckets, and the buckets' gains are joined back
+to the words and tuples of each chunk. A document's weight is the sum of its features' gains; Gumbel noise by document
+makes the highest scores a weighted draw without replacement.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import base
@@ -22,10 +23,10 @@ from lattica.llm.decontaminate import formed
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 2024, 10, 20
 #: Bytes of text that share local word numbers; a longer single text stands alone. Pieces that are split into words at once.
-CHUNK_BYTES, PIECE = 4 << 20, 1 << 20
+CHUNK_BYTES, PIECE = 16 << 20, 1 << 20
 #: Rows of an Arrow batch of tuples.
 ROWS = 10_000
-CODED = "chunk long, target boolean, words array<string>, sizes array<int>, tuples binary, totals binary, doc_ids array<{kind}>, n_words array<long>, n_features array<long>, features binary"
+CODED = "chunk long, target boolean, words array<string>, counts array<long>, sizes array<int>, tuples binary, totals binary, doc_ids array<{kind}>, n_words array<long>, n_features array<long>, features binary"
 
 
 class Numbers(dict):
@@ -48,7 +49,7 @@ def word_numbers(text: bytes, numbers: Numbers) -> np.ndarray:
 
 def grams(texts: list[np.ndarray], words: int, low: int, high: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The distinct runs of low to high words, a table of word numbers for each length, and each text's runs as
-    numbers of them, counted on from length to length."""
+    numbers of them, counted on from length to length. A run of one word has the word's number."""
     lengths = np.array([len(x) for x in texts], np.int64)
     flat = np.concatenate(texts).astype(np.int64) if texts else np.zeros(0, np.int64)
     ends = np.repeat(np.cumsum(lengths), lengths)
@@ -71,9 +72,19 @@ def grams(texts: list[np.ndarray], words: int, low: int, high: int) -> tuple[lis
     return tables, np.split(every[order], cut) if texts else []
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32: their lower halves, then their upper ones, which are mostly 0."""
+    return numbers.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "<u2").reshape(2, -1).T).view("<u4").ravel()
+
+
 def coded(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """rows: target, doc_id, text. A row for each chunk of texts: its words, the tuples of local word numbers (sizes:
-    how many of each length), how often each occurs, and each text's features as numbers of tuples."""
+    """rows: target, doc_id, text. A row for each chunk of texts: its words and how often each occurs, the tuples of two
+    and more local word numbers (sizes: how many of each length; totals: how often each), and each text's features as
+    numbers of words and, counted on, of tuples."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +93,16 @@ def coded(rows: DataFrame, low: int, high: int) -> DataFrame:
 
         def chunk() -> pa.RecordBatch:
             tables, found = grams(texts, len(numbers), low, high)
-            n = sum(map(len, tables))
-            every = np.concatenate(found) if found else np.zeros(0, np.int64)
-            small = every.astype("<u2" if n <= 1 << 16 else "<u4")
-            row = [
-                [(part << 32) + made], [side], [[w.decode("utf-8", "surrogatepass") for w in numbers]], [[len(x) for x in tables]], [b"".join(x.astype("<i4").tobytes() for x in tables)],
-                [np.bincount(every, minlength=n).astype("<i8").tobytes()], [names], [[len(x) for x in texts]], [[len(x) for x in found]], [small.tobytes()],
-            ]
-            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(name_kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "target", "words", "sizes", "tuples", "totals", "doc_ids", "n_words", "n_features", "features"])
+            every = np.concatenate(found)
+            total = np.bincount(every, minlength=sum(map(len, tables)))
+            single, tables = (len(numbers), tables[1:]) if low == 1 else (0, tables)
+            row = {
+                "chunk": (part << 32) + made, "target": side, "words": [w.decode("utf-8", "surrogatepass") for w in numbers], "counts": total[:single] if single else np.zeros(len(numbers), np.int64),
+                "sizes": [len(x) for x in tables], "tuples": b"".join(x.astype("<i4").tobytes() for x in tables), "totals": total[single:].astype("<i8").tobytes(),
+                "doc_ids": names, "n_words": [len(x) for x in texts], "n_features": [len(x) for x in found], "features": packed(every),
+            }
+            kinds = {"chunk": pa.int64(), "target": pa.bool_(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "doc_ids": pa.list_(name_kind), "n_words": pa.list_(pa.int64()), "n_features": pa.list_(pa.int64())}
+            return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], names=list(row))
 
         for batch in batches:
             name_kind = batch.column(1).type
@@ -110,38 +122,49 @@ def coded(rows: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def chunk_tuples(chunks: DataFrame, ids: DataFrame, low: int) -> DataFrame:
-    """chunk, no (the tuple's number there), target, tuple (dictionary ids), n. ids: chunk, ids of its words in order."""
+    """chunk, no (the tuple's number there, behind the words' where low is 1), target, tuple (dictionary ids), n. ids:
+    chunk, ids of its words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, target, sizes, tuples, totals, names in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
                 names = np.zeros(0, np.int64) if names.values is None else names.values.to_numpy()
-                local, totals, first = np.frombuffer(tuples, "<i4"), np.frombuffer(totals, "<i8"), 0
-                for width, n in enumerate(sizes, low):
+                local, totals, first, before = np.frombuffer(tuples, "<i4"), np.frombuffer(totals, "<i8"), 0, len(names) if low == 1 else 0
+                for width, n in enumerate(sizes, max(low, 2)):
                     some, local = names[local[: n * width]], local[n * width :]
                     for a in range(0, n, ROWS):
                         e = min(n, a + ROWS)
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(e - a + 1) * width, pa.int32()), pa.array(some[a * width : e * width], pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(e - a, chunk)), pa.array(np.arange(first + a, first + e), pa.int32()), pa.array([target] * (e - a), pa.bool_()), lists, pa.array(totals[first + a : first + e])], names=["chunk", "no", "target", "tuple", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(e - a, chunk)), pa.array(np.arange(before + first + a, before + first + e), pa.int32()), pa.array([target] * (e - a), pa.bool_()), lists, pa.array(totals[first + a : first + e])], names=["chunk", "no", "target", "tuple", "n"])
                     first += n
 
     cols = ["chunk", "target", "sizes", "tuples", "totals"]
     return chunks.select(cols).join(ids, "chunk", "left").select(*cols, "ids").mapInArrow(run, "chunk long, no int, target boolean, tuple array<long>, n long")
 
 
+def sides() -> list[Column]:
+    """s and t: the sums of n in the documents and in the target."""
+    return [F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)).alias(c) for c, side in (("s", ~F.col("target")), ("t", F.col("target")))]
+
+
+def bucket_of(text: str, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.col(text).cast("binary")), F.lit(buckets)).cast("int")
+
+
 def hashed(tuples: DataFrame, dictionary: DataFrame, high: int, buckets: int) -> DataFrame:
     """tuple, bucket, s and t (how often it occurs in the documents and in the target), each tuple once. Its words come
     from the dictionary (word, id), place by place; the bytes of the words, joined by blanks, are hashed."""
-    every = tuples.groupBy("tuple").agg(F.coalesce(F.sum(F.when(~F.col("target"), F.col("n"))), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(F.col("target"), F.col("n"))), F.lit(0)).alias("t"))
+    every = tuples.groupBy("tuple").agg(*sides())
     for i in range(high):
         every = every.withColumn("id", F.get("tuple", F.lit(i))).join(dictionary.select("id", F.col("word").alias(f"word{i}")), "id", "left").drop("id")
-    text = F.concat_ws(" ", *[f"word{i}" for i in range(high)])
-    return every.select("tuple", F.pmod(F.crc32(text.cast("binary")), F.lit(buckets)).cast("int").alias("bucket"), "s", "t")
+    every = every.withColumn("text", F.concat_ws(" ", *[f"word{i}" for i in range(high)]))
+    return every.select("tuple", bucket_of("text", buckets).alias("bucket"), "s", "t")
 
 
-def gains_of(tuples: DataFrame, buckets: int) -> DataFrame:
-    """bucket, gain: floor(1000 ln) of the smoothed ratio of the bucket's shares in the target and in the documents."""
-    counts = tuples.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+def gains_of(hashes: DataFrame, buckets: int) -> DataFrame:
+    """hashes: bucket, s, t. bucket, gain: floor(1000 ln) of the smoothed ratio of the bucket's shares in the target and in
+    the documents."""
+    counts = hashes.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     every = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     over = (F.col("t") + 1).cast("double") * F.lit(float(every["s"] + buckets))
     under = (F.col("s") + 1).cast("double") * F.lit(float(every["t"] + buckets))
@@ -157,8 +180,7 @@ def weighed(chunks: DataFrame, gains: DataFrame) -> DataFrame:
             for i, raw in enumerate(batch.column(3).to_pylist()):
                 names, words, counts, gain = (batch.column(j)[i].values for j in (0, 1, 2, 4))
                 gain = np.zeros(0, np.int64) if gain is None else gain.to_numpy()
-                features = np.frombuffer(raw, "<u2" if len(gain) <= 1 << 16 else "<u4")
-                total = np.concatenate([[0], np.cumsum(gain[features])])
+                total = np.concatenate([[0], np.cumsum(gain[unpacked(raw)])])
                 at = np.concatenate([[0], np.cumsum(counts.to_numpy())])
                 yield pa.RecordBatch.from_arrays([names, words, counts, pa.array(total[at[1:]] - total[at[:-1]], pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
@@ -176,15 +198,22 @@ def weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, low: int
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.lit(False).alias("target"), "doc_id", "text").unionByName(target.select(F.lit(True).alias("target"), F.lit(None).cast(kind).alias("doc_id"), "text"))
     chunks = base.written(coded(rows, low, high), f"{folder}/chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
-    dictionary = base.written(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), f"{folder}/dictionary")
+    words = chunks.select("chunk", "target", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("chunk", "target", "pos", "x.words", "x.counts").toDF("chunk", "target", "pos", "word", "n")
+    dictionary = words.groupBy("word").agg(*sides()).withColumn("id", F.monotonically_increasing_id()).withColumn("bucket", bucket_of("word", buckets))
+    dictionary = base.written(dictionary, f"{folder}/dictionary")
     in_order = lambda value: F.transform(F.sort_array(F.collect_list(F.struct("pos", value))), lambda x: x[value])
-    ids = words.join(dictionary, "word").groupBy("chunk").agg(in_order("id").alias("ids"))
-    tuples = base.written(chunk_tuples(chunks, ids, low), f"{folder}/tuples")
-    distinct = base.written(hashed(tuples, dictionary, high, buckets), f"{folder}/distinct")
-    gains = base.written(gains_of(distinct, buckets), f"{folder}/gains")
-    own = tuples.where("not target").join(distinct.select("tuple", "bucket"), "tuple").join(gains, "bucket")
-    return weighed(chunks, own.select("chunk", F.col("no").alias("pos"), "gain").groupBy("chunk").agg(in_order("gain").alias("gains")))
+    every, own = [], []
+    if low == 1:
+        every.append(dictionary.select("bucket", "s", "t"))
+        own.append(words.where("not target").join(dictionary.select("word", "bucket"), "word").select("chunk", "pos", "bucket"))
+    if high > 1:
+        ids = words.join(dictionary, "word").groupBy("chunk").agg(in_order("id").alias("ids"))
+        tuples = base.written(chunk_tuples(chunks, ids, low), f"{folder}/tuples")
+        distinct = base.written(hashed(tuples, dictionary, high, buckets), f"{folder}/distinct")
+        every.append(distinct.select("bucket", "s", "t"))
+        own.append(tuples.where("not target").join(distinct.select("tuple", "bucket"), "tuple").select("chunk", F.col("no").alias("pos"), "bucket"))
+    gains = base.written(gains_of(reduce(DataFrame.unionByName, every), buckets), f"{folder}/gains")
+    return weighed(chunks, reduce(DataFrame.unionByName, own).join(gains, "bucket").groupBy("chunk").agg(in_order("gain").alias("gains")))
 
 
 def drawn(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
