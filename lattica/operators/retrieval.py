@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources import records
+
 
 def ranked(scored: DataFrame) -> DataFrame:
     """Adds rank from 1 within a sample, highest score first, ties by triple_id."""
@@ -73,24 +75,51 @@ def with_new(scored: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).drop("triple_id")
 
 
+#: Draws for each triple wanted, before what is short is completed.
+DRAWS = 4
+
+
 def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     """budget random triples for each sample, or all there are: of a triple of the graph that touches a question entity the
     other end (the tail, where both are such) becomes another entity of the graph. New triples are none of the graph's.
     Samples of which no triple touches one get none.
 
-    graph: sample_id, h, r, t; questions: sample_id, entity. Triples with an equal kept end and relation have the same
-    outcomes, so each such pair meets the sample's entities once; the order is that of a hash of seed and triple. The
-    score is that of the first source in this order, or the sample's least where it isn't among scored."""
+    graph: sample_id, h, r, t; questions: sample_id, entity. The product of such sources and entities is never listed.
+    DRAWS * budget draws, by MD5 of seed, sample and number, take a source (numbered by h, r, t) and an entity (by name) each;
+    what is no new triple, or was drawn, is rejected. Where they run short, members of the product follow in order, and
+    only so many as must hold enough: at most two of them make the same triple, so 2 * budget and 2 for each triple of the
+    graph and source. The score is the source's, or the sample's least where it isn't among scored."""
     triple = ["sample_id", "h", "r", "t"]
     own, q = graph.select(triple).distinct(), questions.select("sample_id", "entity").distinct()
     head, tail = (q.withColumnRenamed("entity", c).withColumn(f"_{c}", F.lit(True)) for c in ("h", "t"))
     source = own.join(head, ["sample_id", "h"], "left").join(tail, ["sample_id", "t"], "left").where("_h or _t").withColumn("_h", F.coalesce("_h", F.lit(False)))
     least = scored.groupBy("sample_id").agg(F.min("score").alias("_least"))
+    numbered = lambda df, *by: df.withColumn("no", F.row_number().over(Window.partitionBy("sample_id").orderBy(*by)) - 1)
     priced = source.join(score_map(scored), triple, "left").join(least, "sample_id", "left")
-    order = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(x).cast("string") for x in c)))
-    kept = priced.groupBy("sample_id", "r", "_h", F.when(F.col("_h"), F.col("h")).otherwise(F.col("t")).alias("_kept")).agg(F.min_by(F.coalesce("score", "_least", F.lit(0.0)), F.struct(order(*triple), *triple)).alias("score"))
-    pool = own.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct()
-    made = kept.join(pool, "sample_id").where("entity <> _kept")
-    made = made.select("sample_id", F.when(F.col("_h"), F.col("_kept")).otherwise(F.col("entity")).alias("h"), "r", F.when(F.col("_h"), F.col("entity")).otherwise(F.col("_kept")).alias("t"), "score")
-    new = made.groupBy(triple).agg(F.max("score").alias("score")).join(own, triple, "left_anti")
-    return new.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id").orderBy(order(*triple), "h", "r", "t"))).where(F.col("_n") <= budget).drop("_n")
+    sources = numbered(priced.select("sample_id", "h", "r", "t", "_h", F.coalesce("score", "_least", F.lit(0.0)).alias("score")), "h", "r", "t")
+    pool = numbered(own.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct(), "entity")
+    folder = records.scratch(graph.sparkSession)
+    sources, pool = records.written(sources, f"{folder}/sources"), records.written(pool, f"{folder}/pool")
+    sizes = sources.groupBy("sample_id").agg(F.count("*").alias("n_s")).join(pool.groupBy("sample_id").agg(F.count("*").alias("n_e")), "sample_id").join(own.groupBy("sample_id").agg(F.count("*").alias("n_t")), "sample_id")
+    sizes = records.written(sizes, f"{folder}/sizes")
+
+    def number(what: str, n: str):
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("k").cast("string"), F.lit(what)))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.col(n)
+
+    def made(picks: DataFrame) -> DataFrame:
+        """picks: sample_id, stage, k, s, e (numbers of source and entity)."""
+        both = picks.join(sources.withColumnRenamed("no", "s"), ["sample_id", "s"]).join(pool.withColumnRenamed("no", "e"), ["sample_id", "e"])
+        kept = F.when(F.col("_h"), F.col("h")).otherwise(F.col("t"))
+        new = both.where(F.col("entity") != kept).select("sample_id", F.when(F.col("_h"), F.col("h")).otherwise(F.col("entity")).alias("h"), "r", F.when(F.col("_h"), F.col("entity")).otherwise(F.col("t")).alias("t"), F.struct("stage", "k", "score").alias("at"))
+        return new.groupBy(triple).agg(F.min("at").alias("at")).join(own, triple, "left_anti")
+
+    drawn = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DRAWS * budget - 1)))) if budget > 0 else sizes.withColumn("k", F.lit(0)).limit(0)
+    first = records.written(made(drawn.select("sample_id", F.lit(0).alias("stage"), F.col("k").cast("long").alias("k"), number("source", "n_s").alias("s"), number("entity", "n_e").alias("e"))), f"{folder}/drawn")
+    short = sizes.join(first.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id", "left").where(F.coalesce("n", F.lit(0)) < budget)
+    most = F.least(F.col("n_s") * F.col("n_e"), 2 * budget + 2 * F.col("n_t") + 2 * F.col("n_s"))
+    rest = short.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
+    rest = made(rest.select("sample_id", F.lit(1).alias("stage"), "k", F.floor(F.col("k") / F.col("n_e")).alias("s"), (F.col("k") % F.col("n_e")).alias("e")))
+    every = first.unionByName(rest).groupBy(triple).agg(F.min("at").alias("at"))
+    order = Window.partitionBy("sample_id").orderBy("at.stage", "at.k")
+    return every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= budget).select(*triple, "at.score")

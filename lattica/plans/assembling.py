@@ -146,7 +146,7 @@ ORACLES = {
     "as_statistics": catalogue._sql("select count(*) as n, count(*) filter (sample_id % 5 = 0) as n_skipped, floor(median(x))::bigint as median_relevant, floor(avg(x))::bigint as mean_relevant, max(x)::bigint as max_relevant from (select sample_id, case when sample_id % 5 = 0 then 0 else 2 end x from home)"),
     "as_embeddable": catalogue._sql("select sample_id, a_all as a_ids from qi join ai using (sample_id)", NAMED),
     "as_topics": catalogue._sql("select e.sample_id, e.entity as node, case when e.entity = c_name and e.sample_id % 4 <> 0 then 0.0 else 1.0 end::double as x0, case when e.entity = c_name and e.sample_id % 4 <> 0 then 1.0 else 0.0 end::double as x1 from ends e join home using (sample_id)"),
-    "kg_with_new": catalogue._sql("select sample_id, h, r, t, score, is_new, (row_number() over (partition by sample_id order by score desc, is_new, triple_id, h, r, t))::int as rank from (select sample_id, h, r, t, score, false is_new, triple_id from ranked where rank <= 3 union all select sample_id, h, r, t, score, true, 0 from (select *, row_number() over (partition by sample_id order by md5(concat_ws('|', '0', sample_id, h, r, t)), h, r, t) n from (select sample_id, h, r, t, max(score) score from made group by all) m where not exists (select 1 from triples x where x.sample_id = m.sample_id and x.h = m.h and x.r = m.r and x.t = m.t)) where n <= 2)", catalogue.CORRUPTED),
+    "kg_with_new": catalogue._sql("select sample_id, h, r, t, score, is_new, (row_number() over (partition by sample_id order by score desc, is_new, triple_id, h, r, t))::int as rank from (select sample_id, h, r, t, score, false is_new, triple_id from ranked where rank <= 3 union all select sample_id, h, r, t, score, true, 0 from made)", catalogue.corrupted_sql(2)),
     "tg_target_sets": "select user_id as id, string_agg(distinct target, ',' order by target) as targets from (select user_id, case event_id % 4 when 2 then 'été' else case when event_id % 4 = 3 then null else replace(lower(event_type), '_', ' ') end end target from events) where target is not null group by 1",
     "tg_with_meta": f"with {catalogue.HOME}, m as (select user_id id, arg_max(case event_id % 4 when 0 then replace(lower(event_type), '_', ' ') when 1 then replace(lower(event_type), '_', ' ') when 2 then 'été' else '' end, event_id) target, max(event_id)::varchar t from events group by 1) select sample_id as id, case when sample_id % 2 = 0 then replace(lower(n_name), '_', ' ') else coalesce(target, '') end as targets, case when sample_id % 2 = 1 then 't' else coalesce(m.t, '-') end as injected from home left join m on m.id = sample_id",
     "tg_cascades": CASCADES + " select id, 2 as steps, first_changed, first_hit, second_depends, second_hit, second_hit and first_hit as second_mentions_first, final_rr > 0 as final_hit, round(final_rr, 6)::double as final_rr from c",

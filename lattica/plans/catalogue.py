@@ -199,11 +199,21 @@ def _mean(name: str, of: str, a: str, b: str) -> str:
 DDE = "n0 as (select e.sample_id, e.entity node, case when e.entity = c_name then 0.0 else 1.0 end::double y0, case when e.entity = c_name then 1.0 else 0.0 end::double y1 from ids e join home using (sample_id)), " + ", ".join([_mean("f1", "n0", "h", "t"), _mean("f2", "f1", "h", "t"), _mean("b1", "n0", "t", "h"), _mean("b2", "b1", "t", "h")])
 _recall = lambda each: " union all ".join(f"select {k} as k, round(avg(k{k}), 6) as recall, count(*) as n_samples from ({each})" for k in KS)
 _recalled = lambda wanted: _recall("select sample_id, " + ", ".join(f"avg(coalesce((rank <= {k})::int, 0)) k{k}" for k in KS) + f" from (select distinct sample_id, h, r, t from ({wanted})) left join (select sample_id, h, r, t, min(rank) rank from ranked where rank <= {MOST} group by all) using (sample_id, h, r, t) where sample_id in (select sample_id from triples) group by 1")
-#: Only triples of the customer touch it, always as head.
-CORRUPTED = """least3 as (select sample_id, min(score) least from ranked where rank <= 3 group by 1),
-prices as (select t.sample_id, t.h, t.r, t.t, coalesce(max(x.score), any_value(least)) score from (select distinct sample_id, h, r, t from triples join home using (sample_id) where h = c_name) t join least3 using (sample_id) left join ranked x on x.rank <= 3 and x.sample_id = t.sample_id and x.h = t.h and x.r = t.r and x.t = t.t group by 1, 2, 3, 4),
-sources as (select sample_id, h, r, arg_min(score, md5(concat_ws('|', '0', sample_id, h, r, t))) score from prices group by 1, 2, 3),
-made as (select s.sample_id, h, r, entity t, score from sources s join ends using (sample_id) where entity <> h)"""
+#: Only triples of the customer touch it, always as head. The whole product stands behind the draws here.
+_number = lambda what: f"(('0x' || md5(concat_ws('|', '0', sample_id, k, '{what}'))[1:15])::bigint)"
+
+
+def corrupted_sql(budget: int) -> str:
+    """made: sample_id, h, r, t, score, n of the random triples, n from 1 in their order."""
+    return f"""least3 as (select sample_id, min(score) least from ranked where rank <= 3 group by 1),
+sources as (select *, row_number() over (partition by sample_id order by h, r, t) - 1 s, count(*) over (partition by sample_id) n_s from (select t.sample_id, t.h, t.r, t.t, coalesce(max(x.score), any_value(least)) score from (select distinct sample_id, h, r, t from triples join home using (sample_id) where h = c_name) t join least3 using (sample_id) left join ranked x on x.rank <= 3 and x.sample_id = t.sample_id and x.h = t.h and x.r = t.r and x.t = t.t group by 1, 2, 3, 4)),
+pool as (select *, row_number() over (partition by sample_id order by entity) - 1 e, count(*) over (partition by sample_id) n_e from ends),
+picks as (select sample_id, 0 stage, k, {_number('source')} % n_s s, {_number('entity')} % n_e e from (select distinct sample_id, n_s, n_e from sources join pool using (sample_id)), range({retrieval.DRAWS * budget}) g(k)
+  union all select sample_id, 1, s * n_e + e, s, e from sources join pool using (sample_id)),
+first as (select sample_id, h, r, entity t, min((stage, k, score)) best from picks join sources using (sample_id, s) join pool using (sample_id, e) where entity <> h group by 1, 2, 3, 4),
+made as (select sample_id, h, r, t, best[3] score, row_number() over (partition by sample_id order by best[1], best[2]) n from first m where not exists (select 1 from triples x where x.sample_id = m.sample_id and x.h = m.h and x.r = m.r and x.t = m.t) qualify n <= {budget})"""
+
+
 _scores = f"""sc as (select id, answers, predictions, len(list_filter(predictions, lambda x: len(list_filter(answers, lambda y: contains({NORMAL('x')}, {NORMAL('y')}))) > 0)) good, len(list_filter(answers, lambda y: len(list_filter(predictions, lambda x: contains({NORMAL('x')}, {NORMAL('y')}))) > 0)) found from preds),
 sp as (select id, (found > 0)::int hit, case when len(predictions) > 0 then good / len(predictions) else 0.0 end::double p, (found / len(answers))::double r from sc),
 sf as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end::double f from sp)"""
@@ -225,7 +235,7 @@ ORACLES = {
     "kg_one_per_pair": _sql("select sample_id, triple_id, rank from ranked qualify row_number() over (partition by sample_id, least(h, t), greatest(h, t) order by rank) = 1"),
     "kg_without_answers": _sql("select t.sample_id, count(*) as n from triples t join home using (sample_id) where not (contains(h, n_name) or contains(t.t, n_name) or contains(h, r_name) or contains(t.t, r_name)) group by 1"),
     "kg_with_gold": _sql("select sample_id, h, r, t, -triple_id::bigint - 1 as pos from triples g where r in ('location.nation', 'place.region') and not exists (select 1 from ranked x where rank <= 3 and x.sample_id = g.sample_id and x.h = g.h and x.r = g.r and x.t = g.t) union all select sample_id, h, r, t, rank::bigint from ranked where rank <= 3"),
-    "kg_corrupted": _sql("select sample_id, h, r, t, score from (select *, row_number() over (partition by sample_id order by md5(concat_ws('|', '0', sample_id, h, r, t)), h, r, t) n from (select sample_id, h, r, t, max(score) score from made group by all) m where not exists (select 1 from triples x where x.sample_id = m.sample_id and x.h = m.h and x.r = m.r and x.t = m.t)) where n <= 20", CORRUPTED),
+    "kg_corrupted": _sql("select sample_id, h, r, t, score from made", corrupted_sql(20)),
     "kg_answer_scores": _sql("select id, hit, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1 from sf", _scores),
     "kg_answer_summary": _sql("select count(*) as n, round(100 * avg(hit), 6) as hit, round(100 * avg(p), 6) as precision, round(100 * avg(r), 6) as recall, round(100 * avg(f), 6) as f1, round(100 * avg((f = 1)::int), 6) as exact, round(100 * avg((r = 0)::int), 6) as wrong from sf", _scores),
     "kg_attack_metrics": _sql("select count(*) as n, round(100 * avg(coalesce(len(list_filter(h, lambda x: x)) / nullif(len(h), 0), 0)), 6) as a_precision, round(100 * avg(coalesce(h[1], false)::int), 6) as a_hit1, round(100 * avg(coalesce(1 / nullif(list_position(h, true), 0), 0)), 6) as a_mrr from (select list_transform(predictions, lambda x: list_contains(list_transform(answers, lambda y: lower(y)), lower(x))) h from preds where id % 7 <> 0)"),

@@ -27,10 +27,15 @@ def _candidates(s, d):
 
 
 def _layered(s, d):
-    t = catalogue.saved(s, d)
-    gold = t.where("r = 'place.region'").select("sample_id", "h", "r", "t")
-    support = t.where("r = 'location.nation'").select("sample_id", F.lit(1).alias("pos"), "h", "r", "t")
-    out = rules.layered(t, prompting.injected(s, d), support, gold)
+    """A sequence with repeats, one of support, and clean triples, of which those near the changed step lose; for odd
+    samples also as they touch an answer."""
+    t, h = catalogue.saved(s, d), homes(s, d)
+    one = lambda layer, base, pos, *x: F.struct(F.lit(layer).alias("layer"), F.lit(base).alias("base"), F.lit(pos).alias("pos"), *(c.alias(n) for c, n in zip(x, "hrt")))
+    new, other = (F.col("c_name"), F.lit("location.city"), F.lit("Atlantis")), (F.col("n_name"), F.lit("place.capital"), F.lit("Atlantis"))
+    parts = F.array(one(0, 1.18, 0, *new), one(0, 1.18, 1, *other), one(0, 1.18, 2, *new), one(2, 0.5, 0, F.col("c_name"), F.lit("location.nation"), F.col("n_name")))
+    changed = h.select("sample_id", F.lower("c_name").alias("start"), F.array(F.lit("Location.Nation"), F.lit("place.region")).alias("path"))
+    known = h.where("sample_id % 2 = 1").select("sample_id", F.col("n_name").alias("entity"))
+    out = rules.layered(t, h.select("sample_id", F.explode(parts).alias("x")).select("sample_id", "x.*"), rules.penalties(t, changed, known, 0.35, 0.75))
     return out.withColumn("score", F.round("score", 9))
 
 
@@ -101,9 +106,9 @@ CANDIDATES = RULES + """,
 led as (select o.sample_id, rank rule, o.target entity, max(o.score) score from ruled u join one o on o.sample_id = u.sample_id and o.r1 = u.r1 where u.r2 is null group by 1, 2, 3
   union all select o.sample_id, rank, o.target, max(o.score) from ruled u join two o on o.sample_id = u.sample_id and o.r1 = u.r1 and o.r2 = u.r2 group by 1, 2, 3)"""
 LAYERS = """tops as (select sample_id, max(score) top from triples group by 1),
-layers as (select 0 as layer, 1 as pos, sample_id, c_name h, 'location.city' r, 'Atlantis' t, top - 0.001 score from home join tops using (sample_id)
-  union all select 1, 1, sample_id, c_name, 'location.nation', n_name, top - 0.001 from home join tops using (sample_id)
-  union all select 2, rank, sample_id, h, r, t, score - case when r = 'place.region' then 0.35 else 0 end from ranked where r <> 'location.nation')"""
+layers as (select 0 as layer, p pos, sample_id, case p when 2 then n_name else c_name end h, case p when 2 then 'place.capital' else 'location.city' end r, 'Atlantis' t, top + 1.18 - 0.001 * p score from home join tops using (sample_id), range(1, 4) g(p)
+  union all select 2, 1, sample_id, c_name, 'location.nation', n_name, top + 0.499 from home join tops using (sample_id)
+  union all select 9, rank, sample_id, h, r, t, score - case when r <> 'location.nation' then 0 when sample_id % 2 = 1 then 1.1 else 0.75 end from ranked)"""
 #: The last lines of the evidence order go first: one, and one more for each 24 words beyond the 12 that may be left.
 TRUNCATED = f"""{prompting.CLEAN},
 lined as materialized (select sample_id, rank k, {prompting._line} line, len(string_split({prompting._line}, ' ')) w from placed where rank <= {prompting.N}),
