@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import functools
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,14 +14,22 @@ NO_ANSWER = ("ans: not available", "ans: no information available")
 TWO_WAY_CUES = ("when", "what year", "which year", "where", "sport", "what countr", "language", "nba finals", "world series")
 
 
+class Asked(NamedTuple):
+    """A question whose squeezed form and kind are columns already; it may stand for the question in other functions,
+    whose expressions it keeps small."""
+
+    squeezed: Column
+    kind: Column
+
+
 def normalize(s: Column) -> Column:
     """Lower case, no punctuation, no articles, single blanks."""
     bare = F.translate(F.lower(s), PUNCTUATION, "")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
 
 
-def squeeze(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"\s+", " "))
+def squeeze(s: Column | Asked) -> Column:
+    return s.squeezed if isinstance(s, Asked) else F.trim(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"\s+", " "))
 
 
 def alphanumeric(s: Column) -> Column:
@@ -49,8 +58,13 @@ def triple_text(h: Column, r: Column, t: Column) -> Column:
 
 
 def has_any(s: Column, words: tuple[str, ...] | list[str]) -> Column:
-    """Some word occurs in s."""
-    return functools.reduce(lambda x, y: x | y, (F.contains(s, F.lit(w)) for w in words))
+    """Some word occurs in s. One pattern for all of them keeps expressions small."""
+    return s.rlike("|".join(map(re.escape, words)))
+
+
+def word_array(words: tuple[str, ...] | list[str]) -> Column:
+    """Words without line ends, as an array."""
+    return F.split(F.lit("\n".join(words)), "\n")
 
 
 def strip(s: Column) -> Column:
@@ -134,8 +148,10 @@ ANSWER_TYPES = (
 )
 
 
-def answer_type(question: Column) -> Column:
+def answer_type(question: Column | Asked) -> Column:
     """The kind of answer that a question asks for, or open."""
+    if isinstance(question, Asked):
+        return question.kind
     q, out = alphanumeric(question), F
     for name, pattern in ANSWER_TYPES:
         out = out.when(q.rlike(pattern), name)
