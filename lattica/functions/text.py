@@ -102,6 +102,15 @@ def loose_answers(text: Column) -> Column:
     return F.when(F.size(found) > 0, bare).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
 
 
+def made_answers(text: Column) -> Column:
+    """What a prediction answers: the texts behind the last `ans:` of its answer lines, or the whole text where no line is
+    one; blank ones go."""
+    lines = answer_lines(text)
+    whole = strip(F.coalesce(text, F.lit("")))
+    made = F.transform(lines, after_mark)
+    return F.filter(F.when(F.size(lines) > 0, made).otherwise(F.array(whole)), lambda x: x != "")
+
+
 def two_way(question: Column) -> Column:
     """Questions whose answers may also contain the prediction."""
     return has_any(F.lower(question), TWO_WAY_CUES)
@@ -138,7 +147,7 @@ def year_only(question: Column, answer: Column) -> Column:
 ANSWER_TYPES = (
     ("person", r"\bwho\b"),
     ("location", r"\bwhere\b"),
-    ("temporal", r"\bwhen\b|what year|which year|\bdate\b"),
+    ("temporal", r"\bwhen\b| what year| which year|\bdate\b"),
     ("language", "what language|speak|spoken"),
     ("country", "what country|which country"),
     ("city", "what city|which city"),

@@ -169,27 +169,34 @@ def stage_metrics(rows: DataFrame) -> DataFrame:
 
 
 def stage_breakdown(details: DataFrame) -> DataFrame:
-    """details, a row for each question: steps, first_changed, first_hit, second_depends, second_hit, final_hit, final_rr.
-    Of questions with two or more steps: rates, conditional rates, and the stage at which a change is lost."""
-    many = details.where("steps >= 2")
+    """details, a row for each question: steps, first_changed, first_hit, second_depends, second_hit,
+    second_mentions_first, final_hit, final_rr. The number of all questions; of those with two or more steps: how many,
+    how many have a changed first or a dependent second step, rates, conditional rates, and the stage at which a change
+    is lost."""
+    many = F.col("steps") >= 2
     lost = (
         F.when(F.col("first_changed") & ~F.col("first_hit"), "first")
         .when(F.col("second_depends") & ~F.col("second_hit"), "second")
         .when(F.col("second_hit") & ~F.col("final_hit"), "final")
         .when(F.col("final_hit"), "none")
     )
-    first, second = F.col("first_changed") & F.col("first_hit"), F.col("second_depends") & F.col("second_hit")
+    changed, depends = many & F.col("first_changed"), many & F.col("second_depends")
+    first, second = changed & F.col("first_hit"), depends & F.col("second_hit")
     pct = lambda of, x: F.round(100 * F.coalesce(F.avg(F.when(of, x.cast("double"))), F.lit(0.0)), 6)
-    every = F.lit(True)
-    return many.agg(
-        F.count("*").alias("n"),
-        pct(F.col("first_changed"), F.col("first_hit")).alias("first_rate"),
-        pct(F.col("second_depends"), F.col("second_hit")).alias("second_rate"),
+    return details.agg(
+        F.count("*").alias("total"),
+        F.count_if(many).alias("n"),
+        F.count_if(changed).alias("n_first_changed"),
+        F.count_if(depends).alias("n_second_depends"),
+        pct(changed, F.col("first_hit")).alias("first_rate"),
+        pct(depends, F.col("second_hit")).alias("second_rate"),
         pct(first, F.col("second_hit")).alias("second_given_first"),
-        pct(every, F.col("final_hit")).alias("final_rate"),
+        pct(depends, F.col("second_mentions_first")).alias("mention_rate"),
+        pct(first, F.col("second_mentions_first")).alias("mention_given_first"),
+        pct(many, F.col("final_hit")).alias("final_rate"),
         pct(first, F.col("final_hit")).alias("final_given_first"),
         pct(second, F.col("final_hit")).alias("final_given_second"),
-        pct(every, F.col("final_rr")).alias("final_mrr"),
+        pct(many, F.col("final_rr")).alias("final_mrr"),
         pct(first, F.col("final_rr")).alias("final_mrr_given_first"),
-        *(F.count_if(lost == x).alias(f"lost_{x}") for x in ("first", "second", "final", "none")),
+        *(F.count_if(many & (lost == x)).alias(f"lost_{x}") for x in ("first", "second", "final", "none")),
     )

@@ -40,6 +40,13 @@ def attack_metrics(rows: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n"), pct("p").alias("a_precision"), pct("h").alias("a_hit1"), pct("m").alias("a_mrr"))
 
 
+def attack_rates(predictions: DataFrame, targets: DataFrame) -> DataFrame:
+    """predictions: id, prediction (a text); targets: id, targets. attack_metrics of the predictions that have targets: the
+    answers that their texts make are held against them."""
+    rows = predictions.select("id", text.made_answers(F.col("prediction")).alias("predictions")).join(targets.select("id", "targets"), "id")
+    return attack_metrics(rows)
+
+
 def _share(n, of):
     return F.round(F.coalesce(100 * n / F.nullif(of, F.lit(0)), F.lit(0.0)), 6)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import text
-from lattica.operators import answers
+from lattica.operators import answers, metrics
 from lattica.plans.catalogue import HOME, NORMAL, homes, table
 
 
@@ -42,7 +42,14 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    return table(spark, sf_dir, "events").select((k % 4).alias("steps"), (k % 3 > 0).alias("first_changed"), (k % 5 > 1).alias("first_hit"), (k % 7 > 2).alias("second_depends"), (F.col("value") > 20).alias("second_hit"), (F.col("value") > 60).alias("final_hit"), (1.0 / (1 + k % 4)).alias("final_rr"))
+    return table(spark, sf_dir, "events").select((k % 4).alias("steps"), (k % 3 > 0).alias("first_changed"), (k % 5 > 1).alias("first_hit"), (k % 7 > 2).alias("second_depends"), (F.col("value") > 20).alias("second_hit"), (k % 6 > 3).alias("second_mentions_first"), (F.col("value") > 60).alias("final_hit"), (1.0 / (1 + k % 4)).alias("final_rr"))
+
+
+def _attack_rates(s, d):
+    """Predictions with answer lines, without any, with empty ones and none; a third of them has no targets."""
+    i, h = F.col("sample_id"), homes(s, d)
+    said = F.when(i % 5 == 0, F.concat(F.lit("I think\nans: the "), "n_name", F.lit("\nso ans: "), "r_name")).when(i % 5 == 1, F.concat(F.lit("  "), F.lower("r_name"), F.lit(" "))).when(i % 5 == 2, "ans: ").when(i % 5 == 3, F.concat(F.lit("ans: x\nans: "), "r_name", F.lit("!")))
+    return metrics.attack_rates(h.select(i.alias("id"), said.alias("prediction")), h.where("sample_id % 3 > 0").select(i.alias("id"), F.array(F.concat("r_name", F.lit(".")), F.lit(" ")).alias("targets")))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -69,6 +76,7 @@ QUERIES = {
     "qa_original": lambda s, d: _rounded(answers.original(rows(s, d)), "hit", "accuracy", "precision", "recall", "f1"),
     "qa_votes": _votes,
     "rb_stage_metrics": lambda s, d: answers.stage_metrics(staged(s, d)),
+    "rb_attack_rates": _attack_rates,
     "rb_stage_breakdown": lambda s, d: answers.stage_breakdown(details(s, d)),
 }
 
@@ -101,6 +109,7 @@ _rate = lambda of, x: _pct(f"avg(case when {of} then ({x})::double end)")  # noq
 _LOST = "case when first_changed and not first_hit then 'first' when second_depends and not second_hit then 'second' when second_hit and not final_hit then 'final' when final_hit then 'none' end"
 _kind = lambda name, flag: f"count(*) filter ({flag}) {name}_rows, count(*) filter ({flag} and no_answer) {name}_no_answer, " + ", ".join(f"sum(case when {flag} then {c} else 0 end)::bigint {name}_{c}" for c in answers.COUNTERS)
 ORACLES = {
+    "rb_attack_rates": f"with {HOME}, p as (select case sample_id % 5 when 0 then 2 when 3 then 2 when 1 then 1 else 0 end n, case sample_id % 5 when 0 then 2 when 3 then 2 when 1 then 1 end place from home where sample_id % 3 > 0) select count(*) as n, round(100 * avg(coalesce(1 / nullif(case when place > 0 then n else 0 end, 0), 0)), 6) as a_precision, round(100 * avg((coalesce(place, 0) = 1)::int), 6) as a_hit1, round(100 * avg(coalesce(1 / place, 0)), 6) as a_mrr from p",
     "qa_lines": _sql("select id, array_to_string(l, '|') as lines, case when id % 6 = 5 then r_name || '|' || c_name || '|' || r_name when id % 6 = 3 then 'none of them' when id % 6 = 4 then 'not available' else replace(array_to_string(l, '|'), 'ans: ', '') end as marked, case when id % 6 = 5 then r_name || '|' || c_name || '|' || r_name when id % 6 = 3 then 'none of them' when id % 6 = 4 then 'not available' else replace(array_to_string(l, '|'), 'ans: ', '') end as loose, no_answer, two as two_way from lined"),
     "qa_one_to_one": _sql("select id, n_predictions::double as n_predictions, n_answers::double as n_answers, n_matched::double as n_matched, hit::double as hit, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1 from scores"),
     "qa_overview": _sql(f"select count(*) as n, {_pct('avg(hit)')} as hit, {_pct('avg(f)')} as f1, {_pct('avg(p)')} as precision, {_pct('avg(r)')} as recall, {_pct('avg((f = 1)::int)')} as exact, {_pct('avg((r = 0)::int)')} as wrong, {_pct('sum(n_matched) / sum(n_predictions)')} as micro_precision, {_pct('sum(n_matched) / sum(n_answers)')} as micro_recall, {_pct('2 * sum(n_matched) / (sum(n_predictions) + sum(n_answers))')} as micro_f1, count(*) filter (no_answer) as no_answer from scores"),
@@ -109,5 +118,5 @@ ORACLES = {
     "qa_original": _sql(f"""select id, hit, accuracy, precision, recall, case when precision + recall > 0 then round(2 * p * r / (p + r), 6) else 0 end::double as f1 from (select *, round(p, 6) as precision, round(r, 6) as recall from (select o.id, case when prediction = '' then 1 else coalesce(a.hit, 0) end::double as hit, round(n / 2, 6)::double as accuracy, case when prediction = '' then 0 else n / len(string_split(prediction, chr(10))) end::double p, (n / 2)::double r from (select *, (contains({NORMAL('prediction')}, {NORMAL('r_name')})::int + contains({NORMAL('prediction')}, {NORMAL('n_name')})::int) n from own) o left join (select id, max(ok::int) hit from agree group by 1) a using (id)))"""),
     "qa_votes": "select user_id as id, event_type as prediction, count(*) as n, (row_number() over (partition by user_id order by count(*) desc, min(event_id)))::int as rank from events group by 1, 2 qualify rank <= 2",
     "rb_stage_metrics": _sql(f"select count(*) as n, count(*) filter (retrieved) as n_retrieved, count(*) filter (hits > 0) as n_generated, {_pct('avg(retrieved::int)')} as retrieval_rate, {_pct('avg(case when retrieved then (hits > 0)::int end)')} as generation_rate, {_pct('avg(case when hits > 0 then hits / n end)')} as precision from (select id % 5 <> 0 retrieved, case id % 6 when 0 then 1 when 5 then 2 else 0 end hits, case id % 6 when 0 then 2 when 5 then 3 else 1 end n from own where id % 7 <> 0)"),
-    "rb_stage_breakdown": f"with d as (select event_id % 4 steps, event_id % 3 > 0 first_changed, event_id % 5 > 1 first_hit, event_id % 7 > 2 second_depends, value > 20 second_hit, value > 60 final_hit, 1.0 / (1 + event_id % 4) final_rr from events where event_id % 4 >= 2) select count(*) as n, {_rate('first_changed', 'first_hit')} as first_rate, {_rate('second_depends', 'second_hit')} as second_rate, {_rate('first_changed and first_hit', 'second_hit')} as second_given_first, {_rate('true', 'final_hit')} as final_rate, {_rate('first_changed and first_hit', 'final_hit')} as final_given_first, {_rate('second_depends and second_hit', 'final_hit')} as final_given_second, {_rate('true', 'final_rr')} as final_mrr, {_rate('first_changed and first_hit', 'final_rr')} as final_mrr_given_first, " + ", ".join(f"count(*) filter ({_LOST} = '{x}') as lost_{x}" for x in ("first", "second", "final", "none")) + " from d",
+    "rb_stage_breakdown": f"with a as (select event_id % 4 steps, event_id % 3 > 0 first_changed, event_id % 5 > 1 first_hit, event_id % 7 > 2 second_depends, value > 20 second_hit, event_id % 6 > 3 second_mentions_first, value > 60 final_hit, 1.0 / (1 + event_id % 4) final_rr from events), d as (select * from a where steps >= 2) select (select count(*) from a) as total, count(*) as n, count(*) filter (first_changed) as n_first_changed, count(*) filter (second_depends) as n_second_depends, {_rate('first_changed', 'first_hit')} as first_rate, {_rate('second_depends', 'second_hit')} as second_rate, {_rate('first_changed and first_hit', 'second_hit')} as second_given_first, {_rate('second_depends', 'second_mentions_first')} as mention_rate, {_rate('first_changed and first_hit', 'second_mentions_first')} as mention_given_first, {_rate('true', 'final_hit')} as final_rate, {_rate('first_changed and first_hit', 'final_hit')} as final_given_first, {_rate('second_depends and second_hit', 'final_hit')} as final_given_second, {_rate('true', 'final_rr')} as final_mrr, {_rate('first_changed and first_hit', 'final_rr')} as final_mrr_given_first, " + ", ".join(f"count(*) filter ({_LOST} = '{x}') as lost_{x}" for x in ("first", "second", "final", "none")) + " from d",
 }

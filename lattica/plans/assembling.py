@@ -66,7 +66,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("sample_id")
     step = lambda n, q, changed, needs, own: F.struct(F.lit(n).cast("long").alias("sub_id"), q.alias("question"), changed.alias("changed"), needs.alias("needs_prev_answer"), own.alias("attack_targets"), F.array(F.lit("Atlantis")).alias("cascade_poison_targets"), no().alias("poison_targets"), F.lit(None).cast("string").alias("poison_target"))
     two = F.array(step(1, F.lit("then?"), i % 4 == 0, i % 2 == 0, no()), step(0, F.lit("where?"), i % 3 > 0, F.lit(False), F.when(i % 5 == 0, no()).otherwise(F.array("n_name"))))
-    trace = F.array(F.struct(F.lit(0).cast("long").alias("sub_id"), F.concat(F.lit("Ans: "), "n_name", F.lit("!\nans:")).alias("prediction")), F.struct(F.lit(1).cast("long").alias("sub_id"), F.when(i % 7 == 0, F.concat(F.lit("ans: none\nans: atlantis, i think of "), "n_name")).otherwise(F.concat(F.lit("ans: "), "r_name")).alias("prediction")))
+    trace = F.array(F.struct(F.when(i % 2 == 0, 0).cast("long").alias("sub_id"), F.concat(F.lit("Ans: "), "n_name", F.lit("!\nans:")).alias("prediction")), F.struct(F.lit(1).cast("long").alias("sub_id"), F.when(i % 7 == 0, F.concat(F.lit("ans: none\nans: atlantis, i think of "), "n_name")).otherwise(F.concat(F.lit("ans: "), "r_name")).alias("prediction")))
     said = F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("ans: "), "r_name", F.lit("\nans: ATLANTIS")))
     return homes(spark, sf_dir).select(
         i.alias("id"), said.alias("prediction"), trace.alias("trace"), two.alias("steps"), no().alias("attack_targets"), no().alias("cascade_poison_targets"),
@@ -84,8 +84,8 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _meta(s, d):
     e = steps(s, d).withColumn("injected", F.array(F.struct(F.col("question").alias("h"), F.lit("r").alias("r"), F.col("sub_id").cast("string").alias("t"))))
     meta = targets.last_meta(e, "sub_id")
-    asked = homes(s, d).select(F.col("sample_id").alias("id"), F.when(F.col("sample_id") % 2 == 0, F.array("n_name")).otherwise(no()).alias("attack_targets"), no().alias("cascade_poison_targets"), no().alias("poison_targets"), F.lit(None).cast("string").alias("poison_target"), F.slice(F.array(F.struct(F.lit("h").alias("h"), F.lit("r").alias("r"), F.lit("t").alias("t"))), F.lit(1), (F.col("sample_id") % 2).cast("int")).alias("injected"))
-    out = targets.with_meta(asked, meta)
+    asked = homes(s, d).select(F.col("sample_id").alias("id"), F.when(F.col("sample_id") % 2 == 0, F.array("n_name")).otherwise(no()).alias("attack_targets"), no().alias("cascade_poison_targets"), F.when(F.col("sample_id") % 3 == 0, F.array(F.lit(" "))).otherwise(no()).alias("poison_targets"), F.lit("only a single one").alias("poison_target"), F.slice(F.array(F.struct(F.lit("h").alias("h"), F.lit("r").alias("r"), F.lit("t").alias("t"))), F.lit(1), (F.col("sample_id") % 2).cast("int")).alias("injected"))
+    out = targets.with_meta(asked.withColumn("front", F.col("injected")).withColumn("injected", F.slice("injected", 1, 0)), meta, ("injected", "front"))
     return out.select("id", F.concat_ws("|", "targets").alias("targets"), F.coalesce(F.get("injected", F.lit(0))["t"], F.lit("-")).alias("injected"))
 
 
@@ -148,11 +148,11 @@ ORACLES = {
     "as_topics": catalogue._sql("select e.sample_id, e.entity as node, case when e.entity = c_name and e.sample_id % 4 <> 0 then 0.0 else 1.0 end::double as x0, case when e.entity = c_name and e.sample_id % 4 <> 0 then 1.0 else 0.0 end::double as x1 from ends e join home using (sample_id)"),
     "kg_with_new": catalogue._sql("select sample_id, h, r, t, score, is_new, (row_number() over (partition by sample_id order by score desc, is_new, triple_id, h, r, t))::int as rank from (select sample_id, h, r, t, score, false is_new, triple_id from ranked where rank <= 3 union all select sample_id, h, r, t, score, true, 0 from made)", catalogue.corrupted_sql(2)),
     "tg_target_sets": "select user_id as id, string_agg(distinct target, ',' order by target) as targets from (select user_id, case event_id % 4 when 2 then 'été' else case when event_id % 4 = 3 then null else replace(lower(event_type), '_', ' ') end end target from events) where target is not null group by 1",
-    "tg_with_meta": f"with {catalogue.HOME}, m as (select user_id id, arg_max(case event_id % 4 when 0 then replace(lower(event_type), '_', ' ') when 1 then replace(lower(event_type), '_', ' ') when 2 then 'été' else '' end, event_id) target, max(event_id)::varchar t from events group by 1) select sample_id as id, case when sample_id % 2 = 0 then replace(lower(n_name), '_', ' ') else coalesce(target, '') end as targets, case when sample_id % 2 = 1 then 't' else coalesce(m.t, '-') end as injected from home left join m on m.id = sample_id",
+    "tg_with_meta": f"with {catalogue.HOME}, m as (select user_id id, arg_max(case event_id % 4 when 0 then replace(lower(event_type), '_', ' ') when 1 then replace(lower(event_type), '_', ' ') when 2 then 'été' else '' end, event_id) target, max(event_id)::varchar t from events group by 1) select sample_id as id, case when sample_id % 2 = 0 then replace(lower(n_name), '_', ' ') when sample_id % 3 = 0 then '' else coalesce(target, '') end as targets, case when sample_id % 2 = 1 then 't' else coalesce(m.t, '-') end as injected from home left join m on m.id = sample_id",
     "tg_cascades": CASCADES + " select id, 2 as steps, first_changed, first_hit, second_depends, second_hit, second_hit and first_hit as second_mentions_first, final_rr > 0 as final_hit, round(final_rr, 6)::double as final_rr from c",
     "tg_steps": f"with {catalogue.HOME} select sample_id as parent_id, 0::bigint as sub_id, 'where?' as question, sample_id % 3 > 0 as changed, false as needs_prev_answer, sample_id % 5 > 0 as hit from home union all select sample_id, 1, 'then?', sample_id % 4 = 0, sample_id % 2 = 0, sample_id % 7 = 0 from home",
     "tg_spread": f"with {catalogue.HOME} select round(100 * (count(*) filter (sample_id % 5 > 0) + count(*) filter (sample_id % 7 = 0)) / (2 * count(*)), 6) as shared_parent_spread_rate, round(100 * count(*) filter ((sample_id % 3 > 0 and sample_id % 5 > 0) or (sample_id % 4 = 0 and sample_id % 7 = 0)) / count(*), 6) as overall_parent_spread_rate, (2 * count(*))::bigint as shared_parent_total, count(*) as overall_parent_total from home",
-    "tg_breakdown": CASCADES + ", d as (select 2 steps, *, final_rr > 0 final_hit from c) select count(*) as n" + answering.ORACLES["rb_stage_breakdown"].split(" select count(*) as n", 1)[1],
+    "tg_breakdown": CASCADES + ", a as (select 2 steps, *, final_rr > 0 final_hit, second_hit and first_hit second_mentions_first from c), d as (select * from a) select (select count(*) from a) as total" + answering.ORACLES["rb_stage_breakdown"].split(" as total", 1)[1],
     "qa_report": f"select o.n, o.hit, o.f1, r.original_hit, r.original_accuracy, h.score as hallucination_score from ({answering.ORACLES['qa_overview']}) o, (select round(100 * avg(hit), 6) original_hit, round(100 * avg(accuracy), 6) original_accuracy from ({answering.ORACLES['qa_original']})) r, ({answering.ORACLES['qa_hallucination_overview']}) h",
     "qa_evaluated": "with h as (select unnest([-1, 1, 2, 3]) hops), p as (select unnest(['all', 'good', 'bad']) part) select h.hops::int as hops, p.part, (select count(*) from customer where (h.hops < 0 or (h.hops = 3 and c_custkey % 5 >= 3) or (h.hops < 3 and c_custkey % 5 = h.hops)) and (p.part = 'all' or (p.part = 'good') = (c_custkey % 2 = 1))) as n from h, p",
     "pr_with_evidence": f"with {catalogue.HOME} select sample_id as id, 'drop' as way, n_name as t from home where sample_id % 3 > 0 union all select sample_id, 'placeholder', case when sample_id % 3 > 0 then n_name else '' end from home",

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import answers, assembly, metrics, model, prompts, retrieval, targets
 from lattica.plans import assembling
@@ -58,6 +59,7 @@ def test_debug_and_targets_of_rows(spark):
     assert [tuple(r) for r in targets.first_debug(rows).collect()] == [("a", "later")]
     keys = spark.createDataFrame([([], ["C"], ["c", "d "], None), ([], [], [" "], "s"), (None, None, None, None)], "attack_targets array<string>, cascade_poison_targets array<string>, poison_targets array<string>, poison_target string")
     got = keys.select(targets.first_known().alias("f"), targets.all_known().alias("a"), targets.all_known(cascade=False).alias("n")).collect()
+    assert [r.x for r in keys.withColumn("attack_targets", F.array(F.lit("z"))).select(targets.all_known(attack=False).alias("x")).collect()] == [["c", "d"], ["s"], []]
     assert [tuple(r) for r in got] == [(["C"], ["C", "c", "d"], ["c", "d"]), ([], ["s"], ["s"]), ([], [], [])]
 
 

@@ -21,3 +21,15 @@ def test_forms_of_texts(spark):
     one = lambda f, *x: spark.range(1).select(f(*map(F.lit, x)).alias("x")).first().x
     assert one(text.plain, " Été-1: Москва_Ünï!") == "été 1 москва ünï"
     assert [one(text.matches_either, *x) for x in (("Paris, France", "paris"), ("a", "b"), ("!", "b"), ("x", "the X."))] == [True, False, False, True]
+
+
+def test_kinds_of_questions_and_answers_unknown(spark):
+    rows = spark.createDataFrame([("what year was he born", "open"), ("in what year was he born", "temporal"), ("which year", "open"), ("who", "person"), ("What language?", "language"), (None, "open")], "q string, want string")
+    assert rows.where(text.answer_type(F.col("q")) != F.col("want")).collect() == []
+    none = spark.range(1).select(candidates.shape_similarity(F.lit("Rome"), F.lit(None).cast("array<string>"), F.lit("open")).alias("x")).first().x
+    assert none == 0
+
+
+def test_answers_that_predictions_make(spark):
+    rows = spark.createDataFrame([("x\nans: a\nso ans: b ans: c",), ("  whole text ",), ("ans: ",), ("ans: none\n",), (None,)], "p string")
+    assert [r.x for r in rows.select(text.made_answers(F.col("p")).alias("x")).collect()] == [["a", "c"], ["whole text"], [], ["ans: none"], []]
