@@ -5,13 +5,15 @@ question's entity is the customer, its answers are nation and region."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lattica.functions import text
 from lattica.operators import encoding, graph, metrics, retrieval
-from lattica.sources import records
+from lattica.sources import records, runs
 
 KS = [1, 5, 10, 50, 100]
 #: Triples that retrieval keeps in the recall queries.
@@ -98,6 +100,17 @@ def _recall(s, d):
     return retrieval.triple_recall(retrieval.top_k(t, MOST), t.join(labels, ["sample_id", "triple_id"]), KS)
 
 
+def _run_recall(s, d):
+    """The same recall from a run of committed stages, whose folder keeps nothing else."""
+    run = runs.Run(s, records.scratch(s))
+    run.stage("triples", lambda: scored(s, d), tables=d)
+    run.stage("labels", lambda t: graph.shortest_path_labels(t, pairs(s, d))[0].where("label > 0"), "triples")
+    run.parted("ranked", lambda t: retrieval.top_k(t, MOST), "triples", "sample_id", 3, k=MOST)
+    ranks = lambda *x: functools.reduce(DataFrame.unionByName, x)
+    run.stage("top", ranks, *(f"ranked/part={i}" for i in range(3)))
+    return run.stage("recall", lambda t, labels, top: retrieval.triple_recall(top, t.join(labels, ["sample_id", "triple_id"]), KS), "triples", "labels", "top", ks=KS)
+
+
 def _labelled_recall(s, d):
     """Recall of triples that another source calls relevant, of which the graph doesn't have all, and a question nothing."""
     h = homes(s, d)
@@ -149,6 +162,7 @@ QUERIES = {
     "kg_paths": lambda s, d: graph.paths(scored(s, d), homes(s, d).select("sample_id", F.col("c_name").alias("node"))).groupBy("sample_id", "r1", "r2").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets")),
     "kg_top_k": lambda s, d: retrieval.top_k(scored(s, d), 20).select("sample_id", "triple_id", "rank"),
     "kg_recall_at_k": _recall,
+    "kg_run_recall": _run_recall,
     "kg_labelled_recall": _labelled_recall,
     "kg_answer_recall": lambda s, d: retrieval.answer_recall(retrieval.top_k(scored(s, d), MOST), answers(s, d), KS),
     "kg_score_map": lambda s, d: retrieval.score_map(scored(s, d)),
@@ -214,6 +228,8 @@ first as (select sample_id, h, r, entity t, min((stage, k, score)) best from pic
 made as (select sample_id, h, r, t, best[3] score, row_number() over (partition by sample_id order by best[1], best[2]) n from first m where not exists (select 1 from triples x where x.sample_id = m.sample_id and x.h = m.h and x.r = m.r and x.t = m.t) qualify n <= {budget})"""
 
 
+NUMBERED = """named as materialized (select t.*, relation_id r_id from triples t join rels r on r.sample_id = t.sample_id and r.relation = t.r),
+numbered as materialized (select n.*, entity_id h_id from named n join ids a on a.sample_id = n.sample_id and a.entity = n.h)"""
 _scores = f"""sc as (select id, answers, predictions, len(list_filter(predictions, lambda x: len(list_filter(answers, lambda y: contains({NORMAL('x')}, {NORMAL('y')}))) > 0)) good, len(list_filter(answers, lambda y: len(list_filter(predictions, lambda x: contains({NORMAL('x')}, {NORMAL('y')}))) > 0)) found from preds),
 sp as (select id, (found > 0)::int hit, case when len(predictions) > 0 then good / len(predictions) else 0.0 end::double p, (found / len(answers))::double r from sc),
 sf as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end::double f from sp)"""
@@ -221,7 +237,7 @@ ORACLES = {
     "kg_triples": _sql("select * from triples"),
     "kg_entities": _sql("select * from ids"),
     "kg_relations": _sql("select * from rels"),
-    "kg_encoded": _sql("select t.sample_id, triple_id, a.entity_id as h_id, relation_id as r_id, b.entity_id as t_id from triples t join ids a on a.sample_id = t.sample_id and a.entity = h join ids b on b.sample_id = t.sample_id and b.entity = t.t join rels r on r.sample_id = t.sample_id and r.relation = t.r"),
+    "kg_encoded": _sql("select n.sample_id, triple_id, h_id, r_id, b.entity_id as t_id from numbered n join ids b on b.sample_id = n.sample_id and b.entity = n.t", NUMBERED),
     "kg_anchors": _sql("select sample_id, entity, 'a' as kind, entity_id from answers join ids using (sample_id, entity)"),
     "kg_path_labels": _sql("select * from labels", LABELS),
     "kg_max_path_length": _sql("select sample_id, 2 as max_path_length from home"),
@@ -229,12 +245,13 @@ ORACLES = {
     "kg_paths": _sql("select sample_id, r1, r2, count(*) as n, count(distinct target) as targets from (select t.sample_id, t.r r1, null::varchar r2, t.t target from triples t join home on home.sample_id = t.sample_id and h = c_name union all select t.sample_id, t.r, u.r, u.t from triples t join home on home.sample_id = t.sample_id and t.h = c_name join triples u on u.sample_id = t.sample_id and u.h = t.t) group by all"),
     "kg_top_k": _sql("select sample_id, triple_id, rank from ranked where rank <= 20"),
     "kg_recall_at_k": _sql(_recalled("select sample_id, h, r, t from labels join triples using (sample_id, triple_id) where label > 0"), LABELS),
+    "kg_run_recall": _sql(_recalled("select sample_id, h, r, t from labels join triples using (sample_id, triple_id) where label > 0"), LABELS),
     "kg_labelled_recall": _sql(_recalled("select sample_id, c_name h, 'location.nation' r, n_name t from home union all select sample_id, n_name, 'place.capital', c_name from home union all select -sample_id, c_name, 'location.nation', n_name from home union all select sample_id, h, r, t from triples where r = 'order.item' and triple_id % 5 = 0")),
     "kg_answer_recall": _sql(_recall("select sample_id, " + ", ".join(f"avg(coalesce((rank <= {k})::int, 0)) k{k}" for k in KS) + f" from answers left join (select sample_id, entity, min(rank) rank from (select sample_id, h entity, rank from ranked where rank <= {MOST} union all select sample_id, t, rank from ranked where rank <= {MOST}) group by 1, 2) using (sample_id, entity) where sample_id in (select sample_id from triples) group by 1")),
     "kg_score_map": _sql("select sample_id, h, r, t, max(score) as score from triples group by all"),
     "kg_one_per_pair": _sql("select sample_id, triple_id, rank from ranked qualify row_number() over (partition by sample_id, least(h, t), greatest(h, t) order by rank) = 1"),
     "kg_without_answers": _sql("select t.sample_id, count(*) as n from triples t join home using (sample_id) where not (contains(h, n_name) or contains(t.t, n_name) or contains(h, r_name) or contains(t.t, r_name)) group by 1"),
-    "kg_with_gold": _sql("select sample_id, h, r, t, -triple_id::bigint - 1 as pos from triples g where r in ('location.nation', 'place.region') and not exists (select 1 from ranked x where rank <= 3 and x.sample_id = g.sample_id and x.h = g.h and x.r = g.r and x.t = g.t) union all select sample_id, h, r, t, rank::bigint from ranked where rank <= 3"),
+    "kg_with_gold": _sql("select sample_id, h, r, t, case when rank <= 3 then rank else -triple_id - 1 end::bigint as pos from ranked where rank <= 3 or r in ('location.nation', 'place.region')"),
     "kg_corrupted": _sql("select sample_id, h, r, t, score from made", corrupted_sql(20)),
     "kg_answer_scores": _sql("select id, hit, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1 from sf", _scores),
     "kg_answer_summary": _sql("select count(*) as n, round(100 * avg(hit), 6) as hit, round(100 * avg(p), 6) as precision, round(100 * avg(r), 6) as recall, round(100 * avg(f), 6) as f1, round(100 * avg((f = 1)::int), 6) as exact, round(100 * avg((r = 0)::int), 6) as wrong from sf", _scores),

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The session's setting for a folder that takes scratch tables instead of spark.checkpoint.dir, as runs set it.
+SCRATCH_SETTING = "spark.lattica.scratch"
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster
     that is an error, as each machine would see a folder of its own."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    top = spark.conf.get(SCRATCH_SETTING, None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
@@ -55,10 +59,12 @@ def write_details(rows: DataFrame, path: str) -> None:
 
 
 def computed_or_read(spark: SparkSession, path: str, compute) -> DataFrame:
-    """The table at path; where there is none, compute() is written there first."""
+    """The table at path; where there is none, compute() is written there first. Other errors of reading are raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # no such path, or one that a run left before its commit
+    except AnalysisException as error:  # no such path, or one that a run left before its commit
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         compute().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 

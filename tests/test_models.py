@@ -16,6 +16,37 @@ def test_gradient_equals_differences():
         assert abs((up - down) / 2e-6 - g[i]) < 1e-5
 
 
+def test_gradient_of_the_learned_vector_equals_differences():
+    rng = np.random.default_rng(0)
+    x, y, free = rng.normal(size=(9, 14)), rng.integers(0, 2, 9).astype(float), rng.integers(0, 2, (9, 2))
+    net = model.Network(14, 3, free=3)
+    g = net.gradient(x, y, free)
+    assert len(g) == len(net.weights) + 2 and np.abs(g[-5:-2]).max() > 0
+    for i in range(len(net.weights)):
+        step = np.zeros(len(net.weights))
+        step[i] = 1e-6
+        up, down = (model.Network(14, 3, net.weights + s, free=3).gradient(x, y, free)[-2] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+    assert np.array_equal(model.Network(14, 3, net.weights[:-3]).logits(x), net.logits(x, np.zeros((9, 2), int)))
+
+
+def test_training_by_batches_with_a_learned_vector(spark):
+    """The wanted triples are those whose tail has no text; only its learned vector tells them apart."""
+    triples = spark.createDataFrame([(s, i, f"node {i}", "r", "m.1" if i == s % 4 else "end") for s in range(6) for i in range(4)], "sample_id int, triple_id int, h string, r string, t string")
+    labels = triples.select("sample_id", "triple_id", F.col("t").startswith("m.").cast("double").alias("label"))
+    nodes = triples.select("sample_id", F.explode(F.array("h", "t")).alias("node")).distinct().withColumn("x0", F.lit(1.0))
+    questions = triples.select("sample_id", F.lit("which?").alias("question")).distinct()
+    texts = triples.select(F.explode(F.array("h", "r", "t")).alias("text")).where("not text like 'm.%'")
+    rows = model.features(triples, questions, nodes, model.embedded(texts, lambda x: np.zeros((len(x), 4), np.float32)))
+    assert {tuple(r.free) for r in rows.collect()} == {(0, 0), (0, 1)}
+    net, history = model.train(rows, labels, triples, hidden=8, rate=0.05, epochs=6, patience=6, k=1, batches=3, free=4)
+    one, slow = model.train(rows, labels, triples, hidden=8, rate=0.05, epochs=6, patience=6, k=1, batches=1, free=4)
+    assert max(h[0] for h in history) == 1.0 and history[-1][1] < history[0][1] and history[-1][1] < slow[-1][1]
+    x, y, free = (np.stack(v) if v[0].__class__ is list else np.array(v) for v in zip(*((r.x, r.label, r.free) for r in rows.join(labels, ["sample_id", "triple_id"]).collect())))
+    whole = model.gradient(rows.join(labels, ["sample_id", "triple_id"]), net)
+    assert np.allclose(whole, net.gradient(x, y, free))
+
+
 def test_training_finds_the_labelled_triples(spark):
     triples = spark.createDataFrame([(s, i, f"node {i}", "good" if i == s % 4 else "bad", "end") for s in range(6) for i in range(4)], "sample_id int, triple_id int, h string, r string, t string")
     labels = triples.select("sample_id", "triple_id", (F.col("r") == "good").cast("double").alias("label"))
