@@ -3,7 +3,7 @@ paths of one and two hops. Edges: sample_id, triple_id, h, r, t."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.sources import records
@@ -78,21 +78,28 @@ def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFram
 
 def directional_distances(triples: DataFrame, nodes: DataFrame, rounds: int = 2, reverse_rounds: int = 2) -> DataFrame:
     """nodes: sample_id, node, x0, x1 (topic one-hot). Adds f1.. and b1.. (pairs): means over in-edges (out-edges) of
-    the last round's features; 0 where there are none. Repeated triples count as often as they occur. Each round is
-    written, and all meet in one aggregation."""
+    the last round's features; 0 where there are none. Repeated triples count as often as they occur.
+
+    Both directions go in one pass: a triple sends its head's forward features to the tail and its tail's backward
+    features to the head, and one aggregation takes both means. Each round is written, and all meet in one aggregation."""
     folder = records.scratch(triples.sparkSession)
-    edges = records.written(triples.select("sample_id", "h", "t"), f"{folder}/edges")
-    own = records.written(nodes.select("sample_id", "node", F.col("x0").alias("y0"), F.col("x1").alias("y1")), f"{folder}/nodes")
-    every, names = own.withColumn("k", F.lit("x")), []
-    for prefix, n, a, b in (("f", rounds, "h", "t"), ("b", reverse_rounds, "t", "h")):
-        last = own
-        for i in range(1, n + 1):
-            message = edges.select("sample_id", F.col(a).alias("node"), F.col(b).alias("to")).join(last, ["sample_id", "node"], "left")
-            mean = message.groupBy("sample_id", F.col("to").alias("node")).agg(*(F.avg(F.coalesce(y, F.lit(0.0))).alias(y) for y in ("y0", "y1")))
-            last = records.written(mean, f"{folder}/{prefix}{i}")
-            every, names = every.unionByName(last.withColumn("k", F.lit(f"{prefix}{i}"))), [*names, f"{prefix}{i}"]
+    way = lambda a, b, forward: F.struct(F.col(a).alias("node"), F.col(b).alias("to"), F.lit(forward).alias("forward"))
+    sent = triples.select("sample_id", F.explode(F.array(way("h", "t", True), way("t", "h", False))).alias("x")).select("sample_id", "x.*")
+    sent = records.written(sent.groupBy("sample_id", "node", "to", "forward").agg(F.count("*").alias("n")), f"{folder}/edges")
+    own = records.written(nodes.select("sample_id", "node", F.col("x0").cast("double").alias("f0"), F.col("x1").cast("double").alias("f1"), F.col("x0").cast("double").alias("b0"), F.col("x1").cast("double").alias("b1")), f"{folder}/nodes")
+    every, names, last = own.withColumn("k", F.lit(0)), [], own
+    for i in range(1, max(rounds, reverse_rounds) + 1):
+        message = sent.join(last, ["sample_id", "node"], "left")
+
+        def mean(c: str) -> Column:
+            here = F.col("forward") if c[0] == "f" else ~F.col("forward")
+            return F.coalesce(F.sum(F.when(here, F.coalesce(F.col(c), F.lit(0.0)) * F.col("n"))) / F.sum(F.when(here, F.col("n"))), F.lit(0.0)).alias(c)
+
+        last = records.written(message.groupBy("sample_id", F.col("to").alias("node")).agg(*map(mean, ("f0", "f1", "b0", "b1"))), f"{folder}/round{i}")
+        every = every.unionByName(last.withColumn("k", F.lit(i)))
+        names += [f"{c}{i}" for c, n in (("f", rounds), ("b", reverse_rounds)) if i <= n]
     of = lambda k, y: F.max(F.when(F.col("k") == k, F.col(y)))
-    wide = every.groupBy("sample_id", "node").agg(of("x", "y0").alias("x0"), of("x", "y1").alias("x1"), *(F.coalesce(of(k, f"y{i}"), F.lit(0.0)).alias(f"{k}_{i}") for k in names for i in (0, 1)))
+    wide = every.groupBy("sample_id", "node").agg(of(0, "f0").alias("x0"), of(0, "f1").alias("x1"), *(F.coalesce(of(int(x[1:]), f"{x[0]}{i}"), F.lit(0.0)).alias(f"{x}_{i}") for x in sorted(names, key=lambda x: (x[0] == "b", int(x[1:]))) for i in (0, 1)))
     return wide.where("x0 is not null")
 
 
