@@ -3,21 +3,17 @@ paths of one and two hops. Edges: sample_id, triple_id, h, r, t."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.sources import records
 
 
-def collapsed(triples: DataFrame) -> DataFrame:
-    """One edge for each (h, t): the last triple's."""
-    return triples.groupBy("sample_id", "h", "t").agg(F.max("triple_id").alias("triple_id"))
-
-
-def hops(step: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+def hops(step: DataFrame, start: DataFrame, keys: list[str], both_ways: bool = False) -> DataFrame:
     """keys, node, d: hops from start (keys, node) along step (sample_id, node, to; keys hold sample_id). Level by level
     until one is empty; each level is a partition d of a table in the shared folder, so plans stay small, and steps are
-    written once."""
+    written once. both_ways: step holds each edge in both directions, so a step from a level leads to itself, the one before
+    or the next one, and new nodes are told from those two levels alone."""
     spark, folder = step.sparkSession, records.scratch(step.sparkSession)
     step = records.written(step, f"{folder}/step")
     folder += "/levels"
@@ -26,7 +22,8 @@ def hops(step: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
     schema, d = level.withColumn("d", F.lit(0)).schema, 0
     while not level.isEmpty():
         d += 1
-        seen = spark.read.schema(schema).parquet(folder).select(*keys, "node")
+        seen = spark.read.schema(schema).parquet(folder)
+        seen = (seen.where(F.col("d") >= d - 2) if both_ways else seen).select(*keys, "node")
         new = level.join(step, ["sample_id", "node"]).select(*keys, F.col("to").alias("node")).distinct().join(seen, [*keys, "node"], "left_anti")
         level = records.written(new, f"{folder}/d={d}")
     return spark.read.schema(schema).parquet(folder)
@@ -36,42 +33,60 @@ def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFram
     """pairs: sample_id, q, a. Returns (sample_id, triple_id, label) and (sample_id, max_path_length).
 
     Of the two directions between q and a the shorter counts, both if equally long; q = a has length 0 and labels
-    nothing. All directed ways are searched level by level from their starts; a pair's ways end at the level that
-    reaches the first of them, and a start without open ways stops. Then the levels are walked back from the ends that
-    were reached, over edges that lead one level on, so only edges of shortest paths are met and no path is listed."""
+    nothing. Each way is searched from both ends: round k has level k along the edges from its start and against them
+    from its end, and a way of 2k - 1 or 2k edges has a node where level k meets level k - 1 or k. So a search goes half
+    as deep as its way is long, which at hubs is one level instead of two. A pair ends in the round that joins it, a way
+    without a path when the level of either end is empty. Then levels are walked back from the nodes where ways meet, to
+    both ends at once, so only edges of shortest paths are met and no path is listed; of equal ones the last triple's
+    counts, which is settled among those met. Null ends reach nothing."""
     spark, folder = triples.sparkSession, records.scratch(triples.sparkSession)
-    own = records.written(triples.select("sample_id", "triple_id", "h", "r", "t"), f"{folder}/triples")
-    edges = records.written(collapsed(own), f"{folder}/edges")
+    own = records.written(triples.select("sample_id", "triple_id", "h", "t"), f"{folder}/triples")
+    end = lambda forward, **named: F.struct(F.lit(forward).alias("forward"), *(F.col(c).alias(k) for k, c in named.items()))
+    split = lambda rows, *ends: rows.select("sample_id", F.explode(F.array(*ends)).alias("x"))
+    edges = split(own, end(True, node="h", to="t", triple_id="triple_id"), end(False, node="t", to="h", triple_id="triple_id")).select("sample_id", "x.*")
     both = pairs.select("sample_id", "q", "a").distinct().withColumn("pair", F.array_sort(F.array("q", "a")))
     ways = both.select("sample_id", "pair", F.explode(F.array(F.struct(F.col("q").alias("s"), F.col("a").alias("e")), F.struct(F.col("a").alias("s"), F.col("q").alias("e")))).alias("x")).select("sample_id", "pair", "x.*").distinct()
-    open_ = records.written(ways, f"{folder}/open/0")
-    level = records.written(open_.select("sample_id", "s", F.col("s").alias("node")).distinct(), f"{folder}/levels/d=0")
-    schema, d = level.withColumn("d", F.lit(0)).schema, 0
+    state = records.written(ways.select("*", F.when(F.col("s") == F.col("e"), 0).alias("l"), F.when(F.col("s") == F.col("e"), 0).alias("least"), F.lit(True).alias("goes_on")), f"{folder}/ways/k=0")
+    roots = lambda open_: split(open_, end(True, root="s"), end(False, root="e")).select("sample_id", "x.*").distinct()
+    level = records.written(roots(ways).select("*", F.col("root").alias("node")), f"{folder}/levels/d=0")
+    way_schema, schema, k = state.schema, level.withColumn("d", F.lit(0)).schema, 0
+    levels = lambda: spark.read.schema(schema).parquet(f"{folder}/levels")
     while True:
-        found = records.written(open_.join(level.withColumnRenamed("node", "e"), ["sample_id", "s", "e"]).withColumn("l", F.lit(d)), f"{folder}/reached/l={d}")
-        open_ = records.written(open_.join(found.select("sample_id", "pair").distinct(), ["sample_id", "pair"], "left_anti"), f"{folder}/open/{d + 1}")
-        live = level.join(open_.select("sample_id", "s").distinct(), ["sample_id", "s"], "left_semi")
-        seen = spark.read.schema(schema).parquet(f"{folder}/levels").select("sample_id", "s", "node")
-        d += 1
-        new = live.join(edges.select("sample_id", F.col("h").alias("node"), F.col("t").alias("to")), ["sample_id", "node"]).select("sample_id", "s", F.col("to").alias("node")).distinct().join(seen, ["sample_id", "s", "node"], "left_anti")
-        level = records.written(new, f"{folder}/levels/d={d}")
-        if level.isEmpty():
+        open_ = state.where("least is null and goes_on").select("sample_id", "pair", "s", "e")
+        if open_.isEmpty():
             break
-    reached = spark.read.schema(found.schema).parquet(f"{folder}/reached")
-    levels = spark.read.schema(schema).parquet(f"{folder}/levels")
+        k += 1
+        root = ["sample_id", "forward", "root"]
+        live = level.join(roots(open_), root, "left_semi")
+        new = live.join(edges, ["sample_id", "forward", "node"]).select(*root, F.col("to").alias("node")).distinct().join(levels().drop("d"), [*root, "node"], "left_anti")
+        level = records.written(new, f"{folder}/levels/d={k}")
+        ahead = level.where("forward").select("sample_id", F.col("root").alias("s"), "node")
+        behind = levels().where(~F.col("forward") & F.col("d").isin(k - 1, k)).select("sample_id", F.col("root").alias("e"), "node", "d")
+        met = open_.join(ahead, ["sample_id", "s"]).join(behind, ["sample_id", "e", "node"]).groupBy("sample_id", "s", "e").agg((F.min("d") + k).alias("l"))
+        left = level.where("forward").select("sample_id", F.col("root").alias("s"), F.lit(True).alias("from_s")).distinct()
+        right = level.where("not forward").select("sample_id", F.col("root").alias("e"), F.lit(True).alias("from_e")).distinct()
+        found = open_.join(met, ["sample_id", "s", "e"], "left").join(left, ["sample_id", "s"], "left").join(right, ["sample_id", "e"], "left")
+        found = found.withColumn("least", F.min("l").over(Window.partitionBy("sample_id", "pair"))).withColumn("goes_on", F.coalesce(F.col("from_s") & F.col("from_e"), F.lit(False)))
+        state = records.written(found.select("sample_id", "pair", "s", "e", "l", "least", "goes_on"), f"{folder}/ways/k={k}")
+    reached = spark.read.schema(way_schema).parquet(f"{folder}/ways").where("l = least")
     length = reached.groupBy("sample_id").agg(F.max("l").alias("max_path_length"))
     length = pairs.select("sample_id").distinct().join(length, "sample_id", "left")
-    back = reached.select("sample_id", "s", F.col("e").alias("t"), "l").distinct()
-    on = None
-    for at in range(d - 1, 0, -1):  # ends at level at, and what the walk has come to
-        ends = back.where(F.col("l") == at).select("sample_id", "s", "t")
-        ends = ends if on is None else ends.unionByName(walked.select("sample_id", "s", F.col("h").alias("t"))).distinct()
-        before = levels.where(F.col("d") == at - 1).select("sample_id", "s", F.col("node").alias("h"))
-        walked = records.written(ends.join(edges, ["sample_id", "t"]).join(before, ["sample_id", "s", "h"]).select("sample_id", "s", "h", "triple_id"), f"{folder}/walked/{at}")
+    if k == 0:
+        return own.select("sample_id", "triple_id", F.lit(0.0).alias("label")), length
+    at = lambda forward, name, d: levels().where(F.col("forward") == forward).select("sample_id", F.col("root").alias(name), "node", F.col("d").alias(d))
+    halves = reached.where("l > 0").select("sample_id", "s", "e", F.ceil(F.col("l") / 2).cast("int").alias("ds"), F.floor(F.col("l") / 2).cast("int").alias("de"))
+    middles = halves.join(at(True, "s", "ds"), ["sample_id", "s", "ds"]).join(at(False, "e", "de"), ["sample_id", "e", "node", "de"])
+    middles = split(middles, end(True, root="s", to="node", d="ds"), end(False, root="e", to="node", d="de")).select("sample_id", "x.*").where("d > 0").distinct()
+    middles = records.written(middles, f"{folder}/middles") if k > 1 else middles
+    on, walked = None, None
+    for d in range(k, 0, -1):  # nodes at level d where ways meet, and what the walk has come to
+        ends = middles.where(F.col("d") == d).drop("d")
+        ends = ends if walked is None else ends.unionByName(walked.select("sample_id", "forward", "root", F.col("node").alias("to"))).distinct()
+        before = levels().where(F.col("d") == d - 1).drop("d")
+        back = ends.join(edges, ["sample_id", "forward", "to"]).join(before, ["sample_id", "forward", "root", "node"])
+        walked = records.written(back.groupBy("sample_id", "forward", "root", "node", "to").agg(F.max("triple_id").alias("triple_id")), f"{folder}/walked/{d}")
         part = walked.select("sample_id", "triple_id")
         on = part if on is None else on.unionByName(part)
-    if on is None:
-        return own.select("sample_id", "triple_id", F.lit(0.0).alias("label")), length
     labels = own.select("sample_id", "triple_id").join(on.distinct().withColumn("_on", F.lit(1.0)), ["sample_id", "triple_id"], "left").select("sample_id", "triple_id", F.coalesce("_on", F.lit(0.0)).alias("label"))
     return labels, length
 

@@ -59,7 +59,7 @@ def ordered(triples: DataFrame, marks: DataFrame, sets: DataFrame, changed: bool
     seeds = marks.where("kind in ('q', 'start')").select("sample_id", text.squeeze(F.col("value")).alias("node"))
     ends = own.where(core).select("sample_id", F.explode(F.array("nh", "nt")).alias("node"))
     step = own.select("sample_id", F.explode(F.array(F.struct(F.col("nh").alias("node"), F.col("nt").alias("to")), F.struct(F.col("nt").alias("node"), F.col("nh").alias("to")))).alias("x")).select("sample_id", "x.*").where("node <> ''").distinct()
-    reach = graph.hops(step, seeds.unionByName(ends), ["sample_id"])
+    reach = graph.hops(step, seeds.unionByName(ends), ["sample_id"], both_ways=True)
     d = lambda end, name: reach.select("sample_id", F.col("node").alias(end), F.col("d").alias(name))
     far = own.join(d("nh", "dh"), ["sample_id", "nh"], "left").join(d("nt", "dt"), ["sample_id", "nt"], "left")
     near = F.least(F.when(F.col("nh") != "", F.col("dh")), F.when(F.col("nt") != "", F.col("dt")))

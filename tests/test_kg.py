@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lattica.operators import graph, metrics, retrieval
@@ -31,6 +33,58 @@ def test_shortest_path_labels(spark, edges, q, a, want):
     assert labels(spark, [tuple(x) for x in edges.split()], q, a) == want
 
 
+def plain_labels(edges, pairs):
+    """Brute force: distances from every node; an edge counts if it lies on a shortest way of the shorter direction."""
+    out = {}
+    for h, t in edges:
+        out.setdefault(h, set()).add(t)
+
+    def far(s):
+        d, level = {s: 0}, [s]
+        while level:
+            level = [y for x in level for y in sorted(out.get(x, ())) if y not in d and not d.update({y: d[x] + 1})]
+        return d
+
+    on, lengths, last = set(), [], {e: i for i, e in enumerate(edges)}
+    for q, a in pairs:
+        found = [(far(s)[e], s, e) for s, e in ((q, a), (a, q)) if e in far(s)]
+        for n, s, e in found:
+            if n == min(found)[0]:
+                lengths.append(n)
+                on |= {i for (h, t), i in last.items() if h in far(s) and e in far(t) and far(s)[h] + 1 + far(t)[e] == n}
+    return on, max(lengths, default=None)
+
+
+def test_shortest_path_labels_equal_brute_force(spark):
+    """Samples from sparse to dense, with ways of up to eight edges, loops, repeated edges, pairs that share ends, pairs
+    without a path in one or both directions, ends that no edge has and null ends."""
+    rng = random.Random(5)
+    graphs, asked = {}, {}
+    for i in range(24):
+        n = rng.choice((6, 12, 20))
+        graphs[i] = [(str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(int(n * rng.choice((0.8, 1.2, 2.5))))]
+        asked[i] = [(str(rng.randrange(n + 1)), str(rng.randrange(n + 1))) for _ in range(4)]
+    graphs[24], asked[24] = [(str(i), str(i + 1)) for i in range(8)], [("0", "8"), ("7", "2"), ("8", "0")]
+    triples = spark.createDataFrame([(i, k, h, "r", t) for i, g in graphs.items() for k, (h, t) in enumerate(g)], "sample_id int, triple_id int, h string, r string, t string")
+    pairs = spark.createDataFrame([(i, *p) for i, x in asked.items() for p in x] + [(0, None, "1"), (25, "x", "y")], "sample_id int, q string, a string")
+    labels, length = graph.shortest_path_labels(triples, pairs)
+    assert labels.count() == triples.count()
+    on = {(r.sample_id, r.triple_id) for r in labels.where("label > 0").collect()}
+    want = {i: plain_labels(g, asked[i]) for i, g in graphs.items()}
+    assert on == {(i, k) for i, w in want.items() for k in w[0]}
+    assert {r.sample_id: r.max_path_length for r in length.collect()} == {i: w[1] for i, w in want.items()} | {25: None}
+    assert max(w[1] or 0 for w in want.values()) == 8
+
+
+def test_hops_both_ways(spark):
+    rng = random.Random(6)
+    edges = {(i, *map(str, sorted(rng.sample(range(30), 2)))) for i in range(6) for _ in range(30)}
+    step = spark.createDataFrame([x for i, a, b in edges for x in ((i, a, b), (i, b, a))], "sample_id int, node string, to string")
+    start = spark.createDataFrame([(i, str(k)) for i in range(6) for k in range(i % 3 + 1)], "sample_id int, node string")
+    rows = lambda x: sorted(map(tuple, x.select("sample_id", "node", "d").collect()))
+    assert rows(graph.hops(step, start, ["sample_id"], both_ways=True)) == rows(graph.hops(step, start, ["sample_id"]))
+
+
 def test_corrupted_are_new_and_repeatable(spark):
     first = catalogue.QUERIES["kg_corrupted"](spark, SF)
     old = catalogue.scored(spark, SF)
