@@ -6,16 +6,43 @@ sample). sets: sample_id, kind, pos, h, r, t, where kind is path (reasoning path
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text
-from lattica.operators import graph
+from lattica.operators import graph, retrieval
 from lattica.sources import records
 
 TRIPLE = ["h", "r", "t"]
 #: Buckets, the first to be dropped from a prompt first.
 BUCKETS = ("filler", "neighbor", "support", "skeleton", "attack")
+#: What the name of a mode holds for each source of evidence, the first that it holds counts.
+SOURCES = {"rog": "paths", "scored": "scored", "rand": "random", "noevi": "none"}
+
+
+@dataclass(frozen=True)
+class Mode:
+    """What a prompt shows: its source, how many triples, the best ones last, the question first, no triples with an answer,
+    one triple for each pair of ends, relevant triples that were not retrieved."""
+
+    source: str
+    n: int = 0
+    reverse: bool = False
+    question_first: bool = False
+    no_answers: bool = False
+    one_per_pair: bool = False
+    relevant: bool = False
+
+
+def mode_of(name: str) -> Mode:
+    """scored_100, rog_50_rmht, scored_100_rev_firstq, randNoA_50, scored_100_gt, noevi: the source, then the number."""
+    source = next((v for k, v in SOURCES.items() if k in name), None)
+    if source is None:
+        raise ValueError(f"no such mode: {name}")
+    n = 0 if source == "none" else int(name.split("_")[1])
+    return Mode(source, n, source == "scored" and "rev" in name, "firstq" in name, "randNoA" in name, source == "paths" and "rmht" in name, "gt" in name)
 
 
 def _flagged(triples: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -117,6 +144,41 @@ def with_evidence(rows: DataFrame, evidence: DataFrame, missing: str = "error")
     return out.drop("_found")
 
 
+def limited(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows by pos; all where n is 0 or less."""
+    return rows.orderBy("pos").limit(n) if n > 0 else rows
+
+
+def relevant_first(evidence: DataFrame) -> DataFrame:
+    """evidence: triples (h, r, t, score) and relevant (h, r, t). Relevant triples that triples don't hold come before them,
+    the last one first, without a score."""
+    same = lambda x, y: (x["h"] == y["h"]) & (x["r"] == y["r"]) & (x["t"] == y["t"])
+    score = evidence.schema["triples"].dataType.elementType["score"].dataType
+    lost = F.filter(F.coalesce("relevant", F.array()), lambda x: ~F.exists("triples", lambda y: same(x, y)))
+    new = F.transform(F.reverse(lost), lambda x: F.struct(x["h"].alias("h"), x["r"].alias("r"), x["t"].alias("t"), F.lit(None).cast(score).alias("score")))
+    return evidence.withColumn("triples", F.concat(new, "triples"))
+
+
+def loaded(rows: DataFrame, graphs: DataFrame, evidence: DataFrame, known: DataFrame, mode: str = "", limit: int = 0) -> DataFrame:
+    """Questions with their graphs, question entities and evidence, as a run in this mode starts from. rows: id, paths; pos
+    with a limit. graphs: id, q_entity and others. evidence: id, scored_triples, or triples where another system made
+    them. known: id, q_entity.
+
+    A question without a graph, and without a limit a graph without a question, is an error. A question without
+    evidence gets one empty triple where another system made it, goes in modes that add relevant triples (evidence
+    then also has relevant), and is an error elsewhere."""
+    own = limited(rows, limit)
+    sides = [(own, graphs, "graph")] + ([] if limit > 0 else [(graphs, own, "question")])
+    for left, right, what in sides:
+        lost = left.select("id").join(right.select("id"), "id", "left_anti").first()
+        if lost is not None:
+            raise ValueError(f"no {what} for {lost.id}")
+    others, relevant = "triples" in evidence.columns, mode != "" and mode_of(mode).relevant
+    found = evidence if others else evidence.withColumnRenamed("scored_triples", "triples")
+    found = relevant_first(found) if relevant else found
+    return with_evidence(question_entities(own.join(graphs, "id"), known), found, "placeholder" if others else "drop" if relevant else "error")
+
+
 def question_entities(rows: DataFrame, known: DataFrame) -> DataFrame:
     """rows: id, q_entity, paths (`node -> relation -> node` texts). known: id, q_entity. q_entity is that of known, else
     the row's, else the first node of the first path that has one; else empty."""
@@ -171,6 +233,45 @@ def rendered(questions: DataFrame, blocks: DataFrame | None, plans: DataFrame |
     return out.withColumn("user_query", user).withColumn("all_query", F.concat_ws("\n\n", F.lit(system), *parts)).drop("plan")
 
 
+def lines_once(*parts: DataFrame) -> DataFrame:
+    """Parts: sample_id, pos, h, r, t. sample_id, rank, h, r, t: all of the first part, then those of the next; of triples
+    with the same line in a prompt the first."""
+    cols = ["sample_id", F.col("pos").cast("long").alias("pos"), *TRIPLE]
+    every = None
+    for i, part in enumerate(parts):
+        own = part.select(F.lit(i).alias("part"), *cols)
+        every = own if every is None else every.unionByName(own)
+    first = every.groupBy("sample_id", text.triple_text(*(F.col(c) for c in TRIPLE)).alias("line")).agg(F.min(F.struct("part", "pos", *TRIPLE)).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("at"))
+    return first.withColumn("rank", rank).select("sample_id", "rank", *(F.col(f"at.{c}").alias(c) for c in TRIPLE))
+
+
+def by_mode(
+    mode: str, questions: DataFrame, scored: DataFrame | None = None, marks: DataFrame | None = None, sets: DataFrame | None = None, paths: DataFrame | None = None,
+    triples: DataFrame | None = None, answers: DataFrame | None = None, plans: DataFrame | None = None, system: str = "", threshold: float | None = None, seed: int = 0, changed: bool = False,
+) -> DataFrame:
+    """rendered prompts for a mode by its name. questions: sample_id, question. The source names what is needed: scored
+    triples with marks and sets (see ordered), the triples of reasoning paths before scored ones, all triples in an
+    order that the seed fixes (with answers, sample_id and entity, where theirs go), or nothing. A threshold of 0 is none."""
+    want = mode_of(mode)
+    need = {"paths": {"paths": paths, "scored": scored}, "scored": {"scored": scored, "marks": marks, "sets": sets}, "random": {"triples": triples} | ({"answers": answers} if want.no_answers else {}), "none": {}}
+    lacking = [k for k, v in need[want.source].items() if v is None]
+    if lacking:
+        raise ValueError(f"{mode} needs {', '.join(lacking)}")
+    if want.source == "none":
+        return rendered(questions, None, plans, system, want.question_first)
+    if want.source == "scored":
+        ranks = ordered(scored, marks, sets, changed)
+    elif want.source == "random":
+        dealt = shuffled(triples, seed)
+        ranks = lines_once((retrieval.without_answers(dealt, answers) if want.no_answers else dealt).withColumnRenamed("rank", "pos"))
+    else:
+        once = lambda x: retrieval.one_per_pair(x.withColumnRenamed("pos", "rank")).withColumnRenamed("rank", "pos") if want.one_per_pair else x
+        ranks = lines_once(once(paths), once(scored))
+    block = triplet_block(ranks, want.n, (threshold or None) if want.source == "scored" else None, want.reverse)
+    return rendered(questions, block, plans, system, want.question_first)
+
+
 def labelled_evidence(rows: DataFrame, most: int = 20) -> DataFrame:
     """rows: id, user_query, prediction. Evidence that a prediction cites and its prompt holds, in either direction:
     id, cited, missing (counts) and evidence, which is empty if more than `most` triples are left."""

@@ -11,6 +11,7 @@ from lattica.plans import catalogue
 from lattica.plans.catalogue import homes, scored, table
 
 N = 20
+MODES = ("rog_5", "rog_6_rmht", "rand_5", "randNoA_4_firstq", "noevi", "noevi_firstq")
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,37 @@ def _plans(s, d):
     return prompts.plan_block(e.select(F.expr("event_id div 3").alias("sample_id"), (F.col("event_id") % 3).cast("int").alias("sub_id"), F.col("event_type").alias("question"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3 - 1).alias("dep_prev_sub_id"), F.lit("bridge").alias("dep_type"), (F.col("event_id") % 3 > 0).alias("needs_prev_answer")))
 
 
+def _modes(s, d):
+    """Prompts of all customers in each mode that pr_prompt doesn't show."""
+    t = catalogue.saved(s, d)
+    ask = homes(s, d).select("sample_id", F.concat(F.lit("where is "), "c_name").alias("question"))
+    paths = t.where("r in ('location.nation', 'place.region')").select("sample_id", F.col("triple_id").alias("pos"), "h", "r", "t")
+    ranks = retrieval.ranked(t).select("sample_id", F.col("rank").alias("pos"), "h", "r", "t", "score")
+    out = None
+    for mode in MODES:
+        own = prompts.by_mode(mode, ask, ranks, paths=paths, triples=t, answers=catalogue.answers(s, d), system="Answer.").select("sample_id", F.lit(mode).alias("mode"), "user_query", "all_query", F.size("lines").alias("n_lines"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _loaded(s, d):
+    """Customers without orders have no evidence, those with orders lack the place in theirs; regions name no entity."""
+    h = homes(s, d)
+    rows = h.select(F.col("sample_id").alias("id"), F.array(F.concat("c_name", F.lit(" -> location.nation -> "), "n_name")).alias("paths"))
+    graphs = h.select(F.col("sample_id").alias("id"), F.when(F.col("r_name") < "B", F.array("n_name")).otherwise(F.array().cast("array<string>")).alias("q_entity"))
+    triple = F.struct("h", "r", "t", "score")
+    placed = scored(s, d).where("r = 'order.placed'").groupBy("sample_id").agg(F.array_sort(F.collect_list(triple)).alias("found"))
+    place = F.array(F.struct(F.col("c_name").alias("h"), F.lit("location.nation").alias("r"), F.col("n_name").alias("t")), F.struct(F.col("n_name").alias("h"), F.lit("place.region").alias("r"), F.col("r_name").alias("t")))
+    evidence = placed.join(h.select("sample_id", place.alias("relevant")), "sample_id").withColumnRenamed("sample_id", "id")
+    known = h.where("r_name >= 'M'").select(F.col("sample_id").alias("id"), F.array("r_name").alias("q_entity"))
+    out = None
+    for way, own, mode in (("other system", "triples", "scored_100"), ("relevant", "scored_triples", "scored_100_gt")):
+        got = prompts.loaded(rows, graphs, evidence.withColumnRenamed("found", own), known, mode)
+        got = got.select("id", F.lit(way).alias("way"), F.concat_ws("|", "q_entity").alias("q_entity"), F.size("triples").alias("n"), F.get("triples", F.lit(0))["t"].alias("first"), F.round(F.aggregate("triples", F.lit(0.0), lambda a, x: a + F.coalesce(x["score"], F.lit(0.0))), 4).alias("score"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 QUERIES = {
     "pr_order": _ordered,
     "pr_order_changed": lambda s, d: _ordered(s, d, True),
@@ -85,6 +117,8 @@ QUERIES = {
     "pr_reasoning_triples": _parsed,
     "pr_labelled_evidence": _evidence,
     "pr_plan_block": _plans,
+    "pr_modes": _modes,
+    "pr_loaded": _loaded,
 }
 
 #: The graphs are trees from the customer, so the waves follow from the relation.
@@ -101,7 +135,36 @@ placed as (select sample_id, h, r, t, score, (row_number() over (partition by sa
   case when injected = 1 then 'attack' when support = 1 then 'support' when seed + a > 0 then 'neighbor' else 'filler' end bucket from once)"""
 _places = "select sample_id, h, r, t, score, rank, n - rank + 1 as priority, bucket from placed"
 _line = "'(' || h || ',' || r || ',' || t || ')'"
+_asked = "'Question:' || chr(10) || 'where is ' || c_name || '?'"
+_two = "chr(10) || chr(10)"
+
+
+def _mode_sql(mode: str, first: bool, lines: str | None, n: int = 0) -> str:
+    """lines: sample_id, line, place. Of equal lines the first counts; n lines a sample."""
+    if lines is None:
+        user = f"{_asked} || {_two}" if first else _asked
+        return f"select sample_id, '{mode}' as mode, {user} as user_query, 'Answer.' || {_two} || {user if first else f'{_two} || {_asked}'} as all_query, 0 as n_lines from home"
+    shown = f"select sample_id, string_agg(line, chr(10) order by k) shown, count(*)::int n from (select *, row_number() over (partition by sample_id order by place) k from (select sample_id, line, min(place) place from ({lines}) group by all) qualify k <= {n}) group by 1"
+    given = "'Triplets:' || chr(10) || coalesce(shown, '')"
+    user = f"{_asked} || {_two} || {given}" if first else f"{given} || {_two} || {_asked}"
+    return f"select h.sample_id, '{mode}' as mode, {user} as user_query, 'Answer.' || {_two} || {user} as all_query, coalesce(n, 0) as n_lines from home h left join ({shown}) x on x.sample_id = h.sample_id"
+
+
+_dealt = "md5(concat_ws('|', '0', sample_id, h, r, t))"
+_both = lambda few: f"select sample_id, {_line} line, (0, triple_id) place from ranked where r in ('location.nation', 'place.region') union all select sample_id, {_line}, (1, rank) from (select * from ranked {few}) x"
+_mode_parts = [
+    _mode_sql("rog_5", False, _both(""), 5),
+    _mode_sql("rog_6_rmht", False, _both("qualify row_number() over (partition by sample_id, least(h, t), greatest(h, t) order by rank) = 1"), 6),
+    _mode_sql("rand_5", False, f"select sample_id, {_line} line, ({_dealt}, h, r, t) place from triples", 5),
+    _mode_sql("randNoA_4_firstq", True, f"select sample_id, {_line} line, ({_dealt}, h, r, t) place from triples join home using (sample_id) where not (contains(h, n_name) or contains(h, r_name) or contains(t, n_name) or contains(t, r_name))", 4),
+    _mode_sql("noevi", False, None),
+    _mode_sql("noevi_firstq", True, None),
+]
+_entities = "case when r_name >= 'M' then r_name when r_name < 'B' then n_name else c_name end as q_entity"
+_placed = "select sample_id, count(*)::int n, min_by(t, (h, r, t, score)) t, sum(score) score from triples where r = 'order.placed' group by 1"
 ORACLES = {
+    "pr_modes": catalogue._sql(" union all ".join(_mode_parts)),
+    "pr_loaded": catalogue._sql(f"select h.sample_id as id, 'other system' as way, {_entities}, coalesce(n, 1) as n, coalesce(p.t, '') as first, round(coalesce(score, 0), 4) as score from home h left join placed p using (sample_id) union all select sample_id, 'relevant', {_entities}, n + 2, r_name, round(score, 4) from home join placed using (sample_id)", f"placed as ({_placed})"),
     "pr_order": catalogue._sql(_places, CLEAN),
     "pr_order_changed": catalogue._sql(_places, CHANGED),
     "pr_prompt": catalogue._sql(f"select sample_id, user_query, 'Answer.' || chr(10) || chr(10) || user_query as all_query, n::int as n_lines from (select sample_id, 'Triplets:' || chr(10) || string_agg({_line}, chr(10) order by k desc) || chr(10) || chr(10) || 'Question:' || chr(10) || 'where is ' || c_name || '?' user_query, count(*) n from (select *, row_number() over (partition by sample_id order by rank) k from placed where score >= 0.05 qualify k <= {N}) join home using (sample_id) group by sample_id, c_name)", CLEAN),
