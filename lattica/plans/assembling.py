@@ -23,9 +23,9 @@ def _text(df: DataFrame) -> DataFrame:
 
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Processed samples, labels and lengths; every fifth sample has no pair to search for."""
+    """Processed samples, labels and lengths; customers with an order without items have no pair to search for."""
     t = catalogue.saved(s, d)
-    labels, lengths = graph.shortest_path_labels(t, catalogue.pairs(s, d).where("sample_id % 5 <> 0"))
+    labels, lengths = graph.shortest_path_labels(t, catalogue.pairs(s, d).join(catalogue.waiting(s, d), "sample_id", "left_anti"))
     return assembly.processed(samples(s, d), t, catalogue.non_text(s, d)), labels, lengths
 
 
@@ -102,7 +102,7 @@ def _evaluated(s, d):
 
 
 def _evidence(s, d):
-    some = homes(s, d).where("sample_id % 3 > 0").select(F.col("sample_id").alias("id"), F.array(F.struct(F.col("c_name").alias("h"), F.lit("r").alias("r"), F.col("n_name").alias("t"), F.lit(0.5).alias("score"))).alias("triples"))
+    some = homes(s, d).join(catalogue.waiting(s, d), "sample_id", "left_anti").select(F.col("sample_id").alias("id"), F.array(F.struct(F.col("c_name").alias("h"), F.lit("r").alias("r"), F.col("n_name").alias("t"), F.lit(0.5).alias("score"))).alias("triples"))
     rows = homes(s, d).select(F.col("sample_id").alias("id"))
     both = prompts.with_evidence(rows, some, "drop").withColumn("way", F.lit("drop")).unionByName(prompts.with_evidence(rows, some, "placeholder").withColumn("way", F.lit("placeholder")))
     return both.select("id", "way", F.get("triples", F.lit(0))["t"].alias("t"))
@@ -142,8 +142,8 @@ ts as (select sample_id, count(distinct r) n_relations, count(*) n_triples from
 CASCADES = f"""with {catalogue.HOME},
 c as (select sample_id id, sample_id % 3 > 0 first_changed, sample_id % 5 > 0 as first_hit, sample_id % 2 = 0 second_depends, sample_id % 7 = 0 second_hit, case when sample_id % 11 = 0 then 0 when sample_id % 4 = 1 then 1 else 0.5 end final_rr from home)"""
 ORACLES = {
-    "as_assembled": catalogue._sql("select sample_id, coalesce(q_ids, '') as q_ids, coalesce(a_ids, '') as a_ids, n_text, n_other, n_relations, n_triples, 2 as max_path_length, 2::bigint as n_relevant from home left join qi using (sample_id) left join ai using (sample_id) join es using (sample_id) join ts using (sample_id) where sample_id % 5 <> 0", NAMED),
-    "as_statistics": catalogue._sql("select count(*) as n, count(*) filter (sample_id % 5 = 0) as n_skipped, floor(median(x))::bigint as median_relevant, floor(avg(x))::bigint as mean_relevant, max(x)::bigint as max_relevant from (select sample_id, case when sample_id % 5 = 0 then 0 else 2 end x from home)"),
+    "as_assembled": catalogue._sql("select sample_id, coalesce(q_ids, '') as q_ids, coalesce(a_ids, '') as a_ids, n_text, n_other, n_relations, n_triples, 2 as max_path_length, 2::bigint as n_relevant from home left join qi using (sample_id) left join ai using (sample_id) join es using (sample_id) join ts using (sample_id) where sample_id not in " + catalogue.WAITING, NAMED),
+    "as_statistics": catalogue._sql(f"select count(*) as n, count(*) filter (sample_id in {catalogue.WAITING}) as n_skipped, floor(median(x))::bigint as median_relevant, floor(avg(x))::bigint as mean_relevant, max(x)::bigint as max_relevant from (select sample_id, case when sample_id in {catalogue.WAITING} then 0 else 2 end x from home)"),
     "as_embeddable": catalogue._sql("select sample_id, a_all as a_ids from qi join ai using (sample_id)", NAMED),
     "as_topics": catalogue._sql("select e.sample_id, e.entity as node, case when e.entity = c_name and e.sample_id % 4 <> 0 then 0.0 else 1.0 end::double as x0, case when e.entity = c_name and e.sample_id % 4 <> 0 then 1.0 else 0.0 end::double as x1 from ends e join home using (sample_id)"),
     "kg_with_new": catalogue._sql("select sample_id, h, r, t, score, is_new, (row_number() over (partition by sample_id order by score desc, is_new, triple_id, h, r, t))::int as rank from (select sample_id, h, r, t, score, false is_new, triple_id from ranked where rank <= 3 union all select sample_id, h, r, t, score, true, 0 from made)", catalogue.corrupted_sql(2)),
@@ -155,6 +155,6 @@ ORACLES = {
     "tg_breakdown": CASCADES + ", a as (select 2 steps, *, final_rr > 0 final_hit, second_hit and first_hit second_mentions_first from c), d as (select * from a) select (select count(*) from a) as total" + answering.ORACLES["rb_stage_breakdown"].split(" as total", 1)[1],
     "qa_report": f"select o.n, o.hit, o.f1, r.original_hit, r.original_accuracy, h.score as hallucination_score from ({answering.ORACLES['qa_overview']}) o, (select round(100 * avg(hit), 6) original_hit, round(100 * avg(accuracy), 6) original_accuracy from ({answering.ORACLES['qa_original']})) r, ({answering.ORACLES['qa_hallucination_overview']}) h",
     "qa_evaluated": "with h as (select unnest([-1, 1, 2, 3]) hops), p as (select unnest(['all', 'good', 'bad']) part) select h.hops::int as hops, p.part, (select count(*) from customer where (h.hops < 0 or (h.hops = 3 and c_custkey % 5 >= 3) or (h.hops < 3 and c_custkey % 5 = h.hops)) and (p.part = 'all' or (p.part = 'good') = (c_custkey % 2 = 1))) as n from h, p",
-    "pr_with_evidence": f"with {catalogue.HOME} select sample_id as id, 'drop' as way, n_name as t from home where sample_id % 3 > 0 union all select sample_id, 'placeholder', case when sample_id % 3 > 0 then n_name else '' end from home",
+    "pr_with_evidence": f"with {catalogue.HOME} select sample_id as id, 'drop' as way, n_name as t from home where sample_id not in {catalogue.WAITING} union all select sample_id, 'placeholder', case when sample_id not in {catalogue.WAITING} then n_name else '' end from home",
     "pr_question_entities": f"with {catalogue.HOME} select sample_id as id, case when sample_id % 4 = 0 then r_name when sample_id % 3 = 0 then n_name when sample_id % 5 = 0 then '' else c_name end as q_entity from home",
 }

@@ -63,6 +63,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("sample_id", F.col("c_name").alias("q"), F.explode(F.array("n_name", "r_name")).alias("a"))
 
 
+def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id of customers that have an order without items; queries take them for samples that lack a partner."""
+    o, l = (table(spark, sf_dir, x) for x in ("orders", "lineitem"))
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_custkey").alias("sample_id")).distinct()
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("sample_id", F.col("a").alias("entity"))
 
@@ -202,6 +208,10 @@ LABELS = "labels as (select sample_id, triple_id, case when r in ('location.nati
 NORMAL = lambda x: f"trim(regexp_replace(regexp_replace(translate(lower({x}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+#: The customers of waiting().
+WAITING = "(select o_custkey from orders anti join lineitem on o_orderkey = l_orderkey)"
+
+
 def _sql(body: str, more: str = "") -> str:
     return f"with {TRIPLES}{', ' + more if more else ''} {body}"
 

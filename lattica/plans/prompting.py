@@ -89,14 +89,15 @@ def _modes(s, d):
 
 
 def _loaded(s, d):
-    """Customers without orders have no evidence, those with orders lack the place in theirs; regions name no entity."""
+    """Customers with an order without items have no evidence, and others lack the place in theirs. Entities are known, the
+    graph's or a path's, by region."""
     h = homes(s, d)
     rows = h.select(F.col("sample_id").alias("id"), F.array(F.concat("c_name", F.lit(" -> location.nation -> "), "n_name")).alias("paths"))
     graphs = h.select(F.col("sample_id").alias("id"), F.when(F.col("r_name") < "B", F.array("n_name")).otherwise(F.array().cast("array<string>")).alias("q_entity"))
     triple = F.struct("h", "r", "t", "score")
     placed = scored(s, d).where("r = 'order.placed'").groupBy("sample_id").agg(F.array_sort(F.collect_list(triple)).alias("found"))
     place = F.array(F.struct(F.col("c_name").alias("h"), F.lit("location.nation").alias("r"), F.col("n_name").alias("t")), F.struct(F.col("n_name").alias("h"), F.lit("place.region").alias("r"), F.col("r_name").alias("t")))
-    evidence = placed.join(h.select("sample_id", place.alias("relevant")), "sample_id").withColumnRenamed("sample_id", "id")
+    evidence = placed.join(catalogue.waiting(s, d), "sample_id", "left_anti").join(h.select("sample_id", place.alias("relevant")), "sample_id").withColumnRenamed("sample_id", "id")
     known = h.where("r_name >= 'M'").select(F.col("sample_id").alias("id"), F.array("r_name").alias("q_entity"))
     out = None
     for way, own, mode in (("other system", "triples", "scored_100"), ("relevant", "scored_triples", "scored_100_gt")):
@@ -161,7 +162,7 @@ _mode_parts = [
     _mode_sql("noevi_firstq", True, None),
 ]
 _entities = "case when r_name >= 'M' then r_name when r_name < 'B' then n_name else c_name end as q_entity"
-_placed = "select sample_id, count(*)::int n, min_by(t, (h, r, t, score)) t, sum(score) score from triples where r = 'order.placed' group by 1"
+_placed = "select sample_id, count(*)::int n, min_by(t, (h, r, t, score)) t, sum(score) score from triples where r = 'order.placed' and sample_id not in " + catalogue.WAITING + " group by 1"
 ORACLES = {
     "pr_modes": catalogue._sql(" union all ".join(_mode_parts)),
     "pr_loaded": catalogue._sql(f"select h.sample_id as id, 'other system' as way, {_entities}, coalesce(n, 1) as n, coalesce(p.t, '') as first, round(coalesce(score, 0), 4) as score from home h left join placed p using (sample_id) union all select sample_id, 'relevant', {_entities}, n + 2, r_name, round(score, 4) from home join placed using (sample_id)", f"placed as ({_placed})"),
