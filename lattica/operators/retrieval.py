@@ -99,9 +99,9 @@ def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget:
     sources = numbered(priced.select("sample_id", "h", "r", "t", "_h", F.coalesce("score", "_least", F.lit(0.0)).alias("score")), "h", "r", "t")
     pool = numbered(own.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct(), "entity")
     folder = records.scratch(graph.sparkSession)
-    sources, pool = records.written(sources, f"{folder}/sources"), records.written(pool, f"{folder}/pool")
+    sources, pool = records.dealt(sources, f"{folder}/sources"), records.dealt(pool, f"{folder}/pool")
     sizes = sources.groupBy("sample_id").agg(F.count("*").alias("n_s")).join(pool.groupBy("sample_id").agg(F.count("*").alias("n_e")), "sample_id").join(own.groupBy("sample_id").agg(F.count("*").alias("n_t")), "sample_id")
-    sizes = records.written(sizes, f"{folder}/sizes")
+    sizes = records.dealt(sizes, f"{folder}/sizes")
 
     def number(what: str, n: str):
         digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("k").cast("string"), F.lit(what)))
@@ -115,7 +115,7 @@ def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget:
         return new.groupBy(triple).agg(F.min("at").alias("at")).join(own, triple, "left_anti")
 
     drawn = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DRAWS * budget - 1)))) if budget > 0 else sizes.withColumn("k", F.lit(0)).limit(0)
-    first = records.written(made(drawn.select("sample_id", F.lit(0).alias("stage"), F.col("k").cast("long").alias("k"), number("source", "n_s").alias("s"), number("entity", "n_e").alias("e"))), f"{folder}/drawn")
+    first = records.dealt(made(drawn.select("sample_id", F.lit(0).alias("stage"), F.col("k").cast("long").alias("k"), number("source", "n_s").alias("s"), number("entity", "n_e").alias("e"))), f"{folder}/drawn")
     short = sizes.join(first.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id", "left").where(F.coalesce("n", F.lit(0)) < budget)
     most = F.least(F.col("n_s") * F.col("n_e"), 2 * budget + 2 * F.col("n_t") + 2 * F.col("n_s"))
     rest = short.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))

@@ -31,27 +31,32 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_id, triple_id, h, r, t, score."""
+    records.together(spark)
     home = homes(spark, sf_dir)
     o, l, p = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part"))
-    name = F.concat(F.lit("O#"), F.col("o_orderkey").cast("string"))
-    col = lambda kind, k1, k2, h, r, t, s: [F.col("sample_id"), F.lit(kind).alias("kind"), k1.cast("long").alias("k1"), k2.cast("long").alias("k2"), h.alias("h"), F.lit(r).alias("r"), t.alias("t"), s.cast("double").alias("score")]
-    zero = F.lit(0)
+    col = lambda kind, k1, k2, h, t, s: [F.col("sample_id"), F.lit(kind).alias("kind"), k1.cast("long").alias("k1"), k2.cast("long").alias("k2"), h.cast("string").alias("h"), t.cast("string").alias("t"), s.cast("double").alias("score")]
+    zero, none = F.lit(0), F.lit(None)
     placed = home.select("sample_id", "c_name").join(o.select("o_orderkey", "o_custkey", "o_totalprice"), F.col("sample_id") == F.col("o_custkey"))
-    items = o.select("o_orderkey", F.col("o_custkey").alias("sample_id")).join(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), F.col("o_orderkey") == F.col("l_orderkey")).join(p.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    items = items.join(home.select("sample_id"), "sample_id", "left_semi")
+    # Lines meet their order first, which only customers' orders are left of, and their part last: names are wide.
+    own = o.select("o_orderkey", F.col("o_custkey").alias("sample_id")).join(home.select("sample_id"), "sample_id", "left_semi")
+    lines = own.join(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), F.col("o_orderkey") == F.col("l_orderkey"))
+    items = lines.select("sample_id", "o_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").join(p.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    # Names of orders and relations follow from kind and k1, so only the other names go to their sample.
     rows = (
-        home.select(col(0, zero, zero, F.col("c_name"), "location.nation", F.col("n_name"), F.lit(0.5)))
-        .unionByName(home.select(col(1, zero, zero, F.col("n_name"), "place.region", F.col("r_name"), F.lit(0.1))))
-        .unionByName(placed.select(col(2, F.col("o_orderkey"), zero, F.col("c_name"), "order.placed", name, F.col("o_totalprice") / 1e6)))
-        .unionByName(items.select(col(3, F.col("o_orderkey"), F.col("l_linenumber"), name, "order.item", F.col("p_name"), F.col("l_extendedprice") / 1e6)))
+        home.select(col(0, zero, zero, F.col("c_name"), F.col("n_name"), F.lit(0.5)))
+        .unionByName(home.select(col(1, zero, zero, F.col("n_name"), F.col("r_name"), F.lit(0.1))))
+        .unionByName(placed.select(col(2, F.col("o_orderkey"), zero, F.col("c_name"), none, F.col("o_totalprice") / 1e6)))
+        .unionByName(items.select(col(3, F.col("o_orderkey"), F.col("l_linenumber"), none, F.col("p_name"), F.col("l_extendedprice") / 1e6)))
     )
     w = Window.partitionBy("sample_id").orderBy("kind", "k1", "k2", "t", "score")
-    return rows.select("sample_id", (F.row_number().over(w) - 1).alias("triple_id"), "h", "r", "t", "score")
+    kind, name = F.col("kind"), F.concat(F.lit("O#"), F.col("k1").cast("string"))
+    relation = F.when(kind == 0, "location.nation").when(kind == 1, "place.region").when(kind == 2, "order.placed").otherwise("order.item")
+    return rows.withColumn("triple_id", F.row_number().over(w) - 1).select("sample_id", "triple_id", F.when(kind == 3, name).otherwise(F.col("h")).alias("h"), relation.alias("r"), F.when(kind == 2, name).otherwise(F.col("t")).alias("t"), "score")
 
 
 def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored triples as a table, for queries that use them more than once."""
-    return records.written(scored(spark, sf_dir), records.scratch(spark))
+    """The scored triples as a table dealt by sample, for queries that use them more than once."""
+    return records.dealt(scored(spark, sf_dir), records.scratch(spark))
 
 
 def non_text(spark: SparkSession, sf_dir: str) -> DataFrame:
