@@ -11,22 +11,19 @@ from lattica.sources import records
 
 def hops(step: DataFrame, start: DataFrame, keys: list[str], both_ways: bool = False) -> DataFrame:
     """keys, node, d: hops from start (keys, node) along step (sample_id, node, to; keys hold sample_id). Level by level
-    until one is empty; each level is a partition d of a table in the shared folder, so plans stay small, and steps are
-    written once. both_ways: step holds each edge in both directions, so a step from a level leads to itself, the one before
+    until one is empty; each level is a partition d of a table dealt by sample, so plans stay small, and steps are written
+    once. both_ways: step holds each edge in both directions, so a step from a level leads to itself, the one before
     or the next one, and new nodes are told from those two levels alone."""
     spark, folder = step.sparkSession, records.scratch(step.sparkSession)
-    step = records.written(step, f"{folder}/step")
-    folder += "/levels"
-    start.select(*keys, "node").distinct().write.parquet(f"{folder}/d=0")
-    level = spark.read.parquet(f"{folder}/d=0")
-    schema, d = level.withColumn("d", F.lit(0)).schema, 0
+    step, levels = records.dealt(step, f"{folder}/step"), records.Levels(spark, f"{folder}/levels")
+    level, d = levels.add(start.select(*keys, "node").distinct(), 0), 0
     while not level.isEmpty():
         d += 1
-        seen = spark.read.schema(schema).parquet(folder)
+        seen = levels.table()
         seen = (seen.where(F.col("d") >= d - 2) if both_ways else seen).select(*keys, "node")
         new = level.join(step, ["sample_id", "node"]).select(*keys, F.col("to").alias("node")).distinct().join(seen, [*keys, "node"], "left_anti")
-        level = records.written(new, f"{folder}/d={d}")
-    return spark.read.schema(schema).parquet(folder)
+        level = levels.add(new, d)
+    return levels.table()
 
 
 def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,17 +37,16 @@ def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFram
     both ends at once, so only edges of shortest paths are met and no path is listed; of equal ones the last triple's
     counts, which is settled among those met. Null ends reach nothing."""
     spark, folder = triples.sparkSession, records.scratch(triples.sparkSession)
-    own = records.written(triples.select("sample_id", "triple_id", "h", "t"), f"{folder}/triples")
+    own = records.dealt(triples.select("sample_id", "triple_id", "h", "t"), f"{folder}/triples")
     end = lambda forward, **named: F.struct(F.lit(forward).alias("forward"), *(F.col(c).alias(k) for k, c in named.items()))
     split = lambda rows, *ends: rows.select("sample_id", F.explode(F.array(*ends)).alias("x"))
     edges = split(own, end(True, node="h", to="t", triple_id="triple_id"), end(False, node="t", to="h", triple_id="triple_id")).select("sample_id", "x.*")
     both = pairs.select("sample_id", "q", "a").distinct().withColumn("pair", F.array_sort(F.array("q", "a")))
     ways = both.select("sample_id", "pair", F.explode(F.array(F.struct(F.col("q").alias("s"), F.col("a").alias("e")), F.struct(F.col("a").alias("s"), F.col("q").alias("e")))).alias("x")).select("sample_id", "pair", "x.*").distinct()
-    state = records.written(ways.select("*", F.when(F.col("s") == F.col("e"), 0).alias("l"), F.when(F.col("s") == F.col("e"), 0).alias("least"), F.lit(True).alias("goes_on")), f"{folder}/ways/k=0")
+    state = records.dealt(ways.select("*", F.when(F.col("s") == F.col("e"), 0).alias("l"), F.when(F.col("s") == F.col("e"), 0).alias("least"), F.lit(True).alias("goes_on")), f"{folder}/ways/k=0")
     roots = lambda open_: split(open_, end(True, root="s"), end(False, root="e")).select("sample_id", "x.*").distinct()
-    level = records.written(roots(ways).select("*", F.col("root").alias("node")), f"{folder}/levels/d=0")
-    way_schema, schema, k = state.schema, level.withColumn("d", F.lit(0)).schema, 0
-    levels = lambda: spark.read.schema(schema).parquet(f"{folder}/levels")
+    known, every = records.Levels(spark, f"{folder}/levels"), state
+    level, k, levels = known.add(roots(ways).select("*", F.col("root").alias("node")), 0), 0, known.table
     while True:
         open_ = state.where("least is null and goes_on").select("sample_id", "pair", "s", "e")
         if open_.isEmpty():
@@ -59,7 +55,7 @@ def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFram
         root = ["sample_id", "forward", "root"]
         live = level.join(roots(open_), root, "left_semi")
         new = live.join(edges, ["sample_id", "forward", "node"]).select(*root, F.col("to").alias("node")).distinct().join(levels().drop("d"), [*root, "node"], "left_anti")
-        level = records.written(new, f"{folder}/levels/d={k}")
+        level = known.add(new, k)
         ahead = level.where("forward").select("sample_id", F.col("root").alias("s"), "node")
         behind = levels().where(~F.col("forward") & F.col("d").isin(k - 1, k)).select("sample_id", F.col("root").alias("e"), "node", "d")
         met = open_.join(ahead, ["sample_id", "s"]).join(behind, ["sample_id", "e", "node"]).groupBy("sample_id", "s", "e").agg((F.min("d") + k).alias("l"))
@@ -67,8 +63,9 @@ def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFram
         right = level.where("not forward").select("sample_id", F.col("root").alias("e"), F.lit(True).alias("from_e")).distinct()
         found = open_.join(met, ["sample_id", "s", "e"], "left").join(left, ["sample_id", "s"], "left").join(right, ["sample_id", "e"], "left")
         found = found.withColumn("least", F.min("l").over(Window.partitionBy("sample_id", "pair"))).withColumn("goes_on", F.coalesce(F.col("from_s") & F.col("from_e"), F.lit(False)))
-        state = records.written(found.select("sample_id", "pair", "s", "e", "l", "least", "goes_on"), f"{folder}/ways/k={k}")
-    reached = spark.read.schema(way_schema).parquet(f"{folder}/ways").where("l = least")
+        state = records.dealt(found.select("sample_id", "pair", "s", "e", "l", "least", "goes_on"), f"{folder}/ways/k={k}")
+        every = every.unionByName(state)
+    reached = every.where("l = least")
     length = reached.groupBy("sample_id").agg(F.max("l").alias("max_path_length"))
     length = pairs.select("sample_id").distinct().join(length, "sample_id", "left")
     if k == 0:
@@ -77,14 +74,14 @@ def shortest_path_labels(triples: DataFrame, pairs: DataFrame) -> tuple[DataFram
     halves = reached.where("l > 0").select("sample_id", "s", "e", F.ceil(F.col("l") / 2).cast("int").alias("ds"), F.floor(F.col("l") / 2).cast("int").alias("de"))
     middles = halves.join(at(True, "s", "ds"), ["sample_id", "s", "ds"]).join(at(False, "e", "de"), ["sample_id", "e", "node", "de"])
     middles = split(middles, end(True, root="s", to="node", d="ds"), end(False, root="e", to="node", d="de")).select("sample_id", "x.*").where("d > 0").distinct()
-    middles = records.written(middles, f"{folder}/middles") if k > 1 else middles
+    middles = records.dealt(middles, f"{folder}/middles") if k > 1 else middles
     on, walked = None, None
     for d in range(k, 0, -1):  # nodes at level d where ways meet, and what the walk has come to
         ends = middles.where(F.col("d") == d).drop("d")
         ends = ends if walked is None else ends.unionByName(walked.select("sample_id", "forward", "root", F.col("node").alias("to"))).distinct()
         before = levels().where(F.col("d") == d - 1).drop("d")
         back = ends.join(edges, ["sample_id", "forward", "to"]).join(before, ["sample_id", "forward", "root", "node"])
-        walked = records.written(back.groupBy("sample_id", "forward", "root", "node", "to").agg(F.max("triple_id").alias("triple_id")), f"{folder}/walked/{d}")
+        walked = records.dealt(back.groupBy("sample_id", "forward", "root", "node", "to").agg(F.max("triple_id").alias("triple_id")), f"{folder}/walked/{d}")
         part = walked.select("sample_id", "triple_id")
         on = part if on is None else on.unionByName(part)
     labels = own.select("sample_id", "triple_id").join(on.distinct().withColumn("_on", F.lit(1.0)), ["sample_id", "triple_id"], "left").select("sample_id", "triple_id", F.coalesce("_on", F.lit(0.0)).alias("label"))
@@ -100,8 +97,8 @@ def directional_distances(triples: DataFrame, nodes: DataFrame, rounds: int = 2,
     folder = records.scratch(triples.sparkSession)
     way = lambda a, b, forward: F.struct(F.col(a).alias("node"), F.col(b).alias("to"), F.lit(forward).alias("forward"))
     sent = triples.select("sample_id", F.explode(F.array(way("h", "t", True), way("t", "h", False))).alias("x")).select("sample_id", "x.*")
-    sent = records.written(sent.groupBy("sample_id", "node", "to", "forward").agg(F.count("*").alias("n")), f"{folder}/edges")
-    own = records.written(nodes.select("sample_id", "node", F.col("x0").cast("double").alias("f0"), F.col("x1").cast("double").alias("f1"), F.col("x0").cast("double").alias("b0"), F.col("x1").cast("double").alias("b1")), f"{folder}/nodes")
+    sent = records.dealt(sent.groupBy("sample_id", "node", "to", "forward").agg(F.count("*").alias("n")), f"{folder}/edges")
+    own = records.dealt(nodes.select("sample_id", "node", F.col("x0").cast("double").alias("f0"), F.col("x1").cast("double").alias("f1"), F.col("x0").cast("double").alias("b0"), F.col("x1").cast("double").alias("b1")), f"{folder}/nodes")
     every, names, last = own.withColumn("k", F.lit(0)), [], own
     for i in range(1, max(rounds, reverse_rounds) + 1):
         message = sent.join(last, ["sample_id", "node"], "left")
@@ -110,7 +107,7 @@ def directional_distances(triples: DataFrame, nodes: DataFrame, rounds: int = 2,
             here = F.col("forward") if c[0] == "f" else ~F.col("forward")
             return F.coalesce(F.sum(F.when(here, F.coalesce(F.col(c), F.lit(0.0)) * F.col("n"))) / F.sum(F.when(here, F.col("n"))), F.lit(0.0)).alias(c)
 
-        last = records.written(message.groupBy("sample_id", F.col("to").alias("node")).agg(*map(mean, ("f0", "f1", "b0", "b1"))), f"{folder}/round{i}")
+        last = records.dealt(message.groupBy("sample_id", F.col("to").alias("node")).agg(*map(mean, ("f0", "f1", "b0", "b1"))), f"{folder}/round{i}")
         every = every.unionByName(last.withColumn("k", F.lit(i)))
         names += [f"{c}{i}" for c, n in (("f", rounds), ("b", reverse_rounds)) if i <= n]
     of = lambda k, y: F.max(F.when(F.col("k") == k, F.col(y)))

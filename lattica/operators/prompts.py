@@ -80,7 +80,7 @@ def ordered(triples: DataFrame, marks: DataFrame, sets: DataFrame, changed: bool
     flagged = _flagged(triples, marks, sets)
     if changed:
         flagged = changed_first(flagged).where("gold = 0")
-    own = records.written(flagged.drop("targets", *(f"{e}_{k}" for e in ("nh", "nt") for k in ("q", "a", "start"))), records.scratch(triples.sparkSession))
+    own = records.dealt(flagged.drop("targets", *(f"{e}_{k}" for e in ("nh", "nt") for k in ("q", "a", "start"))), records.scratch(triples.sparkSession))
     core = "front + injected + support + gold + path + rule * greatest(start, q, a) > 0"
     rank_key = [F.desc("front"), F.desc("injected"), F.desc("gold"), F.desc(F.col("rule") * F.col("start")), F.desc("support"), F.desc("path"), F.desc("q"), F.desc("a"), F.desc("score"), "pos"]
     seeds = marks.where("kind in ('q', 'start')").select("sample_id", text.squeeze(F.col("value")).alias("node"))

@@ -9,13 +9,14 @@ from lattica.functions import text
 from lattica.operators import prompts, retrieval
 from lattica.plans import catalogue
 from lattica.plans.catalogue import homes, scored, table
+from lattica.sources import records
 
 N = 20
 MODES = ("rog_5", "rog_6_rmht", "rand_5", "randNoA_4_firstq", "noevi", "noevi_firstq")
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(scored(spark, sf_dir)).select("sample_id", F.col("rank").alias("pos"), "h", "r", "t", "score")
+def triples(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+    return retrieval.ranked(scored(spark, sf_dir) if t is None else t).select("sample_id", F.col("rank").alias("pos"), "h", "r", "t", "score")
 
 
 def marks(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
@@ -31,17 +32,19 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homes(spark, sf_dir).select("sample_id", F.lit(0).alias("pos"), F.col("c_name").alias("h"), F.lit("location.city").alias("r"), F.lit("Atlantis").alias("t"), F.lit(0.9).alias("score"))
 
 
-def sets(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
+def sets(spark: SparkSession, sf_dir: str, changed: bool = False, t: DataFrame | None = None) -> DataFrame:
     new = injected(spark, sf_dir).select("sample_id", F.lit("injected").alias("kind"), "pos", "h", "r", "t")
     if not changed:
         return new.where("false")
-    own = scored(spark, sf_dir).where("r = 'order.placed' and try_cast(substring(t, 3) as bigint) % 5 = 0")
+    own = (scored(spark, sf_dir) if t is None else t).where("r = 'order.placed' and try_cast(substring(t, 3) as bigint) % 5 = 0")
     return new.unionByName(own.select("sample_id", F.lit("support").alias("kind"), F.lit(0).alias("pos"), "h", "r", "t"))
 
 
 def _ordered(s, d, changed=False):
-    t = triples(s, d).unionByName(injected(s, d)) if changed else triples(s, d)
-    return prompts.ordered(t, marks(s, d, changed), sets(s, d, changed), changed)
+    saved = catalogue.saved(s, d)
+    t = triples(s, d, saved)
+    t = records.dealt(records.by(t.unionByName(injected(s, d))), records.scratch(s)) if changed else t
+    return prompts.ordered(t, marks(s, d, changed), sets(s, d, changed, saved), changed)
 
 
 def _blocks(s, d):

@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from lattica.operators import retrieval
-from lattica.plans import catalogue
+from lattica.operators import encoding, graph, retrieval
+from lattica.plans import catalogue, prompting
 
 D = "/root/testdata/sf0.001"
 
@@ -23,3 +23,15 @@ def test_corrupted_moves_no_draw(spark, moved):
     t = catalogue.saved(spark, D)
     own = retrieval.corrupted(t, retrieval.top_k(t, 3).drop("rank"), catalogue.homes(spark, D).selectExpr("sample_id", "c_name entity"), 20)
     assert moved(own) == 0
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_order_moves_no_triple(spark, moved, changed):
+    assert moved(prompting._ordered(spark, D, changed)) == 0
+
+
+def test_distances_and_labels_move_no_triple(spark, moved):
+    t = catalogue.saved(spark, D)
+    nodes = encoding.entities(t, catalogue.non_text(spark, D)).selectExpr("sample_id", "entity node", "1.0 x0", "0.0 x1")
+    assert moved(graph.directional_distances(t, nodes)) == 0
+    assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
