@@ -35,3 +35,11 @@ def test_distances_and_labels_move_no_triple(spark, moved):
     nodes = encoding.entities(t, catalogue.non_text(spark, D)).selectExpr("sample_id", "entity node", "1.0 x0", "0.0 x1")
     assert moved(graph.directional_distances(t, nodes)) == 0
     assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
+
+
+def test_names_of_many_samples_are_looked_up_once(spark):
+    t = spark.range(50).selectExpr("id sample_id", "'O#' || id h", "case when id % 2 = 0 then 'x' else 'O#x' end t")
+    listed = spark.createDataFrame([("O#x",), ("O#1",)], "entity string")
+    rows = lambda often: sorted(encoding.entities(t, listed, often).collect())
+    assert rows(2) == rows(1000) == rows(1)
+    assert [(r.entity, r.is_text) for r in rows(2) if r.sample_id == 1] == [("O#1", False), ("O#x", False)]
