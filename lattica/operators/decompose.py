@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import questions, text
+from lattica.sources import records
 
 STEP = "struct<sub_id:int,question:string,dep_type:string>"
 
@@ -21,7 +22,7 @@ def steps(rows: DataFrame, most: int = 3) -> DataFrame:
     A relative clause gives two steps. Otherwise the text is cut at conjunctions, and each further part becomes a
     follow-up of the one before; if one of them can't be asked on its own, the question stays whole. A cut at `before`
     or `after` alone never passes that test, so there is no branch for it."""
-    own = rows.select(F.col("id").cast("string").alias("parent_id"), text.strip(F.coalesce("question", F.lit(""))).alias("q")).where("q <> ''")
+    own = records.spread(rows).select(F.col("id").cast("string").alias("parent_id"), text.strip(F.coalesce("question", F.lit(""))).alias("q")).where("q <> ''")
     whole = F.array(_step(0, questions.full(F.col("q")), "none"))
     halves = F.split("q", r"(?i)\b(?:that|which|who|whose)\b", 2)
     own = own.withColumn("left", questions._bare(F.get(halves, F.lit(0)), questions.EDGE)).withColumn("right", questions._bare(F.get(halves, F.lit(1)), questions.EDGE))

@@ -9,6 +9,7 @@ from lattica.functions import candidates, suitability, text
 from lattica.operators import selection
 from lattica.plans import catalogue
 from lattica.plans.catalogue import homes, table
+from lattica.sources import records
 
 #: Questions of seven kinds, four relations and eight names, which parts meet in all combinations.
 ASKED = ("who wrote it", "where is it located", "when was it", "what language is spoken", "what did they work as", "which one", "what country is it")
@@ -24,7 +25,7 @@ def _pick(number, values):
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, size = F.col("p_partkey"), F.col("p_size")
     made = F.when(i % 8 == 2, (1400 + i % 800).cast("string")).when(i % 8 == 6, F.concat(F.lit(" "), F.initcap("p_name"))).otherwise(F.concat(F.lit("City of "), "p_name"))
-    return table(spark, sf_dir, "part").select(
+    return records.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select(
         "p_partkey", F.coalesce(_pick(i % 8, NAMES), made).alias("name"), _pick(i % 7, ASKED).alias("question"), _pick(size % 4, RELATIONS).alias("relation"),
         F.slice(F.array(F.initcap("p_name")), F.lit(1), (size % 2).cast("int")).alias("answers"), F.when(size % 5 > 0, "english").alias("natural"), F.when(size % 8 < 4, "Person.Author").alias("r2"), (size % 10).alias("place"),
     )
@@ -63,7 +64,7 @@ OFFERED = (
 def _chosen(s, d):
     """Six ways; the third name is blocked, the fourth repeats the second."""
     own = [F.col("c_name"), F.concat(F.lit(" "), "n_name", F.lit("\t")), F.col("r_name"), F.col("n_name"), *(F.lit(x[0]) for x in OFFERED[4:])]
-    h = homes(s, d)
+    h = records.spread(homes(s, d))
     rows = h.select("sample_id", F.posexplode(F.array(*own)).alias("pos", "entity"), F.when(F.col("sample_id") % 2 == 0, "where is it").otherwise("which one").alias("question"), F.lit("place.in").alias("r1"), F.lit(None).cast("string").alias("r2"))
     blocked, out = h.select("sample_id", F.concat(F.lit(" "), F.lower("r_name")).alias("entity")), None
     for way in ("pivot", "between", "soft", "final", "rule", "global"):

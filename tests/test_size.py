@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from lattica.operators import encoding, graph, retrieval
-from lattica.plans import catalogue, prompting
+from lattica.operators import decompose, encoding, graph, retrieval
+from lattica.plans import catalogue, prompting, selecting
 
 D = "/root/testdata/sf0.001"
 
@@ -30,10 +30,8 @@ def test_order_moves_no_triple(spark, moved, changed):
     assert moved(prompting._ordered(spark, D, changed)) == 0
 
 
-def test_distances_and_labels_move_no_triple(spark, moved):
+def test_labels_move_no_triple(spark, moved):
     t = catalogue.saved(spark, D)
-    nodes = encoding.entities(t, catalogue.non_text(spark, D)).selectExpr("sample_id", "entity node", "1.0 x0", "0.0 x1")
-    assert moved(graph.directional_distances(t, nodes)) == 0
     assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
 
 
@@ -43,3 +41,9 @@ def test_names_of_many_samples_are_looked_up_once(spark):
     rows = lambda often: sorted(encoding.entities(t, listed, often).collect())
     assert rows(2) == rows(1000) == rows(1)
     assert [(r.entity, r.is_text) for r in rows(2) if r.sample_id == 1] == [("O#1", False), ("O#x", False)]
+
+
+def test_long_expressions_spread(spark):
+    one = spark.range(100).selectExpr("id", "'what nation is home of x that contains a lake' question").coalesce(1)
+    assert decompose.steps(one).rdd.getNumPartitions() > 1
+    assert selecting.parts(spark, D).rdd.getNumPartitions() > 1
