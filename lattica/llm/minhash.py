@@ -8,18 +8,18 @@
    full sets.
 4. A star may miss a link between two members. So in buckets whose members are not in one component, members outside
    the bucket's main component are held, by signature, against the bucket; first only their best matches are
-   confirmed, then, with these components joined, all that are left. A bucket with more than BLOCK such members is hot,
-   say of one boilerplate text in else different documents: it is parted by a second band, so that each member costs a
-   row for each band and not one for each other member. What is hot even then is held in blocks of bounded size.
+   confirmed, then, with these components joined, all that are left. A bucket with many such members, say of one
+   boilerplate text in else different documents, is held in blocks of bounded size, each against the members whose sizes
+   allow a link. No pair is left out, so that work grows as the square of such members of like sizes.
 
 With r rows and b bands a pair at similarity s shares no bucket with probability (1 - s**r)**b: 3e-7 at the threshold
-for both settings below. A pair whose first common bucket is hot must share a second band: no more than one in 2e5 of
-such pairs at the threshold doesn't. The signatures' bound gives up one of 10**7 pairs at the threshold (see FAR). Components come from large and small stars over tables in the shared folder.
+for both settings below. The signatures' bound gives up one of 10**7 pairs at the threshold (see FAR). Components come from large and small stars over tables in the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,37 +187,27 @@ def full_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 
 
 def crossing(members: DataFrame, nodes: DataFrame, best: int | None, threshold: float, block_size: int = BLOCK, whole_buckets: bool = False) -> DataFrame:
-    """Pairs of a bucket's members in different components whose signatures allow the threshold.
+    """Pairs of a bucket's members in different components whose signatures allow the threshold, whatever the bucket's size.
 
     members: key, node, label; nodes: node, signature, n (its shingles), bands. A pair comes from the first bucket that
-    both are in. Hot buckets are parted by a second band; with whole_buckets they are held block by block instead, so that no
-    pair of them is lost. best: only so many matches of each node, the most similar;
-    None: all."""
-    if whole_buckets:
-        return held(members, nodes, best, threshold, block_size, True)
-    folder = base.scratch(members.sparkSession) + "/crossing"
-    hot = base.written(members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > block_size).select("key"), folder)
-    if hot.isEmpty():
-        return held(members, nodes, best, threshold, block_size, True)
-    cold = held(members.join(hot, "key", "left_anti"), nodes, best, threshold, block_size, True)
-    second = members.join(hot, "key").join(nodes.select("node", F.explode("bands").alias("band")), "node").where("band <> key")
-    parts = second.select(F.xxhash64("key", "band").alias("key"), "node", "label")
-    several = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return cold.unionByName(held(parts.join(several, "key"), nodes, best, threshold, block_size, False)).distinct()
-
-
-def held(members: DataFrame, nodes: DataFrame, best: int | None, threshold: float, block_size: int, first_only: bool) -> DataFrame:
-    """The pairs of crossing. In buckets with several components the members outside the most frequent one are dealt to
-    blocks of about block_size; a block is held by a task while the bucket streams past. first_only: keys are bands, and
-    only the first that a pair has in common gives it."""
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    told = members.join(main, "key").withColumn("blocks", F.ceil(F.col("others") / block_size).cast("int")).withColumn("aside", F.col("label") != F.col("main"))
-    mine = told.where("aside").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("kind", F.lit(0))
-    passing = told.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
-    cols = ["key", "block", "kind", "node", "label", "aside"]
+    both are in. best: only so many matches of each node, the most similar; None: all.
+
+    In buckets with several components the members outside the most frequent one are dealt to blocks of about block_size; a
+    block is held by a task while the bucket streams past. Blocks hold one class of sizes each, and only members of that
+    class or the next ones stream past, as sizes further apart can't reach the threshold; with whole_buckets all do."""
+    # Sizes within the threshold of each other differ by no more than one class; the step is a bit wide for rounding.
+    size = F.lit(0) if whole_buckets else F.floor(F.log("size") / F.lit(-math.log(threshold - 1e-6))).cast("int")
+    near = F.array(F.lit(0)) if whole_buckets else F.array(*(F.col("class") + i for i in (-1, 0, 1)))
+    counts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    told = members.join(main, "key").withColumn("aside", F.col("label") != F.col("main")).join(nodes.select("node", F.col("n").alias("size")), "node").withColumn("class", size)
+    blocks = told.where("aside").groupBy("key", "class").agg(F.ceil(F.count("*") / block_size).cast("int").alias("blocks"))
+    place = lambda df, no, kind: df.withColumns({"block": F.col("class").cast("long") * F.lit(1 << 32) + no, "kind": F.lit(kind)}).select("key", "block", "kind", "node", "label", "aside")
+    mine = place(told.where("aside").join(blocks, ["key", "class"]), F.pmod(F.xxhash64("node"), F.col("blocks")), 0)
+    passing = told.withColumn("class", F.explode(near)).join(blocks, ["key", "class"])
+    passing = place(passing.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), F.col("no"), 1)
     n = base.partitions(members.sparkSession)
-    rows = mine.select(cols).unionByName(passing.select(cols)).join(nodes.select("node", "signature", "n", "bands"), "node").select("key", "block", "kind", "node", "label", "signature", "n", "bands", "aside")
+    rows = mine.unionByName(passing).join(nodes.select("node", "signature", "n", "bands"), "node").select("key", "block", "kind", "node", "label", "signature", "n", "bands", "aside")
     rows = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +229,7 @@ def held(members: DataFrame, nodes: DataFrame, best: int | None, threshold: floa
             good = reachable(estimate, used, lengths[:, None], sizes[None], threshold) & (own[:, None] != labels[None])
             good &= ~aside[None] | (mine[:, None] < names[None])  # else the other one's block has the pair
             i, j = np.nonzero(good)
-            for some in np.array_split(np.arange(len(i)), len(i) // 50_000 + 1) if first_only else []:
+            for some in np.array_split(np.arange(len(i)), len(i) // 50_000 + 1):
                 same = bands[i[some]] == keys[j[some]]
                 good[i[some], j[some]] = bands[i[some], same.argmax(1)] == at[0]
             if best is None:
@@ -281,7 +271,7 @@ def held(members: DataFrame, nodes: DataFrame, best: int | None, threshold: floa
 
 
 def near_duplicates(docs: DataFrame, k: int, threshold: float, block_size: int = BLOCK, whole_buckets: bool = False) -> DataFrame:
-    """docs: doc_id, text. whole_buckets: hold hot buckets whole, as crossing() says, for more work with very hot ones. Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
+    """docs: doc_id, text. whole_buckets: as in crossing(). Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
 
     Links: |common| / |union| of the sets of k-word shingles >= threshold, in whole per cent. Documents without words
     link with nothing. A row with a null doc_id takes no part: its component is null and it is kept. Rows that repeat

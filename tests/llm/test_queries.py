@@ -482,3 +482,12 @@ def test_url_rules_and_suffixes_as_tables(spark):
     assert found(None) == {"a.b.github.io": ("io", "github.io"), "github.io": ("io", "github.io"), "x.io": ("io", "x.io"), "u.co.uk:8080": ("co.uk", "u.co.uk"), "1.2.3.4:80": ("ip", "1.2.3.4"), "": ("", ""), "org": ("org", "org")}
     listed = found(spark.createDataFrame([("github.io",), ("io",), ("io",), ("co.uk",)], "suffix string"))
     assert listed == found(None) | {"a.b.github.io": ("github.io", "b.github.io"), "github.io": ("github.io", "github.io")}
+
+
+def test_large_buckets_lose_no_pair(spark):
+    """Members of a bucket beyond the block size, which share no other band."""
+    nodes = spark.createDataFrame([(i, bytes([7] * minhash.BINS), 1000 + 10 * i, [9, 100 + i]) for i in range(1, 5)], "node long, signature binary, n long, bands array<long>")
+    members = spark.createDataFrame([(9, i, i) for i in range(1, 5)], "key long, node long, label long")
+    for whole in (False, True):
+        got = minhash.crossing(members, nodes, None, 0.85, 1, whole).collect()
+        assert sorted(map(tuple, got)) == [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
