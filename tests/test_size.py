@@ -5,7 +5,7 @@ import re
 import pytest
 
 from lattica.operators import decompose, encoding, graph, retrieval
-from lattica.plans import catalogue, prompting, selecting
+from lattica.plans import catalogue, planning, prompting, selecting
 
 D = "/root/testdata/sf0.001"
 
@@ -30,6 +30,10 @@ def test_order_moves_no_triple(spark, moved, changed):
     assert moved(prompting._ordered(spark, D, changed)) == 0
 
 
+def test_chained_moves_no_triple(spark, moved):
+    assert moved(planning.QUERIES["pl_chained"](spark, D)) == 0
+
+
 def test_labels_move_no_triple(spark, moved):
     t = catalogue.saved(spark, D)
     assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
