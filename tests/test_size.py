@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lattica.operators import decompose, encoding, graph, retrieval
+from lattica.operators import decompose, encoding, graph, planner, retrieval
 from lattica.plans import catalogue, planning, prompting, selecting
 
 D = "/root/testdata/sf0.001"
@@ -34,6 +34,16 @@ def test_chained_moves_no_triple(spark, moved):
     assert moved(planning.QUERIES["pl_chained"](spark, D)) == 0
 
 
+def test_plan_lies_by_sample(spark):
+    """What a pass writes, the next one takes as it lies."""
+    samples = spark.createDataFrame([(1, "which one", ["Ann"], ["Bob"])], "sample_id long, question string, q_entities array<string>, answers array<string>")
+    graph_ = spark.createDataFrame([(1, 0, "Ann", "has", "Bob", 0.5)], "sample_id long, triple_id int, h string, r string, t string, score double")
+    steps = spark.createDataFrame([(1, 0, "which one", None, "none", False)], "sample_id long, sub_id int, question string, dep_prev_sub_id int, dep_type string, needs_prev_answer boolean")
+    outcomes, details = planner.plan(samples, graph_, graph_, steps, 1)
+    for df in (outcomes, details):
+        assert "Exchange" not in df.groupBy("sample_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels_move_no_triple(spark, moved):
     t = catalogue.saved(spark, D)
     assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
