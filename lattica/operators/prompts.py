@@ -235,13 +235,13 @@ def rendered(questions: DataFrame, blocks: DataFrame | None, plans: DataFrame |
 
 def lines_once(*parts: DataFrame) -> DataFrame:
     """Parts: sample_id, pos, h, r, t. sample_id, rank, h, r, t: all of the first part, then those of the next; of triples
-    with the same line in a prompt the first."""
+    with the same line in a prompt the first. Triples are dealt by sample before they are grouped, and lines aren't moved."""
     cols = ["sample_id", F.col("pos").cast("long").alias("pos"), *TRIPLE]
     every = None
     for i, part in enumerate(parts):
         own = part.select(F.lit(i).alias("part"), *cols)
         every = own if every is None else every.unionByName(own)
-    first = every.groupBy("sample_id", text.triple_text(*(F.col(c) for c in TRIPLE)).alias("line")).agg(F.min(F.struct("part", "pos", *TRIPLE)).alias("at"))
+    first = records.by(every).groupBy("sample_id", text.triple_text(*(F.col(c) for c in TRIPLE)).alias("line")).agg(F.min(F.struct("part", "pos", *TRIPLE)).alias("at"))
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("at"))
     return first.withColumn("rank", rank).select("sample_id", "rank", *(F.col(f"at.{c}").alias(c) for c in TRIPLE))
 

@@ -30,6 +30,10 @@ def test_order_moves_no_triple(spark, moved, changed):
     assert moved(prompting._ordered(spark, D, changed)) == 0
 
 
+def test_modes_move_no_line(spark, moved):
+    assert moved(prompting.QUERIES["pr_modes"](spark, D)) == 0
+
+
 def test_chained_moves_no_triple(spark, moved):
     assert moved(planning.QUERIES["pl_chained"](spark, D)) == 0
 
