@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 OFTEN = 1000
 
 
+def ends(triples: DataFrame) -> DataFrame:
+    """sample_id, entity: each name of a sample's triples once. Where triples are dealt by sample, no row moves."""
+    return triples.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct()
+
+
 def entities(triples: DataFrame, non_text: DataFrame, often: int = OFTEN) -> DataFrame:
     """sample_id, entity, entity_id, is_text. non_text: a table of identifiers, column entity. Names that many samples have
     would meet in one task, so they are looked up once each; a name costs its rows a share of 1 / often at most."""
-    every = triples.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct()
+    every = ends(triples)
     listed = non_text.select("entity", F.lit(False).alias("_text")).distinct()
     many = every.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") >= often).select("entity")
     many = F.broadcast(many.join(listed, "entity", "left").withColumn("_many", F.lit(True)))

@@ -144,7 +144,7 @@ def _encoded(s, d):
 
 def _dde(s, d):
     t = saved(s, d)
-    nodes = encoding.entities(t, non_text(s, d)).join(homes(s, d).select("sample_id", F.col("c_name").alias("entity"), F.lit(1.0).alias("x1")), ["sample_id", "entity"], "left").select("sample_id", F.col("entity").alias("node"), F.coalesce("x1", F.lit(0.0)).alias("x1")).withColumn("x0", 1 - F.col("x1"))
+    nodes = encoding.ends(t).join(homes(s, d).select("sample_id", F.col("c_name").alias("entity"), F.lit(1.0).alias("x1")), ["sample_id", "entity"], "left").select("sample_id", F.col("entity").alias("node"), F.coalesce("x1", F.lit(0.0)).alias("x1")).withColumn("x0", 1 - F.col("x1"))
     out = graph.directional_distances(t, nodes)
     return out.select("sample_id", "node", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("sample_id", "node")))
 

@@ -6,6 +6,7 @@ import pytest
 
 from lattica.operators import decompose, encoding, graph, planner, retrieval
 from lattica.plans import catalogue, planning, prompting, selecting
+from lattica.sources import records
 
 D = "/root/testdata/sf0.001"
 
@@ -53,6 +54,33 @@ def test_labels_move_no_triple(spark, moved):
     assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
 
 
+def test_labels_of_several_levels_stand_once(spark):
+    """Without broadcasts, a triple that two pairs meet at different levels."""
+    t = spark.createDataFrame([(s, i, f"n{i}", f"n{i + 1}") for s in range(20) for i in range(6)], "sample_id long, triple_id int, h string, t string")
+    pairs = spark.createDataFrame([(s, "n0", a) for s in range(20) for a in ("n4", "n5", "n6")], "sample_id long, q string, a string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    labels = graph.shortest_path_labels(t, pairs)[0].collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["sample_id"], r["triple_id"]) for r in labels) == [(s, i) for s in range(20) for i in range(6)]
+    assert all(r["label"] == 1 for r in labels)
+
+
+def test_distances_move_no_node(spark, moved):
+    """Names lie by their sample, and kinds of entities aren't looked up, as distances don't use them."""
+    own = catalogue.QUERIES["kg_dde"](spark, D)
+    assert moved(own) == 0
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unions_of_dealt_tables_keep_groups_whole(spark):
+    rows = spark.range(50).selectExpr("id sample_id", "id % 3 x")
+    one, two = (records.in_rows(records.dealt(records.by(rows), records.scratch(spark)), "sample_id") for _ in range(2))
+    both = one.unionByName(two).groupBy("sample_id", "x").count()
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert [r["count"] for r in both.collect()] == [2] * 50
+
+
 def test_names_of_many_samples_are_looked_up_once(spark):
     t = spark.range(50).selectExpr("id sample_id", "'O#' || id h", "case when id % 2 = 0 then 'x' else 'O#x' end t")
     listed = spark.createDataFrame([("O#x",), ("O#1",)], "entity string")
