@@ -6,7 +6,7 @@ import pytest
 
 from lattica.operators import decompose, encoding, graph, planner, retrieval
 from lattica.plans import catalogue, planning, prompting, selecting
-from lattica.sources import records
+from lattica.sources import records, runs
 
 D = "/root/testdata/sf0.001"
 
@@ -81,6 +81,21 @@ def test_unions_of_dealt_tables_keep_groups_whole(spark):
     assert [r["count"] for r in both.collect()] == [2] * 50
 
 
+def test_run_deals_its_tables(spark, tmp_path):
+    """Also those that a former run left, and parts of a table."""
+    rows = spark.range(50).selectExpr("id sample_id", "id % 3 x")
+    for computed in (4, 0):
+        run = runs.Run(spark, f"file://{tmp_path}")
+        run.stage("rows", lambda: rows, key="sample_id")
+        parts = run.parted("part", lambda t: t.where("x > 0"), "rows", "sample_id", 2, dealt="sample_id")
+        out = run.stage("counts", lambda t: t.groupBy("sample_id", "x").count(), "rows", key="sample_id")
+        for df in (parts, out):
+            assert "Exchange" not in df.groupBy("sample_id", "x").count()._jdf.queryExecution().executedPlan().toString()
+        assert len(run.computed) == computed and out.count() == 50
+        twice = parts.unionByName(parts).groupBy("sample_id", "x").count()
+        assert sorted(r["sample_id"] for r in twice.where("count = 2").collect()) == [i for i in range(50) if i % 3]
+
+
 def test_names_of_many_samples_are_looked_up_once(spark):
     t = spark.range(50).selectExpr("id sample_id", "'O#' || id h", "case when id % 2 = 0 then 'x' else 'O#x' end t")
     listed = spark.createDataFrame([("O#x",), ("O#1",)], "entity string")
