@@ -49,6 +49,20 @@ def test_plan_lies_by_sample(spark):
         assert "Exchange" not in df.groupBy("sample_id").count()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_passes_of_a_plan_meet_by_sample(spark):
+    """What is grouped over passes finds each sample in one place."""
+    samples = spark.range(20).selectExpr("id sample_id", "'which one' question", "array('Ann') q_entities", "array('Bob') answers")
+    graph_ = spark.range(20).selectExpr("id sample_id", "0 triple_id", "'Ann' h", "'has' r", "'Bob' t", "0.5D score")
+    steps = spark.range(40).selectExpr("id div 2 sample_id", "int(id % 2) sub_id", "'which one' question", "cast(null as int) dep_prev_sub_id", "'none' dep_type", "false needs_prev_answer")
+    seen, inherited = [], planner.inherited
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(planner, "inherited", lambda rows: seen.append(rows) or inherited(rows))
+        planner.plan(samples, graph_, graph_, steps, 2)
+    each = seen[0].groupBy("sample_id").count()
+    assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
+    assert [r["count"] for r in each.collect()] == [2] * 20
+
+
 def test_labels_move_no_triple(spark, moved):
     t = catalogue.saved(spark, D)
     assert moved(graph.shortest_path_labels(t, catalogue.pairs(spark, D))[0]) == 0
