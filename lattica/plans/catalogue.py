@@ -34,6 +34,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.together(spark)
     home = homes(spark, sf_dir)
     o, l, p = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part"))
+    records.roomy(spark, o, l)
     col = lambda kind, k1, k2, h, t, s: [F.col("sample_id"), F.lit(kind).alias("kind"), k1.cast("long").alias("k1"), k2.cast("long").alias("k2"), h.cast("string").alias("h"), t.cast("string").alias("t"), s.cast("double").alias("score")]
     zero, none = F.lit(0), F.lit(None)
     placed = home.select("sample_id", "c_name").join(o.select("o_orderkey", "o_custkey", "o_totalprice"), F.col("sample_id") == F.col("o_custkey"))

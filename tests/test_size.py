@@ -20,6 +20,19 @@ def moved(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_partitions_grow_with_the_input(spark, monkeypatch):
+    """Triples of a large input lie in more buckets; a small one takes none away."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = sum(catalogue.table(spark, D, x).count() for x in ("orders", "lineitem"))
+    try:
+        for n in (6, 2):
+            monkeypatch.setattr(records, "ROWS", -(-rows // n))
+            lie = catalogue.saved(spark, D).groupBy("sample_id").count().rdd.getNumPartitions()
+            assert lie == 6 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_corrupted_moves_no_draw(spark, moved):
     t = catalogue.saved(spark, D)
     own = retrieval.corrupted(t, retrieval.top_k(t, 3).drop("rank"), catalogue.homes(spark, D).selectExpr("sample_id", "c_name entity"), 20)
