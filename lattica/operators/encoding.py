@@ -19,14 +19,15 @@ def ends(triples: DataFrame) -> DataFrame:
 
 def entities(triples: DataFrame, non_text: DataFrame, often: int = OFTEN) -> DataFrame:
     """sample_id, entity, entity_id, is_text. non_text: a table of identifiers, column entity. Names that many samples have
-    would meet in one task, so they are looked up once each; a name costs its rows a share of 1 / often at most."""
+    would meet in one task, so they are looked up once each; a name costs its rows a share of 1 / often at most. Of the
+    others, only identifiers go back to their samples."""
     every = ends(triples)
     listed = non_text.select("entity", F.lit(False).alias("_text")).distinct()
     many = every.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") >= often).select("entity")
     many = F.broadcast(many.join(listed, "entity", "left").withColumn("_many", F.lit(True)))
     told = every.join(many, "entity", "left")
-    few = told.where("_many is null").select("sample_id", "entity").join(listed, "entity", "left")
-    marked = told.where("_many").select("sample_id", "entity", "_text").unionByName(few.select("sample_id", "entity", "_text")).withColumn("is_text", F.coalesce("_text", F.lit(True)))
+    few = told.where("_many is null").select("sample_id", "entity").join(listed, "entity").select("sample_id", "entity", F.col("_text").alias("_few"))
+    marked = told.join(few, ["sample_id", "entity"], "left").withColumn("is_text", F.coalesce("_text", "_few", F.lit(True)))
     w = Window.partitionBy("sample_id").orderBy(F.col("is_text").desc(), "entity")
     return marked.select("sample_id", "entity", (F.row_number().over(w) - 1).alias("entity_id"), "is_text")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.operators import answers, assembly, encoding, graph, metrics, prompts, retrieval, targets
 from lattica.plans import answering, catalogue
 from lattica.plans.catalogue import homes, table
+from lattica.sources import records
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def _text(df: DataFrame) -> DataFrame:
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Processed samples, labels and lengths; customers with an order without items have no pair to search for."""
     t = catalogue.saved(s, d)
-    labels, lengths = graph.shortest_path_labels(t, catalogue.pairs(s, d).join(catalogue.waiting(s, d), "sample_id", "left_anti"))
+    asked = catalogue.pairs(s, d).join(catalogue.waiting(s, d), "sample_id", "left_anti")
+    labels, lengths = graph.shortest_path_labels(t, records.dealt(asked, records.scratch(s)))
     return assembly.processed(samples(s, d), t, catalogue.non_text(s, d)), labels, lengths
 
 

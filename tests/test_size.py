@@ -5,7 +5,7 @@ import re
 import pytest
 
 from lattica.operators import decompose, encoding, graph, planner, retrieval
-from lattica.plans import catalogue, planning, prompting, selecting
+from lattica.plans import assembling, catalogue, planning, prompting, selecting
 from lattica.sources import records, runs
 
 D = "/root/testdata/sf0.001"
@@ -33,6 +33,19 @@ def test_partitions_grow_with_the_input(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_identifiers_go_back_to_their_samples(spark, moved):
+    own = plan(encoding.entities(catalogue.saved(spark, D), catalogue.non_text(spark, D)))
+    assert own.index("SortMergeJoin [sample_id#") < own.index("Exchange")
+
+
+def test_assembly_finds_its_pairs_once(spark):
+    assert "l_orderkey" not in plan(assembling._parts(spark, D)[2])
+
+
 def test_corrupted_moves_no_draw(spark, moved):
     t = catalogue.saved(spark, D)
     own = retrieval.corrupted(t, retrieval.top_k(t, 3).drop("rank"), catalogue.homes(spark, D).selectExpr("sample_id", "c_name entity"), 20)
