@@ -5,7 +5,7 @@ import re
 import pytest
 
 from lattica.operators import decompose, encoding, graph, planner, retrieval
-from lattica.plans import assembling, catalogue, planning, prompting, selecting
+from lattica.plans import assembling, catalogue, planning, prompting, reasoning, selecting
 from lattica.sources import records, runs
 
 D = "/root/testdata/sf0.001"
@@ -37,6 +37,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_candidates_move_no_entity(spark, moved):
+    assert not re.search(r"Exchange hashpartitioning\(sample_id#\d+L?, rule#", plan(reasoning.QUERIES["kg_rule_candidates"](spark, D)))
+
+
 def test_only_identifiers_go_back_to_their_samples(spark, moved):
     own = plan(encoding.entities(catalogue.saved(spark, D), catalogue.non_text(spark, D)))
     assert own.index("SortMergeJoin [sample_id#") < own.index("Exchange")
