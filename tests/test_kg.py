@@ -14,6 +14,22 @@ def test_query_equals_sql(spark, same, name):
     same(catalogue.QUERIES[name](spark, SF), catalogue.ORACLES[name], SF)
 
 
+def test_run_recall_ranks_every_triple(spark, same, tmp_path):
+    """Customers with forty orders, all of which score more than the triple of their region."""
+    for name in ("customer", "nation", "region", "orders", "lineitem", "part"):
+        table = catalogue.table(spark, SF, name)
+        if name == "customer":
+            table = table.where("c_custkey <= (select min(c_custkey) + 11 from parquet.`%s/customer.parquet`)" % SF)
+        if name == "orders":
+            low = catalogue.table(spark, SF, "customer").selectExpr("min(c_custkey)").first()[0]
+            table = table.orderBy("o_orderkey").limit(480).selectExpr("* except (o_custkey, o_totalprice)", f"o_orderkey % 12 + {low} o_custkey", "cast(2e5 as double) o_totalprice")
+        table.toPandas().to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    got = catalogue.QUERIES["kg_run_recall"](spark, str(tmp_path))
+    recall = {r.k: r.recall for r in got.collect()}
+    assert recall[10] < 1 and recall[100] == 1
+    same(got, catalogue.ORACLES["kg_run_recall"], tmp_path)
+
+
 def labels(spark, edges, q, a):
     triples = spark.createDataFrame([(1, i, h, "r", t) for i, (h, t) in enumerate(edges)], "sample_id int, triple_id int, h string, r string, t string")
     found, length = graph.shortest_path_labels(triples, spark.createDataFrame([(1, q, a)], "sample_id int, q string, a string"))
