@@ -88,19 +88,23 @@ def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget:
     DRAWS * budget draws, by MD5 of seed, sample and number, take a source (numbered by h, r, t) and an entity (by name) each;
     what is no new triple, or was drawn, is rejected. Where they run short, members of the product follow in order, and
     only so many as must hold enough: at most two of them make the same triple, so 2 * budget and 2 for each triple of the
-    graph and source. The score is the source's, or the sample's least where it isn't among scored."""
+    graph and source. The score is the source's, or the sample's least where it isn't among scored.
+
+    All joins are merged: Spark takes rows that draws explode to for as few as their samples, and small enough for the
+    driver to broadcast; tables are dealt by sample, so that merging moves little."""
     triple = ["sample_id", "h", "r", "t"]
+    merged = lambda df: df.hint("merge")
     own, q = graph.select(triple).distinct(), questions.select("sample_id", "entity").distinct()
     head, tail = (q.withColumnRenamed("entity", c).withColumn(f"_{c}", F.lit(True)) for c in ("h", "t"))
-    source = own.join(head, ["sample_id", "h"], "left").join(tail, ["sample_id", "t"], "left").where("_h or _t").withColumn("_h", F.coalesce("_h", F.lit(False)))
+    source = own.join(merged(head), ["sample_id", "h"], "left").join(merged(tail), ["sample_id", "t"], "left").where("_h or _t").withColumn("_h", F.coalesce("_h", F.lit(False)))
     least = scored.groupBy("sample_id").agg(F.min("score").alias("_least"))
     numbered = lambda df, *by: df.withColumn("no", F.row_number().over(Window.partitionBy("sample_id").orderBy(*by)) - 1)
-    priced = source.join(score_map(scored), triple, "left").join(least, "sample_id", "left")
+    priced = source.join(merged(score_map(scored)), triple, "left").join(merged(least), "sample_id", "left")
     sources = numbered(priced.select("sample_id", "h", "r", "t", "_h", F.coalesce("score", "_least", F.lit(0.0)).alias("score")), "h", "r", "t")
     pool = numbered(own.select("sample_id", F.explode(F.array("h", "t")).alias("entity")).distinct(), "entity")
     folder = records.scratch(graph.sparkSession)
     sources, pool = records.dealt(sources, f"{folder}/sources"), records.dealt(pool, f"{folder}/pool")
-    sizes = sources.groupBy("sample_id").agg(F.count("*").alias("n_s")).join(pool.groupBy("sample_id").agg(F.count("*").alias("n_e")), "sample_id").join(own.groupBy("sample_id").agg(F.count("*").alias("n_t")), "sample_id")
+    sizes = sources.groupBy("sample_id").agg(F.count("*").alias("n_s")).join(merged(pool.groupBy("sample_id").agg(F.count("*").alias("n_e"))), "sample_id").join(merged(own.groupBy("sample_id").agg(F.count("*").alias("n_t"))), "sample_id")
     sizes = records.dealt(sizes, f"{folder}/sizes")
 
     def number(what: str, n: str):
@@ -109,14 +113,14 @@ def corrupted(graph: DataFrame, scored: DataFrame, questions: DataFrame, budget:
 
     def made(picks: DataFrame) -> DataFrame:
         """picks: sample_id, stage, k, s, e (numbers of source and entity)."""
-        both = picks.join(sources.withColumnRenamed("no", "s"), ["sample_id", "s"]).join(pool.withColumnRenamed("no", "e"), ["sample_id", "e"])
+        both = picks.join(merged(sources.withColumnRenamed("no", "s")), ["sample_id", "s"]).join(merged(pool.withColumnRenamed("no", "e")), ["sample_id", "e"])
         kept = F.when(F.col("_h"), F.col("h")).otherwise(F.col("t"))
         new = both.where(F.col("entity") != kept).select("sample_id", F.when(F.col("_h"), F.col("h")).otherwise(F.col("entity")).alias("h"), "r", F.when(F.col("_h"), F.col("entity")).otherwise(F.col("t")).alias("t"), F.struct("stage", "k", "score").alias("at"))
-        return new.groupBy(triple).agg(F.min("at").alias("at")).join(own, triple, "left_anti")
+        return new.groupBy(triple).agg(F.min("at").alias("at")).join(merged(own), triple, "left_anti")
 
     drawn = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DRAWS * budget - 1)))) if budget > 0 else sizes.withColumn("k", F.lit(0)).limit(0)
     first = records.dealt(made(drawn.select("sample_id", F.lit(0).alias("stage"), F.col("k").cast("long").alias("k"), number("source", "n_s").alias("s"), number("entity", "n_e").alias("e"))), f"{folder}/drawn")
-    short = sizes.join(first.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id", "left").where(F.coalesce("n", F.lit(0)) < budget)
+    short = sizes.join(merged(first.groupBy("sample_id").agg(F.count("*").alias("n"))), "sample_id", "left").where(F.coalesce("n", F.lit(0)) < budget)
     most = F.least(F.col("n_s") * F.col("n_e"), 2 * budget + 2 * F.col("n_t") + 2 * F.col("n_s"))
     rest = short.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
     rest = made(rest.select("sample_id", F.lit(1).alias("stage"), "k", F.floor(F.col("k") / F.col("n_e")).alias("s"), (F.col("k") % F.col("n_e")).alias("e")))

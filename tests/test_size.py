@@ -56,6 +56,16 @@ def test_corrupted_moves_no_draw(spark, moved):
     assert moved(own) == 0
 
 
+def test_corrupted_sends_no_draw_to_the_driver(spark, monkeypatch):
+    """However small Spark takes the tables for, none of the operator's own is broadcast."""
+    t = catalogue.saved(spark, D)
+    q = records.dealt(catalogue.homes(spark, D).selectExpr("sample_id", "c_name entity"), records.scratch(spark))
+    seen, dealt = [], records.dealt
+    monkeypatch.setattr(records, "dealt", lambda df, *x: seen.append(plan(df)) or dealt(df, *x))
+    seen.append(plan(retrieval.corrupted(t, retrieval.top_k(t, 3).drop("rank"), q, 20)))
+    assert len(seen) == 5 and not any("Broadcast" in x for x in seen)
+
+
 @pytest.mark.parametrize("changed", [False, True])
 def test_order_moves_no_triple(spark, moved, changed):
     assert moved(prompting._ordered(spark, D, changed)) == 0
