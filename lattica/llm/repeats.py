@@ -96,17 +96,17 @@ class Group:
         self.anchor, self.hash, self.doc, self.start, self.count = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in ("anchor", "hash", "doc", "start", "count"))
         content = base.mix(self.anchor.astype(np.uint64) + np.uint64(shingles.BASE) * self.hash.astype(np.uint64))
         bucket = (self.anchor % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(content, kind="stable")
+        order = np.argsort(content)
         new = np.concatenate([[True], content[order][1:] != content[order][:-1]]) if len(order) else np.zeros(0, bool)
         number = np.cumsum(new) - 1
         self.of = np.empty(len(order), np.int64)  # each context's content
         self.of[order] = number
         at = np.flatnonzero(new)
-        self.first = order[at]  # the content's first context: of its smallest document
+        self.first = np.minimum.reduceat(order, at) if len(at) else order  # the content's first context: of its smallest document
         self.owner = self.ids[self.doc[self.first]] if len(at) else np.zeros(0, np.int64)
         self.several = np.maximum.reduceat(self.ids[self.doc[order]], at) != self.owner if len(at) else np.zeros(0, bool)
         self.bucket = bucket[self.first] if len(at) else np.zeros(0, np.int64)
-        self.sorted = np.argsort(self.bucket, kind="stable")
+        self.sorted = np.argsort(self.bucket.astype(np.uint16) if buckets <= 1 << 16 else self.bucket, kind="stable")
         self.buckets = np.unique(self.bucket)
         self.at = np.searchsorted(self.bucket[self.sorted], [*self.buckets, buckets])
 
@@ -145,7 +145,7 @@ def compare(table: pa.Table, most: int = VARIANTS) -> pa.Table:
     several = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(a)) for x, a in zip(table.column("several"), anchors, strict=True)]).astype(bool)
     sizes = [len(a) for a in anchors]
     anchor, code, owner = np.concatenate(anchors), np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((owner, code, anchor))
+    order = np.lexsort((code, anchor))
     a, c, o = anchor[order], code[order], owner[order]
     new_a = np.concatenate([[True], a[1:] != a[:-1]])
     new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
@@ -153,7 +153,7 @@ def compare(table: pa.Table, most: int = VARIANTS) -> pa.Table:
     at = np.flatnonzero(new_a)
     shared = (np.minimum.reduceat(o, at) != np.maximum.reduceat(o, at)) | np.logical_or.reduceat(several[order], at)
     variants = np.bincount(of_a, new_c).astype(np.int64)
-    first = o[np.flatnonzero(new_c)]
+    first = np.minimum.reduceat(o, np.flatnonzero(new_c))
     copy = o > first[of_c]
     mixed = (shared & (variants > 1))[of_a]
     status = np.empty(len(order), np.uint8)

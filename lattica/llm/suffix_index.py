@@ -15,16 +15,18 @@ from __future__ import annotations
 import numpy as np
 
 SEPARATOR = 1
+#: Characters of 9 bits in a number of 64.
+PACKED = 7
 
 
-def ranks(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, inverse) by prefix doubling from eight characters on; suffixes end with the first separator, and
+def ranks(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, inverse, each position's first PACKED characters as a number) by prefix doubling from eight characters on; suffixes end with the first separator, and
     equal ones are in order of position."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, text.dtype)])
     key = np.zeros(n, np.uint64)
     alive = np.ones(n, bool)
-    for j in range(7):  # 9 bits a character
+    for j in range(PACKED):
         c = padded[j : j + n].astype(np.uint64)
         key = key << np.uint64(9) | np.where(alive, c, 0).astype(np.uint64)
         alive &= c != SEPARATOR
@@ -36,8 +38,8 @@ def ranks(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     rank[order] = np.repeat(first, np.diff(np.concatenate([first, [n]])))
     # Of each position, the characters left to the separator inclusive.
     ends = np.flatnonzero(text == SEPARATOR)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1
-    h = 7
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n) + 1
+    h = PACKED
     while h < longest + 1:
         # Rows that still share their rank with another.
         size = np.diff(np.concatenate([first, [n]]))
@@ -59,7 +61,7 @@ def ranks(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
         h *= 2
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
-    return order, inverse
+    return order, inverse, key
 
 
 class RunLengthIndex:
@@ -73,12 +75,13 @@ class RunLengthIndex:
         inside = np.ones(n, bool)
         inside[self.end] = False
         text[inside] = texts.astype(np.uint16) + 2
-        order, inverse = ranks(text, int(sizes.max(initial=0)))
+        order, inverse, packed = ranks(text, int(sizes.max(initial=0)))
         last = text[order - 1]
         last[order == 0] = 0
         self.run_start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         self.head = last[self.run_start]
         run_size = np.diff(np.concatenate([self.run_start, [n]]))
+        self.run_of = np.repeat(np.arange(len(run_size), dtype=np.int32), run_size)  # of each row
         # Rows that begin with a smaller character, then rows of the same character in earlier runs.
         by_head = np.argsort(self.head, kind="stable")
         before = np.concatenate([[0], np.cumsum(run_size[by_head])[:-1]])
@@ -97,16 +100,18 @@ class RunLengthIndex:
         both = np.flatnonzero(valid[a] & valid[b])
         same = np.ones(len(both), bool)
         x, y = a[both], b[both]
-        for j in range(depth):
+        what, steps = (text, range(depth)) if depth < PACKED else (packed, [*range(0, depth - PACKED, PACKED), depth - PACKED])
+        for j in steps:
             some = np.flatnonzero(same)
-            same[some] = text[x[some] + j] == text[y[some] + j]
+            same[some] = what[x[some] + j] == what[y[some] + j]
         long[both[same] + 1] = True
         self.block_start = np.flatnonzero(~long[:n])
         owner = np.repeat(owners, sizes + 1)[order]
         self.block_owner = np.minimum.reduceat(owner, self.block_start) if n else owner
+        self.block_of = np.cumsum(~long[:n], dtype=np.int32) - 1  # of each row
 
     def run(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.run_start, row, "right") - 1
+        return self.run_of[row].astype(np.int64)
 
     def common(self, position: np.ndarray, other: np.ndarray, other_at: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many characters from the text positions agree with other's from other_at, most at most."""
@@ -164,4 +169,4 @@ class RunLengthIndex:
             yield order[:n], sizes[:n] - step, length, row
 
     def smallest_owner(self, row: np.ndarray) -> np.ndarray:
-        return self.block_owner[np.searchsorted(self.block_start, row, "right") - 1]
+        return self.block_owner[self.block_of[row]]

@@ -78,6 +78,21 @@ def test_run_length_index():
                 assert index.smallest_owner(row)[0] == min(o for o, t in zip(owners, texts) if rest[:5] in t)
 
 
+def test_rows_of_the_index_know_their_run_and_block():
+    """Without a search for each step; blocks, found by several characters at once, are those of single ones."""
+    rng = np.random.default_rng(4)
+    for depth in (3, 7, 9, 20):
+        texts = [bytes(rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8)) for _ in range(30)]
+        at, flat = np.cumsum([0, *map(len, texts)])[:-1], np.frombuffer(b"".join(texts), np.uint8)
+        index = suffix_index.RunLengthIndex(flat, at, np.arange(30), depth)
+        rows = np.arange(len(index.text))
+        assert (index.run_of == np.searchsorted(index.run_start, rows, "right") - 1).all()
+        assert (index.block_of == np.searchsorted(index.block_start, rows, "right") - 1).all()
+        whole = {t[i : i + depth] for t in texts for i in range(len(t) - depth + 1)}
+        short = sum(min(len(t) + 1, depth) for t in texts)
+        assert len(index.block_start) == len(whole) + short
+
+
 #: Combining marks behind letters and marks, apostrophes, digits beside other numbers, blanks beyond ASCII, controls, long words.
 UNITS = ["J\u030c j\u030c A\u030a =\u0338 (\u0338", "don't 'Re5's,'s x''s it\u2019s (the_end) a1b22²½3", "a\u00a0b\u3000c\u2028D\x85e", "a\x00b\x00 \x1f7\x7f", "É" * 40 + "x, " + "Word" * 9 + "...", "<|ENDOFTEXT|> <|startoftext|>Ab,c", "  \n", "ſß K Å Ⅷ٣४"]
 
